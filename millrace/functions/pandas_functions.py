@@ -91,7 +91,7 @@ def attach_cogrouped(
     pandas call sees one piece and one row.
     """
     pieces = divide(many, [on], group_rows)
-    used = pieces.select(on, PIECE).distinct()
+    used = pieces.select(on, F.col(PIECE).alias("_copy")).distinct()
     copies = one.select(on, base).join(used, on)
     schema = T.StructType([*many.schema, T.StructField("ratio", T.DoubleType())])
 
@@ -103,7 +103,7 @@ def attach_cogrouped(
 
     return (
         pieces.groupBy(on, PIECE)
-        .cogroup(copies.groupBy(on, PIECE))
+        .cogroup(copies.groupBy(on, "_copy"))
         .applyInPandas(attach, schema)
     )
 
