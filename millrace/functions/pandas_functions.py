@@ -19,6 +19,16 @@ from millrace.skew import PIECE, divide
 PANDAS_ROWS = 500_000
 
 
+def _by_group(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle on ``keys`` without merging small partitions.
+
+    The runtime merges partitions by bytes; Python time follows the number of
+    groups, so the merge would leave one worker with all the calls.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
+
+
 @F.pandas_udf(T.DoubleType())
 def scaled(value: pd.Series) -> pd.Series:
     """Values to the 0..1 range that 0..100 covers; others are clipped."""
@@ -35,7 +45,7 @@ def root_mean_square(
 ) -> DataFrame:
     """Per-group root mean square from a pandas aggregate over group pieces."""
     pieces = divide(df.select(*by, col).where(F.col(col).isNotNull()), by, group_rows)
-    partial = pieces.groupBy(*by, PIECE).agg(sum_of_squares(col).alias("_squares"))
+    partial = _by_group(pieces, *by, PIECE).groupBy(*by, PIECE).agg(sum_of_squares(col).alias("_squares"))
     counts = pieces.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     sums = partial.groupBy(*by).agg(F.sum("_squares").alias("_squares"))
     return sums.join(counts, list(by)).select(
@@ -71,7 +81,7 @@ def summarise_groups(
         return pd.DataFrame([[*key[:-1], len(rows), values.min(), values.max()]], columns=schema.names)
 
     pieces = divide(df.select(*by, col), by, group_rows)
-    partial = pieces.groupBy(*by, PIECE).applyInPandas(summary, schema)
+    partial = _by_group(pieces, *by, PIECE).groupBy(*by, PIECE).applyInPandas(summary, schema)
     return partial.groupBy(*by).agg(
         F.sum("n").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high")
     )
@@ -101,10 +111,9 @@ def attach_cogrouped(
         rows["ratio"] = rows[value] / divisor if divisor else None
         return rows[schema.names]
 
-    return (
-        pieces.groupBy(on, PIECE)
-        .cogroup(copies.groupBy(on, "_copy"))
-        .applyInPandas(attach, schema)
+    rows = _by_group(pieces, on, PIECE).groupBy(on, PIECE)
+    return rows.cogroup(_by_group(copies, on, "_copy").groupBy(on, "_copy")).applyInPandas(
+        attach, schema
     )
 
 

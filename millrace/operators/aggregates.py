@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.windows import running
+from millrace.session import checkpointed
 from millrace.skew import GROUP_ROWS
 
 
@@ -55,6 +56,11 @@ def unpivot_table(
     return long if keep_nulls else long.where(F.col("value").isNotNull())
 
 
+def _reused(df: DataFrame, group_rows: int | None) -> DataFrame:
+    """Store an aggregate that split planning and the result both read."""
+    return df if group_rows is None else checkpointed(df)
+
+
 def mode_of(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """Most frequent non-null value per group with its count; ties go to the smallest."""
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
@@ -78,6 +84,7 @@ def exact_percentiles(
     """
     by = list(by)
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
+    counts = _reused(counts, group_rows)
     ranked = running(
         counts, by, [col], {"_upto": ("sum", "_n"), "_total": ("total", "_n")}, group_rows
     )
@@ -162,7 +169,7 @@ def pareto_classes(
     into pieces when there are many keys.
     """
     totals = df.groupBy(key).agg(F.sum(value).alias("total"))
-    totals = totals.withColumn("_one", F.lit(1))
+    totals = _reused(totals, group_rows).withColumn("_one", F.lit(1))
     ranked = running(
         totals,
         [],

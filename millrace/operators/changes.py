@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.windows import neighbour
-from millrace.skew import GROUP_ROWS
+from millrace.skew import GROUP_ROWS, plan_split
 
 
 def _same(a: Column, b: Column, names: Sequence[str]) -> Column:
@@ -144,8 +144,14 @@ def scd2_apply(
         .unionByName(changes.select(*key, *attrs, F.col(ts).alias("valid_from")))
         .distinct()
     )
+    order = ["valid_from"]
+    # Planned once, on the plain rows of both inputs.
+    stacked = history.join(touched, match, "left_semi").select(*key, *order).unionByName(
+        changes.select(*key, F.col(ts).alias("valid_from"))
+    )
+    split = plan_split(stacked, key, order, group_rows)
     image = F.struct(*attrs, "valid_from")
-    seen = neighbour(versions, key, ["valid_from"], image, "_before", group_rows=group_rows)
+    seen = neighbour(versions, key, order, image, "_before", split=split)
     clash = F.raise_error(F.lit("scd2_apply: two versions of one key at the same time"))
     before = F.col("_before")
     repeats = before.isNotNull() & reduce(
@@ -155,8 +161,6 @@ def scd2_apply(
         repeats
     )
     kept = seen.where(~repeats).drop("_before")
-    closed = neighbour(
-        kept, key, ["valid_from"], F.col("valid_from"), "valid_to", True, group_rows
-    )
+    closed = neighbour(kept, key, order, F.col("valid_from"), "valid_to", True, split=split)
     rebuilt = closed.withColumn("is_current", F.col("valid_to").isNull()).select(*columns)
     return untouched.unionByName(rebuilt)

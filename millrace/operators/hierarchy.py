@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.joins import salted_join
 from millrace.session import checkpointed
-from millrace.skew import GROUP_ROWS
+from millrace.skew import GROUP_ROWS, hot_groups
 
 SALTS = 64
 
@@ -30,7 +30,7 @@ def hierarchy_closure(
     A parent with very many children is salted.
     """
     links = edges.select("parent", "child").where("parent IS NOT NULL AND child IS NOT NULL")
-    links = links.distinct()
+    links = checkpointed(links.distinct())
     self_loop = F.col("parent") == F.col("child")
     level = links.select(
         F.col("parent").alias("ancestor"),
@@ -40,6 +40,7 @@ def hierarchy_closure(
         self_loop.alias("is_cycle"),
     )
     steps = links.select(F.col("parent").alias("descendant"), F.col("child").alias("_next"))
+    hot = hot_groups(steps, ["descendant"], group_rows)
     levels, depth = [], 1
     while True:
         level = checkpointed(level)
@@ -48,7 +49,7 @@ def hierarchy_closure(
         if (max_depth is not None and depth >= max_depth) or open_ends.isEmpty():
             break
         depth += 1
-        level = salted_join(steps, open_ends, ["descendant"], SALTS, "inner", group_rows).select(
+        level = salted_join(steps, open_ends, ["descendant"], SALTS, hot=hot).select(
             "ancestor",
             F.col("_next").alias("descendant"),
             F.lit(depth).alias("depth"),

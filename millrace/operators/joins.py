@@ -13,6 +13,7 @@ from millrace.skew import (
     hot_groups,
     key_table,
     order_by,
+    plan_split,
     same_keys,
     spread,
 )
@@ -80,7 +81,7 @@ def asof_join(
     payload = [right_ts, *(c for c in right.columns if c not in by and c != right_ts)]
     forward = direction == "forward"
 
-    def keyed(df: DataFrame, ts: str) -> list[Column]:
+    def keyed(ts: str) -> list[Column]:
         # A common name and type for the time lets both sides be stacked.
         return [*(F.col(c) for c in by), micros(ts).alias("_t")]
 
@@ -88,20 +89,23 @@ def asof_join(
     right_side, left_side = (1, 0) if forward else (0, 1)
     own = [c for c in left.columns if c not in by]
     left_rows = left.select(
-        *keyed(left, left_ts),
+        *keyed(left_ts),
         F.lit(left_side).alias("_side"),
         F.struct(*own).alias("_left"),
     )
     match = F.struct(*payload)
     usable = right.where(F.col(right_ts).isNotNull())
     right_rows = usable.select(
-        *keyed(usable, right_ts), F.lit(right_side).alias("_side"), match.alias("_right")
+        *keyed(right_ts), F.lit(right_side).alias("_side"), match.alias("_right")
     )
+    order = ["_t desc", "_side desc"] if forward else ["_t", "_side"]
+    # Planned on the plain rows of both sides, which costs one narrow scan.
+    stacked = left_rows.drop("_left").unionByName(right_rows.drop("_right"))
+    split = plan_split(stacked, by, order, group_rows)
     # One winner per time; the maximum is taken on the map side first.
     right_rows = right_rows.groupBy(*by, "_t", "_side").agg(F.max("_right").alias("_right"))
     both = left_rows.unionByName(right_rows, allowMissingColumns=True)
-    order = ["_t desc", "_side desc"] if forward else ["_t", "_side"]
-    filled = fill_forward(both, by, order, ["_right"], group_rows)
+    filled = fill_forward(both, by, order, ["_right"], split=split)
     rows = filled.where(F.col("_side") == left_side)
     distance = F.abs(F.col("_t") - micros(F.col("_right")[right_ts]))
     hit = F.col("_t").isNotNull()
@@ -237,16 +241,18 @@ def salted_join(
     salts: int,
     how: str = "inner",
     group_rows: int = GROUP_ROWS,
+    hot: list | None = None,
 ) -> DataFrame:
     """Equi-join that divides the hot keys of ``big`` into ``salts`` parts.
 
     Only rows of ``small`` with a hot key are copied, ``salts`` times each. Null
-    keys may be hot too, which matters for ``how="left"``.
+    keys may be hot too, which matters for ``how="left"``. ``hot`` takes the
+    result of :func:`millrace.skew.hot_groups` where it is known already.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("how must be inner, left, left_semi or left_anti")
     on = list(on)
-    hot = hot_groups(big, on, group_rows)
+    hot = hot_groups(big, on, group_rows) if hot is None else hot
     if not hot:
         return big.join(small, on, how)
     keys = key_table(big, on, hot, "_hot_").withColumn("_is_hot", F.lit(True))
@@ -279,7 +285,9 @@ def fuzzy_join(
 
     Pairs come from an exact filter, not from comparing a block with itself: if
     the left text is cut into ``max_dist + 1`` parts, a text within ``max_dist``
-    edits keeps at least one part unchanged, shifted by at most ``max_dist``.
+    edits keeps some part ``i`` unchanged, with at most ``i`` edits before it and
+    ``max_dist - i`` after it, which bounds how far it can have moved (Li et al.,
+    Pass-Join, 2011).
     """
     d = max_dist
 
@@ -315,7 +323,8 @@ def fuzzy_join(
     for other in range(-d, d + 1):
         for i in range(d + 1):
             start, n = part(i, own + other)
-            for shift in range(-d, d + 1):
+            # `other` is the left length less the right one.
+            for shift in range(max(-i, -other - (d - i)), min(i, -other + (d - i)) + 1):
                 at = start + shift
                 fits = (own + other >= 0) & (at >= 1) & (at + n - 1 <= own)
                 probe = F.struct(

@@ -1,7 +1,9 @@
 """Window operators that stay even when one group is very large.
 
 Each function plans a split first (see :mod:`millrace.skew`). Without a large
-group the plan is one ordinary Spark window.
+group the plan is one ordinary Spark window. Planning counts the rows per group
+of the input; a caller that knows the groups, or can plan on something cheaper
+than the input, passes ``split`` or ``group_rows=None`` instead.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.skew import GROUP_ROWS, PIECE, at_or_after, order_by, parse_order, plan_split
+from millrace.skew import GROUP_ROWS, PIECE, Split, at_or_after, order_by, parse_order, plan_split
 
 
 def _struct(names: Sequence[str]) -> Column:
@@ -24,13 +26,14 @@ def rank_rows(
     order: Sequence[str],
     tiles: int | None = None,
     group_rows: int | None = GROUP_ROWS,
+    split: Split | None = None,
 ) -> DataFrame:
     """Add row_number, rank, dense_rank, percent_rank, cume_dist, group_rows.
 
     With ``tiles`` an ``ntile`` column is added as well.
     """
     names = [n for n, _ in parse_order(order)]
-    split = plan_split(df, by, order, group_rows)
+    split = split or plan_split(df, by, order, group_rows)
     rows = split.carry(
         df,
         {"rows": F.count(F.lit(1)), "values": F.count_distinct(_struct(names))},
@@ -132,14 +135,15 @@ def frame_rows(
     further than ``before`` rows back or ``after`` rows ahead. Large groups are
     cut by row number, and each piece borrows those rows from its neighbours.
     """
-    if plan_split(df, by, order, group_rows).cuts is None:
+    split = plan_split(df, by, order, group_rows)
+    if split.cuts is None:
         w = Window.partitionBy(*by).orderBy(*order_by(order))
         return df.withColumns({name: make(w) for name, make in exprs.items()})
     size = max(group_rows, 8 * (before + after))
     index = F.col("row_number") - 1
     home = F.floor(index / size)
     pieces = F.sequence(F.floor((index - after) / size), F.floor((index + before) / size))
-    rows = rank_rows(df, by, order, group_rows=group_rows).select(
+    rows = rank_rows(df, by, order, split=split).select(
         *df.columns, home.alias("_home"), F.explode(pieces).alias(PIECE)
     )
     w = Window.partitionBy(*by, PIECE).orderBy(*order_by(order))
@@ -188,6 +192,7 @@ def neighbour(
     name: str,
     following: bool = False,
     group_rows: int | None = GROUP_ROWS,
+    split: Split | None = None,
 ) -> DataFrame:
     """Add ``value`` of the row just before (or after) in ``order``, else null.
 
@@ -196,7 +201,7 @@ def neighbour(
     columns = [n for n, desc in parse_order(order) if not desc]
     if len(columns) != len(order):
         raise ValueError("neighbour needs an ascending order")
-    split = plan_split(df, by, order, group_rows)
+    split = split or plan_split(df, by, order, group_rows)
     rows = df.withColumn("_own", F.struct(value.alias("v")))
     nearest = F.min_by if following else F.max_by
     pick = F.first if following else F.last
@@ -217,6 +222,7 @@ def fill_forward(
     order: Sequence[str],
     cols: Sequence[str],
     group_rows: int | None = GROUP_ROWS,
+    split: Split | None = None,
 ) -> DataFrame:
     """Replace nulls in ``cols`` by the last value seen in ``order``.
 
@@ -227,7 +233,7 @@ def fill_forward(
         raise ValueError("fill_forward needs one sort direction")
     names = [n for n, _ in parse_order(order)]
     latest = F.min_by if directions.pop() else F.max_by
-    split = plan_split(df, by, order, group_rows)
+    split = split or plan_split(df, by, order, group_rows)
     rows = split.carry(
         df,
         {c: latest(c, F.when(F.col(c).isNotNull(), _struct(names))) for c in cols},

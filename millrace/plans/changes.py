@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators.changes import diff_tables, merge_snapshot, scd2_apply
 from millrace.operators.hierarchy import hierarchy_closure
 from millrace.plans.registry import query
+from millrace.session import checkpointed
 from millrace.sources.tables import load_table
 
 
@@ -190,7 +191,8 @@ def versions(spark, d):
     late = customer.where("c_mktsegment = 'BUILDING'").select(
         "c_custkey", F.lit("LATE").alias("segment"), at("2020-06-01").alias("ts")
     )
-    once = scd2_apply(history, first, ["c_custkey"], ["segment"], "ts")
+    # A history is a stored table between two loads.
+    once = checkpointed(scd2_apply(history, first, ["c_custkey"], ["segment"], "ts"))
     return scd2_apply(once, late, ["c_custkey"], ["segment"], "ts")
 
 

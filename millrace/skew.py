@@ -18,6 +18,7 @@ A task that is run again therefore puts each row into the same piece.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
@@ -29,7 +30,6 @@ from pyspark.sql import types as T
 GROUP_ROWS = 10_000_000
 MAX_GROUPS = 4096
 SAMPLES_PER_PIECE = 16
-CUTS_PER_BLOCK = 64
 
 PIECE = "_piece"
 
@@ -96,10 +96,13 @@ def key_table(df: DataFrame, by: Sequence[str], rows: list, prefix: str) -> Data
 class Split:
     """How the groups of ``by``, sorted by ``order``, are cut into pieces."""
 
-    def __init__(self, by: Sequence[str], order: Sequence[str], cuts: DataFrame | None):
+    def __init__(
+        self, by: Sequence[str], order: Sequence[str], cuts: DataFrame | None = None, fan: int = 1
+    ):
         self.by = list(by)
         self.order = list(order)
         self.cuts = cuts
+        self.fan = fan
 
     @property
     def keys(self) -> list[str]:
@@ -118,17 +121,21 @@ class Split:
             return df
         match = same_keys(df, self.cuts, self.by, "_cut_")
         rows = df.join(F.broadcast(self.cuts), match, how)
-        # Two short scans instead of one long one: block heads, then one block.
-        rows = rows.withColumn(
-            "_block", F.size(F.filter("_blocks", lambda b: at_or_after(self.order, b[0])))
-        )
-        block = F.col("_block")
-        inside = F.size(
-            F.filter(F.get("_blocks", block - 1), lambda c: at_or_after(self.order, c))
-        )
-        piece = F.when(block > 0, (block - 1) * CUTS_PER_BLOCK + inside).otherwise(0)
-        rows = rows.withColumn(PIECE, F.when(F.col("_blocks").isNotNull(), piece))
-        return rows.drop("_blocks", "_block", *("_cut_" + n for n in self.by))
+
+        def reached(blocks: str | Column, head: Callable[[Column], Column]) -> Column:
+            return F.size(F.filter(blocks, lambda b: at_or_after(self.order, head(b))))
+
+        # The cuts lie three levels deep, so a row is compared with about three
+        # times the cube root of their number.
+        rows = rows.withColumn("_i", reached("_cuts", lambda b: b[0][0]))
+        rows = rows.withColumn("_outer", F.get("_cuts", F.col("_i") - 1))
+        rows = rows.withColumn("_j", reached("_outer", lambda b: b[0]))
+        rows = rows.withColumn("_inner", F.get("_outer", F.col("_j") - 1))
+        last = reached("_inner", lambda c: c)
+        place = ((F.col("_i") - 1) * self.fan + F.col("_j") - 1) * self.fan + last
+        piece = F.when(F.col("_cuts").isNull(), None).when(F.col("_i") == 0, 0).otherwise(place)
+        rows = rows.withColumn(PIECE, piece.cast("int"))
+        return rows.drop("_cuts", "_i", "_outer", "_j", "_inner", *("_cut_" + n for n in self.by))
 
     def carry(
         self,
@@ -175,11 +182,9 @@ def plan_split(
     one sampling job over those groups. ``group_rows=None`` skips both, for
     input whose groups are known to be small.
     """
-    if group_rows is None:
-        return Split(by, order, None)
-    hot = hot_groups(df, by, group_rows)
+    hot = [] if group_rows is None else hot_groups(df, by, group_rows)
     if not hot:
-        return Split(by, order, None)
+        return Split(by, order)
 
     size = max(group_rows, sum(r["_n"] for r in hot) // MAX_GROUPS)
     names = [name for name, _ in parse_order(order)]
@@ -198,16 +203,18 @@ def plan_split(
         if not found or found[-1] != cut:
             found.append(cut)
 
-    def blocks(found):
-        return [found[i : i + CUTS_PER_BLOCK] for i in range(0, len(found), CUTS_PER_BLOCK)]
+    fan = max(1, math.ceil(max(map(len, cuts.values())) ** (1 / 3)))
+
+    def blocks(found: list) -> list:
+        return [found[i : i + fan] for i in range(0, len(found), fan)]
 
     struct = T.StructType([_renamed(slim.schema[n], n) for n in names])
     schema = T.StructType(
         [_renamed(slim.schema[n], "_cut_" + n) for n in by]
-        + [T.StructField("_blocks", T.ArrayType(T.ArrayType(struct)), False)]
+        + [T.StructField("_cuts", T.ArrayType(T.ArrayType(T.ArrayType(struct))), False)]
     )
-    rows = [(*key, blocks(found)) for key, found in cuts.items()]
-    return Split(by, order, df.sparkSession.createDataFrame(rows, schema))
+    rows = [(*key, blocks(blocks(found))) for key, found in cuts.items()]
+    return Split(by, order, df.sparkSession.createDataFrame(rows, schema), fan)
 
 
 def spread(df: DataFrame, parts: int) -> Column:
