@@ -19,7 +19,8 @@ def _parsed_columns(df: DataFrame, col: str, schema: str, parse) -> DataFrame:
     full = T.StructType([*declared, T.StructField(CORRUPT, T.StringType(), True)])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     rows = df.withColumn("_doc", parse(F.col(col), full, options))
-    bad = F.col(col).isNotNull() & F.coalesce(F.col("_doc")[CORRUPT].isNotNull(), F.lit(True))
+    unread = F.col("_doc").isNull() | F.col("_doc")[CORRUPT].isNotNull()
+    bad = F.col(col).isNotNull() & unread
     return rows.select(
         *df.columns, *(F.col("_doc")[n].alias(n) for n in declared.names), bad.alias("is_bad")
     )

@@ -266,6 +266,8 @@ def top_with_ties(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     The n-th row is found with a top-k sort; a filter then keeps the ties, so
     no single task sees them all.
     """
+    if n < 1:
+        raise ValueError("n must be at least 1")
     names = [name for name, _ in parse_order(order)]
     nth = df.select(*names).orderBy(*order_by(order)).limit(n)
     # With fewer than n rows the edge is the last row, and every row is kept.

@@ -33,19 +33,19 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder. A cluster
-    session without it is an error, since a machine-local folder would lose
-    data with its executor.
+    Where the setting is missing, the context's checkpoint directory is used. A
+    local session that has neither gets a temporary folder. A cluster session
+    that has neither is an error, since a machine-local folder would lose data
+    with its executor.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base:
         return base
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    base = tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
