@@ -79,42 +79,30 @@ def asof_join(
     by = list(by)
     _distinct_names(left, right, by)
     payload = [right_ts, *(c for c in right.columns if c not in by and c != right_ts)]
-    forward = direction == "forward"
 
-    def keyed(ts: str) -> list[Column]:
-        # A common name and type for the time lets both sides be stacked.
-        return [*(F.col(c) for c in by), micros(ts).alias("_t")]
+    def time(ts: str | Column) -> Column:
+        # Looking forward is looking backward with the time negated.
+        return micros(ts) if direction == "backward" else -micros(ts)
 
-    # At equal times every right row must come before every left row.
-    right_side, left_side = (1, 0) if forward else (0, 1)
     own = [c for c in left.columns if c not in by]
+    # At equal times every right row sorts before every left row.
     left_rows = left.select(
-        *keyed(left_ts),
-        F.lit(left_side).alias("_side"),
-        F.struct(*own).alias("_left"),
+        *by, time(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*own).alias("_left")
     )
-    match = F.struct(*payload)
-    usable = right.where(F.col(right_ts).isNotNull())
-    right_rows = usable.select(
-        *keyed(right_ts), F.lit(right_side).alias("_side"), match.alias("_right")
+    right_rows = right.where(F.col(right_ts).isNotNull()).select(
+        *by, time(right_ts).alias("_t"), F.lit(0).alias("_side"), F.struct(*payload).alias("_right")
     )
-    order = ["_t desc", "_side desc"] if forward else ["_t", "_side"]
-    # Planned on the plain rows of both sides, which costs one narrow scan.
-    stacked = left_rows.drop("_left").unionByName(right_rows.drop("_right"))
-    split = plan_split(stacked, by, order, group_rows)
-    # One winner per time; the maximum is taken on the map side first.
-    right_rows = right_rows.groupBy(*by, "_t", "_side").agg(F.max("_right").alias("_right"))
     both = left_rows.unionByName(right_rows, allowMissingColumns=True)
-    filled = fill_forward(both, by, order, ["_right"], split=split)
-    rows = filled.where(F.col("_side") == left_side)
-    distance = F.abs(F.col("_t") - micros(F.col("_right")[right_ts]))
+    split = plan_split(both, by, ["_t", "_side"], group_rows)
+    rows = fill_forward(both, by, ["_t", "_side", "_right"], ["_right"], split=split)
     hit = F.col("_t").isNotNull()
     for c in by:
         hit = hit & F.col(c).isNotNull()
     if tolerance is not None:
+        distance = F.col("_t") - time(F.col("_right")[right_ts])
         hit = hit & (distance <= round(tolerance * 1_000_000))
     found = F.when(hit, F.col("_right"))
-    return rows.withColumn("_right", found).select(
+    return rows.where(F.col("_side") == 1).withColumn("_right", found).select(
         *(F.col(c) if c in by else F.col("_left")[c].alias(c) for c in left.columns),
         *(F.col("_right")[c].alias(c) for c in payload),
     )

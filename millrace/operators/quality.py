@@ -62,12 +62,12 @@ def check_constraints(
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: ``column, rows, nulls, distinct_values, min, max``.
 
-    Everything comes from one aggregation. Exact distinct counts make Spark
-    shuffle each column's distinct values; ``approx=True`` uses HyperLogLog and
-    shuffles one row per task. Nested columns have no min and max.
+    Counts and bounds come from one pass that shuffles one row per task. Exact
+    distinct counts take a second pass, which shuffles each column's distinct
+    values; ``approx=True`` uses HyperLogLog in the first pass instead. Nested
+    columns have no min and max.
     """
-    count_distinct = F.approx_count_distinct if approx else F.count_distinct
-    facts = []
+    facts, distinct = [], []
     for field in df.schema:
         c = F.col(f"`{field.name}`")
         plain = not isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType))
@@ -75,11 +75,17 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
         high = F.max(c).cast("string") if plain else F.lit(None).cast("string")
         facts += [
             F.count(c).alias(f"{field.name}.n"),
-            count_distinct(c).alias(f"{field.name}.d"),
             low.alias(f"{field.name}.lo"),
             high.alias(f"{field.name}.hi"),
         ]
+        counted = F.approx_count_distinct(c) if approx else F.count_distinct(c)
+        distinct.append(counted.alias(f"{field.name}.d"))
+    if approx:
+        facts += distinct
     one = df.agg(F.count(F.lit(1)).alias("rows"), *facts)
+    if not approx:
+        counts = df.agg(*distinct).select(F.struct("*").alias("_distinct"))
+        one = one.withColumn("_distinct", counts.scalar()).select("*", "_distinct.*")
 
     def fact(name: str, kind: str) -> Column:
         return F.col(f"`{name}.{kind}`")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.joins import micros
-from millrace.operators.windows import fill_forward
 
 
 def islands(df: DataFrame, key: Sequence[str], day: str) -> DataFrame:
@@ -64,6 +64,32 @@ def sessionize(df: DataFrame, key: Sequence[str], ts: str, gap: float) -> DataFr
     )
 
 
+_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
+_MONTHS = {"month": 1, "quarter": 3, "year": 12}
+
+
+def _grid(step: str, first: Column) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """``(point, index)``: the k-th period from ``first``, and about which k a time has."""
+    count, _, unit = step.strip().partition(" ")
+    unit = unit.strip().lower().removesuffix("s")
+    if not count.isdigit() or int(count) < 1 or unit not in {**_SECONDS, **_MONTHS}:
+        raise ValueError(f"step {step!r}: use a positive number and a unit, such as '1 day'")
+    if unit in _MONTHS:
+        months = int(count) * _MONTHS[unit]
+
+        def point(k: Column) -> Column:
+            return first + F.make_ym_interval(F.lit(0), (k * months).cast("int"))
+
+        return point, lambda t: F.floor(F.months_between(t, first) / months)
+
+    seconds = int(count) * _SECONDS[unit]
+
+    def point(k: Column) -> Column:
+        return first + F.make_dt_interval(secs=(k * seconds).cast("decimal(18,6)"))
+
+    return point, lambda t: F.floor((micros(t) - micros(first)) / (seconds * 1_000_000))
+
+
 def gap_fill(
     df: DataFrame,
     key: Sequence[str],
@@ -74,33 +100,43 @@ def gap_fill(
 ) -> DataFrame:
     """Add the periods missing between each key's first and last one.
 
-    ``step`` is an interval such as ``"1 day"``. ``df`` holds one row per key
-    and period; ``cols`` of added periods are null, zero or the last value
-    (``fill="null"|"zero"|"last"``). Rows off the step grid are kept. Groups are
-    bounded by the number of periods, so the fill needs no splitting.
+    ``step`` is a length such as ``"1 day"`` or ``"3 months"``, counted from the
+    key's first time. ``df`` holds one row per key and period; ``cols`` of added
+    periods are null, zero or the last value (``fill="null"|"zero"|"last"``),
+    and ``"last"`` also fills nulls of given rows. Rows off the step grid are kept.
+
+    Each row adds the periods up to the next row, so one shuffle by key does it
+    all. Groups are bounded by the number of periods and need no splitting.
     """
     if fill not in ("null", "zero", "last"):
         raise ValueError("fill must be 'null', 'zero' or 'last'")
-    spans = df.groupBy(*key).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    periods = F.expr(f"sequence(_lo, _hi, INTERVAL {step})")
-    spine = spans.where(F.col("_lo").isNotNull()).select(*key, F.explode(periods).alias(ts))
-    marked = df.withColumn("_present", F.lit(True))
-    on = [*key, ts]
-    copies = spine.select(*(F.col(c).alias("_s_" + c) for c in on))
-    match = F.lit(True)
-    for c in on:
-        match = match & marked[c].eqNullSafe(copies["_s_" + c])
-    filled = marked.join(copies, match, "full").withColumns(
-        {c: F.when(F.col("_present"), F.col(c)).otherwise(F.col("_s_" + c)) for c in on}
-    )
-    filled = filled.drop(*("_s_" + c for c in on))
-    if fill == "zero":
-        filled = filled.withColumns(
-            {c: F.when(F.col("_present"), F.col(c)).otherwise(F.lit(0)) for c in cols}
-        )
+    whole = Window.partitionBy(*key)
+    ordered = whole.orderBy(ts)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.withColumns({"_first": F.min(ts).over(whole), "_next": F.lead(ts).over(ordered)})
     if fill == "last":
-        filled = fill_forward(filled, key, [ts], cols, group_rows=None)
-    return filled.select(*df.columns)
+        rows = rows.withColumns(
+            {"_last_" + c: F.last(c, ignorenulls=True).over(upto) for c in cols}
+        ).withColumns({c: F.col("_last_" + c) for c in cols})
+    point, index = _grid(step, F.col("_first"))
+    kind = df.schema[ts].dataType
+    # The index is approximate at month ends: look one period further each way.
+    places = F.sequence(index(F.col(ts)) - 1, index(F.col("_next")) + 1)
+    points = F.transform(places, lambda k: point(k).cast(kind))
+    missing = F.filter(points, lambda t: (t > F.col(ts)) & (t < F.col("_next")))
+    none = F.array().cast(T.ArrayType(kind))
+    periods = F.concat(F.array(ts), F.coalesce(missing, none))
+    filled = rows.select(*df.columns, F.posexplode(periods).alias("_place", "_period"))
+    outputs = []
+    for c in df.columns:
+        if c == ts:
+            outputs.append(F.col("_period").alias(c))
+        elif c in key or (c in cols and fill == "last"):
+            outputs.append(F.col(c))
+        else:
+            added = F.lit(0) if c in cols and fill == "zero" else F.lit(None)
+            outputs.append(F.when(F.col("_place") == 0, F.col(c)).otherwise(added).alias(c))
+    return filled.select(*outputs)
 
 
 def period_change(

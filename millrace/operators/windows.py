@@ -234,6 +234,7 @@ def fill_forward(
     names = [n for n, _ in parse_order(order)]
     latest = F.min_by if directions.pop() else F.max_by
     split = split or plan_split(df, by, order, group_rows)
+    # A given split may have been planned on the leading columns of the order.
     rows = split.carry(
         df,
         {c: latest(c, F.when(F.col(c).isNotNull(), _struct(names))) for c in cols},
@@ -242,7 +243,8 @@ def fill_forward(
             for c in cols
         },
     )
-    w = split.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*split.keys).orderBy(*order_by(order))
+    w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns(
         {"_f_" + c: F.coalesce(F.last(c, ignorenulls=True).over(w), "_c_" + c) for c in cols}
     )

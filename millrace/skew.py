@@ -119,8 +119,11 @@ class Split:
         """
         if self.cuts is None:
             return df
-        match = same_keys(df, self.cuts, self.by, "_cut_")
-        rows = df.join(F.broadcast(self.cuts), match, how)
+        if self.by:
+            match = same_keys(df, self.cuts, self.by, "_cut_")
+            rows = df.join(F.broadcast(self.cuts), match, how)
+        else:
+            rows = df.withColumn("_cuts", self.cuts.select("_cuts").scalar())
 
         def reached(blocks: str | Column, head: Callable[[Column], Column]) -> Column:
             return F.size(F.filter(blocks, lambda b: at_or_after(self.order, head(b))))

@@ -165,3 +165,26 @@ def test_latest_per_key_limits_before_the_shuffle(spark, sf_dir):
     newest = latest_per_key(orders, ["o_custkey"], ["o_orderdate desc", "o_orderkey"])
     plan = newest._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_gap_fill_counts_months_from_the_first_time(spark):
+    ends = [datetime(2024, 1, 30), datetime(2024, 2, 29), datetime(2024, 5, 30)]
+    df = spark.createDataFrame([(t, 1) for t in ends], "t TIMESTAMP_NTZ, v INT")
+    found = s.gap_fill(df, [], "t", "1 month", ["v"])
+    assert rows(found, "t") == [
+        (datetime(2024, 1, 30),),
+        (datetime(2024, 2, 29),),
+        (datetime(2024, 3, 30),),
+        (datetime(2024, 4, 30),),
+        (datetime(2024, 5, 30),),
+    ]
+    dates = spark.createDataFrame([(date(2024, 1, 1), 1), (date(2024, 1, 22), 2)], "t DATE, v INT")
+    filled = s.gap_fill(dates, [], "t", "1 week", ["v"], "zero")
+    assert rows(filled) == [
+        (date(2024, 1, 1), 1),
+        (date(2024, 1, 8), 0),
+        (date(2024, 1, 15), 0),
+        (date(2024, 1, 22), 2),
+    ]
+    with pytest.raises(ValueError):
+        s.gap_fill(df, [], "t", "fortnight", ["v"])
