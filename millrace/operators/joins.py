@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -257,6 +258,69 @@ def salted_join(
     return salted.drop("_part", *dropped).join(copied, [*on, "_salt"], how).drop("_salt")
 
 
+# Characters of deletion variants one text may cost; longer texts use parts.
+_VARIANT_BUDGET = 50_000
+
+
+def _variant_length(d: int) -> int:
+    """The longest text whose variants with up to ``d`` deletions fit the budget."""
+    n = 0
+    while (n + 1) * sum(math.comb(n + 1, k) for k in range(d + 1)) <= _VARIANT_BUDGET:
+        n += 1
+    return n
+
+
+def _deletions(df: DataFrame, text: str, d: int) -> DataFrame:
+    """Explode the hashes of all texts got by deleting up to ``d`` characters."""
+
+    def shorter(v: Column) -> Column:
+        cut = F.transform(
+            F.sequence(F.lit(1), F.length(v)),
+            lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v))),
+        )
+        return F.when(F.length(v) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    rows = df.withColumn("_v0", F.array(text))
+    for k in range(d):
+        rows = rows.withColumn(
+            f"_v{k + 1}", F.array_distinct(F.flatten(F.transform(f"_v{k}", shorter)))
+        )
+    levels = [f"_v{k}" for k in range(d + 1)]
+    hashes = F.transform(F.concat(*levels), lambda v: F.xxhash64(v))
+    return rows.withColumn("_key", F.explode(F.array_distinct(hashes))).drop(*levels)
+
+
+def _part(i: int, length: Column, d: int) -> tuple[Column, Column]:
+    """Start (from 1) and length of part ``i`` when a text is cut into ``d + 1``."""
+    start = F.floor(length * i / (d + 1))
+    return (start + 1).cast("int"), (F.floor(length * (i + 1) / (d + 1)) - start).cast("int")
+
+
+def _parts(df: DataFrame, text: str, d: int) -> DataFrame:
+    """Explode the parts of a text, tagged with its length and their number."""
+    size, parts = F.length(text), []
+    for i in range(d + 1):
+        start, n = _part(i, size, d)
+        parts.append(F.xxhash64(size, F.lit(i), F.substring(text, start, n)))
+    return df.withColumn("_key", F.explode(F.array(*parts)))
+
+
+def _part_probes(df: DataFrame, text: str, d: int) -> DataFrame:
+    """Explode the substrings that can equal a part of a text within ``d`` edits."""
+    own, probes = F.length(text), []
+    for longer in range(-d, d + 1):
+        for i in range(d + 1):
+            start, n = _part(i, own + longer, d)
+            # Some part has at most i edits before it and d - i after it.
+            for shift in range(max(-i, i - d - longer), min(i, d - i - longer) + 1):
+                at = start + shift
+                fits = (own + longer >= 0) & (at >= 1) & (at + n - 1 <= own)
+                token = F.xxhash64(own + longer, F.lit(i), F.substring(text, at, n))
+                probes.append(F.when(fits, token))
+    wanted = F.array_distinct(F.array_compact(F.array(*probes)))
+    return df.withColumn("_key", F.explode(wanted))
+
+
 def fuzzy_join(
     left: DataFrame,
     right: DataFrame,
@@ -271,11 +335,15 @@ def fuzzy_join(
     ``right_text``, ``distance`` and how many rows hold each text. Copies are
     counted before anything is joined.
 
-    Pairs come from an exact filter, not from comparing a block with itself: if
-    the left text is cut into ``max_dist + 1`` parts, a text within ``max_dist``
-    edits keeps some part ``i`` unchanged, with at most ``i`` edits before it and
-    ``max_dist - i`` after it, which bounds how far it can have moved (Li et al.,
-    Pass-Join, 2011).
+    A block is never compared with itself. Two exact filters give the candidates,
+    by the length of the left text, and the distance decides among them:
+
+    * short texts match where both become equal after up to ``max_dist``
+      deletions, so a candidate is at most twice too far apart and a popular
+      beginning or ending brings no candidates;
+    * long texts, whose variants would cost too much, match on one of
+      ``max_dist + 1`` parts that stays unchanged, at the places where it can
+      have moved to (Li et al., Pass-Join, 2011).
     """
     d = max_dist
 
@@ -285,47 +353,17 @@ def fuzzy_join(
             F.count(F.lit(1)).alias(f"{name}_rows")
         )
 
-    lefts = texts(left, left_col, "left")
-    rights = texts(right, right_col, "right")
-
-    def part(i: int, length: Column) -> tuple[Column, Column]:
-        """Start (from 1) and length of part ``i`` of a text of ``length``."""
-        start = F.floor(length * i / (d + 1))
-        return (start + 1).cast("int"), (F.floor(length * (i + 1) / (d + 1)) - start).cast("int")
-
-    size = F.length("left_text")
-    parts = []
-    for i in range(d + 1):
-        start, n = part(i, size)
-        parts.append(
-            F.struct(
-                size.alias("size"),
-                F.lit(i).alias("part"),
-                F.substring("left_text", start, n).alias("token"),
-            )
-        )
-    signed = lefts.select(block, "left_text", F.explode(F.array(*parts)).alias("_s"))
-
-    probes = []
-    own = F.length("right_text")
-    for other in range(-d, d + 1):
-        for i in range(d + 1):
-            start, n = part(i, own + other)
-            # `other` is the left length less the right one.
-            for shift in range(max(-i, -other - (d - i)), min(i, -other + (d - i)) + 1):
-                at = start + shift
-                fits = (own + other >= 0) & (at >= 1) & (at + n - 1 <= own)
-                probe = F.struct(
-                    (own + other).alias("size"),
-                    F.lit(i).alias("part"),
-                    F.substring("right_text", at, n).alias("token"),
-                )
-                probes.append(F.when(fits, probe))
-    # An array of distinct probes: a repeated token in one text is sent once.
-    wanted = F.array_distinct(F.array_compact(F.array(*probes)))
-    probed = rights.select(block, "right_text", F.explode(wanted).alias("_s"))
-
-    pairs = signed.join(probed, [block, "_s"]).select(block, "left_text", "right_text").distinct()
+    lefts, rights = texts(left, left_col, "left"), texts(right, right_col, "right")
+    a, b = lefts.select(block, "left_text"), rights.select(block, "right_text")
+    limit = _variant_length(d)
+    short = _deletions(a.where(F.length("left_text") <= limit), "left_text", d).join(
+        _deletions(b.where(F.length("right_text") <= limit + d), "right_text", d), [block, "_key"]
+    )
+    long = _parts(a.where(F.length("left_text") > limit), "left_text", d).join(
+        _part_probes(b.where(F.length("right_text") > limit - d), "right_text", d),
+        [block, "_key"],
+    )
+    pairs = short.unionByName(long).select(block, "left_text", "right_text").distinct()
     near = pairs.withColumn("distance", F.levenshtein("left_text", "right_text", d))
     near = near.where(F.col("distance") >= 0)
     return (

@@ -32,14 +32,19 @@ def flagship(spark, d):
     nation = load_table(spark, d, "nation")
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     discount = F.col("l_discount").cast("decimal(4,2)")
-    # Line items shrink to one row per order before any join sees them, so an
-    # order with very many lines costs one row and COUNT(DISTINCT) is a COUNT.
+    # Line items shrink to one row per order, and orders to one row per customer,
+    # before the next join. A hot order or customer costs one row there, and
+    # COUNT(DISTINCT) is a COUNT.
     per_order = lineitem.groupBy("l_orderkey").agg(F.sum(price * (1 - discount)).alias("revenue"))
-    return (
+    per_customer = (
         per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("c_nationkey")
+        .groupBy("o_custkey")
         .agg(F.sum("revenue").alias("revenue"), F.count("o_orderkey").alias("n_orders"))
+    )
+    return (
+        per_customer.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey")
+        .agg(F.sum("revenue").alias("revenue"), F.sum("n_orders").alias("n_orders"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("n_name", F.col("revenue").cast("double").alias("revenue"), "n_orders")
     )

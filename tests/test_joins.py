@@ -164,8 +164,11 @@ def edits(a, b):
     return line[-1]
 
 
+@pytest.mark.parametrize("budget", [50_000, 300, 0])
 @pytest.mark.parametrize("distance", [0, 1, 2, 3])
-def test_fuzzy_join_finds_every_pair(spark, distance):
+def test_fuzzy_join_finds_every_pair(spark, monkeypatch, distance, budget):
+    """With a lower budget more texts, then all of them, go by their parts."""
+    monkeypatch.setattr(j, "_VARIANT_BUDGET", budget)
     rng = random.Random(distance)
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(120)]
     left = [(i % 2, x) for i, x in enumerate(words[:60])]
