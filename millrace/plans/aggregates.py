@@ -14,7 +14,7 @@ from millrace.operators.aggregates import (
     pivot_table,
     unpivot_table,
 )
-from millrace.plans.registry import query
+from millrace.plans.registry import as_double, query
 from millrace.sources.tables import load_table
 
 _PRICE = "CAST(o_totalprice AS DECIMAL(12,2))"
@@ -66,37 +66,38 @@ _LEVEL_AGGS = f"COUNT(*) AS n, CAST(SUM({_PRICE}) AS DOUBLE) AS total"
 def _levels(spark, d, mode):
     orders = load_table(spark, d, "orders").withColumn("o_year", F.year("o_orderdate").cast("long"))
     orders = orders.withColumn("status", F.nullif("o_orderstatus", F.lit("P")))
-    return aggregate_levels(
+    found = aggregate_levels(
         orders,
         ["o_year", "status"],
         {"n": F.count(F.lit(1)), "total": F.sum(_price()).cast("double")},
         mode,
     )
+    return as_double(found, "o_year")
 
 
 def _levels_sql(sets):
     return f"""
-    WITH o AS (SELECT *, year(o_orderdate) AS o_year, nullif(o_orderstatus, 'P') AS status
+    WITH o AS (SELECT *, year(o_orderdate) AS y, nullif(o_orderstatus, 'P') AS status
                FROM orders)
-    SELECT o_year, status, CASE
-             WHEN grouping(o_year) = 0 AND grouping(status) = 0 THEN 'o_year+status'
-             WHEN grouping(o_year) = 0 THEN 'o_year' WHEN grouping(status) = 0 THEN 'status'
+    SELECT CAST(y AS DOUBLE) AS o_year, status, CASE
+             WHEN grouping(y) = 0 AND grouping(status) = 0 THEN 'o_year+status'
+             WHEN grouping(y) = 0 THEN 'o_year' WHEN grouping(status) = 0 THEN 'status'
              ELSE 'total' END AS level, {_LEVEL_AGGS}
     FROM o GROUP BY {sets}
     """
 
 
-@query("d2_rollup_levels", _levels_sql("ROLLUP (o_year, status)"))
+@query("d2_rollup_levels", _levels_sql("ROLLUP (y, status)"))
 def rollup_levels(spark, d):
     return _levels(spark, d, "rollup")
 
 
-@query("d2_cube_levels", _levels_sql("CUBE (o_year, status)"))
+@query("d2_cube_levels", _levels_sql("CUBE (y, status)"))
 def cube_levels(spark, d):
     return _levels(spark, d, "cube")
 
 
-@query("d2_named_levels", _levels_sql("GROUPING SETS ((o_year), (status), ())"))
+@query("d2_named_levels", _levels_sql("GROUPING SETS ((y), (status), ())"))
 def named_levels(spark, d):
     return _levels(spark, d, [["o_year"], ["status"], []])
 

@@ -13,7 +13,7 @@ from millrace.operators.joins import (
     salted_join,
     top_n_per_row,
 )
-from millrace.plans.registry import query
+from millrace.plans.registry import as_double, query
 from millrace.sources.tables import load_table
 
 
@@ -42,14 +42,17 @@ def _lines(spark, d):
 _LINES_SQL = """
     WITH l AS (SELECT l_orderkey, COUNT(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
          o AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P')
-    SELECT o_orderkey, o_orderstatus, l_orderkey, n FROM o {how} JOIN l ON o_orderkey = l_orderkey
+    SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_orderstatus,
+           CAST(l_orderkey AS DOUBLE) AS l_orderkey, CAST(n AS DOUBLE) AS n
+    FROM o {how} JOIN l ON o_orderkey = l_orderkey
 """
 
 
 def _orders_lines(spark, d, how):
     orders = load_table(spark, d, "orders").where("o_orderstatus <> 'P'")
     match = F.col("o_orderkey") == F.col("l_orderkey")
-    return orders.select("o_orderkey", "o_orderstatus").join(_lines(spark, d), match, how)
+    joined = orders.select("o_orderkey", "o_orderstatus").join(_lines(spark, d), match, how)
+    return as_double(joined, "o_orderkey", "l_orderkey", "n")
 
 
 @query("c1_left_join", _LINES_SQL.format(how="LEFT"))
@@ -127,7 +130,7 @@ _NOT_IN_SQL = """
                FROM customer),
          o AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS k FROM orders
                WHERE o_totalprice > 400000)
-    SELECT k, c_name FROM c WHERE {test}
+    SELECT CAST(k AS DOUBLE) AS k, c_name FROM c WHERE {test}
 """
 
 
@@ -146,7 +149,8 @@ def not_in_sql(spark, d):
     _NOT_IN_SQL.format(test="k NOT IN (SELECT k FROM o WHERE k IS NOT NULL)"),
 )
 def not_in_no_nulls(spark, d):
-    return not_in(_customer_keys(spark, d), _order_keys(spark, d).where("k IS NOT NULL"), "k")
+    keys = _order_keys(spark, d).where("k IS NOT NULL")
+    return as_double(not_in(_customer_keys(spark, d), keys, "k"), "k")
 
 
 @query(
@@ -154,7 +158,8 @@ def not_in_no_nulls(spark, d):
     _NOT_IN_SQL.format(test="NOT EXISTS (SELECT 1 FROM o WHERE o.k = c.k)"),
 )
 def not_in_ignore(spark, d):
-    return not_in(_customer_keys(spark, d), _order_keys(spark, d), "k", nulls="ignore")
+    kept = not_in(_customer_keys(spark, d), _order_keys(spark, d), "k", nulls="ignore")
+    return as_double(kept, "k")
 
 
 def _side(spark, d, kind, prefix):
@@ -167,13 +172,21 @@ def _side(spark, d, kind, prefix):
     )
 
 
+def _asof(spark, d, by=("user_id",), **options):
+    clicks = _side(spark, d, "click", "c")
+    clicks = clicks if by else clicks.drop("user_id")
+    found = asof_join(_side(spark, d, "purchase", "p"), clicks, by, "p_ts", "c_ts", **options)
+    return as_double(found, "c_id")
+
+
 _ASOF_SQL = """
     WITH p AS (SELECT user_id, event_id AS p_id, ts AS p_ts, value AS p_value FROM events
                WHERE event_type = 'purchase'),
          c AS (SELECT user_id, event_id AS c_id, ts AS c_ts, value AS c_value FROM events
                WHERE event_type = 'click')
     SELECT p.user_id, p_id, p_ts, p_value,
-           CASE WHEN {near} THEN c_ts END AS c_ts, CASE WHEN {near} THEN c_id END AS c_id,
+           CASE WHEN {near} THEN c_ts END AS c_ts,
+           CAST(CASE WHEN {near} THEN c_id END AS DOUBLE) AS c_id,
            CASE WHEN {near} THEN c_value END AS c_value
     FROM p ASOF LEFT JOIN c ON {by} p_ts {op} c_ts
 """
@@ -183,9 +196,7 @@ _ASOF_SQL = """
     "c4_asof_join", _ASOF_SQL.format(by="p.user_id = c.user_id AND", op=">=", near="TRUE")
 )
 def asof(spark, d):
-    return asof_join(
-        _side(spark, d, "purchase", "p"), _side(spark, d, "click", "c"), ["user_id"], "p_ts", "c_ts"
-    )
+    return _asof(spark, d)
 
 
 @query(
@@ -195,14 +206,7 @@ def asof(spark, d):
     ),
 )
 def asof_tolerance(spark, d):
-    return asof_join(
-        _side(spark, d, "purchase", "p"),
-        _side(spark, d, "click", "c"),
-        ["user_id"],
-        "p_ts",
-        "c_ts",
-        tolerance=6 * 3600,
-    )
+    return _asof(spark, d, tolerance=6 * 3600)
 
 
 @query(
@@ -212,24 +216,13 @@ def asof_tolerance(spark, d):
     ),
 )
 def asof_forward(spark, d):
-    return asof_join(
-        _side(spark, d, "purchase", "p"),
-        _side(spark, d, "click", "c"),
-        ["user_id"],
-        "p_ts",
-        "c_ts",
-        tolerance=6 * 3600,
-        direction="forward",
-    )
+    return _asof(spark, d, tolerance=6 * 3600, direction="forward")
 
 
 @query("c4_asof_join_split", _ASOF_SQL.format(by="", op=">=", near="TRUE"))
 def asof_split(spark, d):
     """No key at all: the whole table is one group, cut into pieces by time."""
-    clicks = _side(spark, d, "click", "c").drop("user_id")
-    return asof_join(
-        _side(spark, d, "purchase", "p"), clicks, [], "p_ts", "c_ts", group_rows=500
-    )
+    return _asof(spark, d, by=(), group_rows=500)
 
 
 @query(
@@ -291,7 +284,7 @@ def overlap(spark, d):
 
 
 _TOP_SQL = """
-    SELECT c_custkey, c_mktsegment, o_orderkey, o_totalprice FROM
+    SELECT c_custkey, c_mktsegment, CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_totalprice FROM
       (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') c {how} JOIN
       (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey
               ORDER BY o_totalprice DESC, o_orderkey) AS rn
@@ -307,7 +300,8 @@ def _top(spark, d, outer):
     joined = top_n_per_row(
         customer, orders, ["c_custkey"], ["o_totalprice desc", "o_orderkey"], 2, outer
     )
-    return joined.select("c_custkey", "c_mktsegment", "o_orderkey", "o_totalprice")
+    columns = ["c_custkey", "c_mktsegment", "o_orderkey", "o_totalprice"]
+    return as_double(joined.select(*columns), "o_orderkey")
 
 
 @query("c7_top_n_per_row", _TOP_SQL.format(how=""))

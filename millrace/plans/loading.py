@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators.cleaning import cast_quarantine, clean_keys
 from millrace.operators.quality import check_constraints, profile
 from millrace.operators.windows import fill_forward
-from millrace.plans.registry import query
+from millrace.plans.registry import as_double, query
 from millrace.session import scratch_path
 from millrace.sources.files import load_since, read_csv_quarantine, write_partitioned
 from millrace.sources.tables import load_table
@@ -263,7 +263,7 @@ def projection(spark, d):
 @query(
     "b2_cast_quarantine",
     """
-    SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN NULL ELSE p_size END AS size,
+    SELECT p_partkey, CAST(CASE WHEN p_type = 'SMALL' THEN NULL ELSE p_size END AS DOUBLE) AS size,
            CASE WHEN p_type = 'SMALL' THEN p_size || 'cm' END AS raw_size,
            CASE WHEN p_type = 'SMALL' THEN 'size' ELSE '' END AS failed
     FROM part
@@ -287,7 +287,7 @@ def casts(spark, d):
         F.col("size").alias("raw_size"),
         F.array_join("failed", ",").alias("failed"),
     )
-    return kept.unionByName(refused)
+    return as_double(kept.unionByName(refused), "size")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators.nested import json_columns, nest, unnest, xml_columns
-from millrace.plans.registry import query
+from millrace.plans.registry import as_double, query
 from millrace.sources.tables import load_table
 
 
@@ -13,7 +13,7 @@ from millrace.sources.tables import load_table
     "i1_json_columns",
     """
     SELECT event_id, CASE WHEN event_type = 'error' THEN NULL
-                          ELSE CAST(json_extract(props, '$.k') AS INT) END AS k,
+                          ELSE CAST(json_extract(props, '$.k') AS DOUBLE) END AS k,
            event_type = 'error' AS is_bad
     FROM events
     """,
@@ -23,7 +23,7 @@ def json_text(spark, d):
     cut = F.expr("substr(props, 1, length(props) - 1)")
     doc = F.when(F.col("event_type") == "error", cut).otherwise(F.col("props"))
     events = load_table(spark, d, "events").select("event_id", doc.alias("doc"))
-    return json_columns(events, "doc", "k INT").drop("doc")
+    return as_double(json_columns(events, "doc", "k INT").drop("doc"), "k")
 
 
 @query(
@@ -115,7 +115,7 @@ def collections(spark, d):
 @query(
     "i4_xml_columns",
     """
-    SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey END AS customer,
+    SELECT o_orderkey, CAST(CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS DOUBLE) AS customer,
            CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS priority,
            o_orderstatus = 'P' AS is_bad
     FROM orders
@@ -134,4 +134,5 @@ def xml_text(spark, d):
         end,
     )
     rows = orders.select("o_orderkey", doc.alias("doc"))
-    return xml_columns(rows, "doc", "customer BIGINT, priority STRING").drop("doc")
+    parsed = xml_columns(rows, "doc", "customer BIGINT, priority STRING").drop("doc")
+    return as_double(parsed, "customer")

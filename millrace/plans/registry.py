@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -12,6 +13,14 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def as_double(df: DataFrame, *columns: str) -> DataFrame:
+    """Whole numbers that may be null, as doubles.
+
+    Clients that hold nullable integers as floats then see what others see.
+    """
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under ``name`` with the SQL that must give the same rows."""
 

@@ -32,7 +32,7 @@ def compare(spark, con, fn, sql, sf_dir) -> str | None:
     """None when schema and rows agree, else what differs."""
     df = fn(spark, sf_dir)
     ours = df.select(*sorted(df.columns)).toArrow()
-    theirs = con.execute(sql).to_arrow_table()
+    theirs = con.sql(sql).to_arrow_table()
     theirs = theirs.select(sorted(theirs.column_names))
     if ours.column_names != theirs.column_names:
         return f"columns {ours.column_names} and {theirs.column_names}"
