@@ -1,8 +1,8 @@
 """Window operators that stay even when one group is very large.
 
 Each function plans a split first (see :mod:`millrace.skew`). Without a large
-group the plan is one ordinary Spark window. Planning counts the rows per group
-of the input; a caller that knows the groups, or can plan on something cheaper
+group the plan is one ordinary Spark window. Planning samples the groups of the
+input; a caller that knows the groups, or can plan on something cheaper
 than the input, passes ``split`` or ``group_rows=None`` instead.
 """
 

@@ -5,13 +5,16 @@ single key may hold a third of the table that task never ends. The helpers here
 find such groups, cut each one into pieces along the window's own order, and
 hand every piece what it must know about the pieces before it (its carry).
 
-Sizes are bounded by construction, whatever the table's size:
+Sizes are bounded, whatever the table's size:
 
-* at most ``MAX_GROUPS`` groups are split. They are the largest ones, so a group
-  left whole holds under ``group_rows`` rows or under 1/``MAX_GROUPS`` of all;
+* at most ``MAX_GROUPS`` groups are split, the largest ones. A group left whole
+  holds about ``group_rows`` rows or under 1/``MAX_GROUPS`` of all rows at most;
 * the number of pieces over all groups stays near ``MAX_GROUPS``, so the tables
   of cuts and carries are small enough to broadcast.
 
+Both the large groups and the cuts are found by sampling. Sampling only decides
+how the work is divided; every row is used and no result depends on it.
+
 The sampled cuts become literal data before the plan that uses them is built.
 A task that is run again therefore puts each row into the same piece.
 """
@@ -30,6 +33,7 @@ from pyspark.sql import types as T
 GROUP_ROWS = 10_000_000
 MAX_GROUPS = 4096
 SAMPLES_PER_PIECE = 16
+SAMPLES_PER_GROUP = 200
 
 PIECE = "_piece"
 
@@ -75,12 +79,19 @@ def same_keys(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: s
 
 
 def hot_groups(df: DataFrame, by: Sequence[str], group_rows: int = GROUP_ROWS) -> list:
-    """Rows ``(*by, n)`` for the largest groups over ``group_rows`` rows.
+    """Rows ``(*by, _n)`` for the largest groups over about ``group_rows`` rows.
 
-    The count is pre-aggregated on the map side and reads only the key columns.
+    Reads only the key columns and counts a sample in which such a group has
+    ``SAMPLES_PER_GROUP`` rows, so a table with very many small groups shuffles
+    next to nothing. Low thresholds count all rows. ``_n`` is scaled up.
     """
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_rows)
-    return counts.orderBy(F.col("_n").desc()).limit(MAX_GROUPS).collect()
+    rate = min(1.0, SAMPLES_PER_GROUP / group_rows)
+    sample = df.select(*by) if by else df.select(F.lit(0).alias("_all"))
+    sample = sample if rate == 1.0 else sample.sample(rate)
+    counts = sample.groupBy(*by).agg(F.count(F.lit(1)).alias("_seen"))
+    large = counts.where(F.col("_seen") > group_rows * rate)
+    sizes = large.select(*by, (F.col("_seen") / rate).cast("long").alias("_n"))
+    return sizes.orderBy(F.col("_n").desc()).limit(MAX_GROUPS).collect()
 
 
 def _renamed(field: T.StructField, name: str) -> T.StructField:
@@ -181,8 +192,8 @@ def plan_split(
 ) -> Split:
     """Decide how to cut the groups of ``by`` that exceed ``group_rows`` rows.
 
-    Runs one counting job over the key columns and, only if a group is too big,
-    one sampling job over those groups. ``group_rows=None`` skips both, for
+    Runs one job over a sample of the key columns and, only if a group is too
+    big, one over a sample of those groups. ``group_rows=None`` skips both, for
     input whose groups are known to be small.
     """
     hot = [] if group_rows is None else hot_groups(df, by, group_rows)
