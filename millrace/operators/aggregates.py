@@ -13,10 +13,15 @@ from millrace.session import checkpointed
 from millrace.skew import GROUP_ROWS
 
 
+# How a partial aggregate is aggregated again.
+_AGAIN = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+_FIRST = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+
+
 def aggregate_levels(
     df: DataFrame,
     dims: Sequence[str],
-    aggs: Mapping[str, Column],
+    aggs: Mapping[str, Column | tuple[str, str]],
     mode: str | Sequence[Sequence[str]] = "rollup",
 ) -> DataFrame:
     """Aggregate at several levels with a ``level`` label.
@@ -24,6 +29,11 @@ def aggregate_levels(
     ``mode`` is ``"rollup"``, ``"cube"`` or a list of dimension lists. ``level``
     names the grouped dimensions (``"total"`` for none), which tells a null
     value in the data from a subtotal.
+
+    ``aggs`` maps an output to ``(sum|count|min|max, column)`` or to any
+    aggregate column. If all are pairs, rows are first aggregated once by all
+    dimensions, and only the result is copied to the levels; with columns every
+    row is copied.
     """
     dims = list(dims)
     if mode == "rollup":
@@ -32,6 +42,9 @@ def aggregate_levels(
         sets = [list(c) for i in range(len(dims), -1, -1) for c in combinations(dims, i)]
     else:
         sets = [list(s) for s in mode]
+    if all(isinstance(value, tuple) for value in aggs.values()):
+        df = df.groupBy(*dims).agg(*(_FIRST[fn](c).alias("_" + n) for n, (fn, c) in aggs.items()))
+        aggs = {n: _AGAIN[fn]("_" + n) for n, (fn, _) in aggs.items()}
     grouped = df.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in dims))
     present = [F.when(F.grouping(c) == 0, F.lit(c)) for c in dims]
     label = F.concat_ws("+", *present)

@@ -66,13 +66,10 @@ _LEVEL_AGGS = f"COUNT(*) AS n, CAST(SUM({_PRICE}) AS DOUBLE) AS total"
 def _levels(spark, d, mode):
     orders = load_table(spark, d, "orders").withColumn("o_year", F.year("o_orderdate").cast("long"))
     orders = orders.withColumn("status", F.nullif("o_orderstatus", F.lit("P")))
-    found = aggregate_levels(
-        orders,
-        ["o_year", "status"],
-        {"n": F.count(F.lit(1)), "total": F.sum(_price()).cast("double")},
-        mode,
-    )
-    return as_double(found, "o_year")
+    orders = orders.withColumn("price", _price())
+    aggs = {"n": ("count", "o_orderkey"), "total": ("sum", "price")}
+    found = aggregate_levels(orders, ["o_year", "status"], aggs, mode)
+    return as_double(found, "o_year", "total")
 
 
 def _levels_sql(sets):

@@ -49,13 +49,21 @@ def check_schema(found: T.StructType, declared: T.StructType, name: str) -> None
 
 
 def load_table(
-    spark: SparkSession, directory: str, name: str, schema: str | None = None
+    spark: SparkSession,
+    directory: str,
+    name: str,
+    schema: str | None = None,
+    every_file: bool = False,
 ) -> DataFrame:
     """Read ``directory/name.parquet`` and insist on its declared schema.
 
-    Only file footers are read here. Columns come back in declared order.
+    One file's footer is checked; with ``every_file`` the footers of all files
+    are merged in a Spark job first, which also finds a column that only some
+    files have or that changes type between files. Columns come back in declared
+    order.
     """
     declared = _schema(schema or SCHEMAS[name])
-    df = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+    reader = spark.read.option("mergeSchema", every_file)
+    df = reader.parquet(f"{directory.rstrip('/')}/{name}.parquet")
     check_schema(df.schema, declared, name)
     return df.select(*declared.names)

@@ -27,6 +27,11 @@ def test_levels_tell_nulls_from_subtotals(spark):
         ("total", None, None, 3),
     ]
     assert a.aggregate_levels(df, ["d", "e"], {"n": F.count("*")}, "cube").count() == 6
+    pairs = {"s": ("sum", "v"), "n": ("count", "e"), "lo": ("min", "v"), "hi": ("max", "v")}
+    columns = {"s": F.sum("v"), "n": F.count("e"), "lo": F.min("v"), "hi": F.max("v")}
+    for mode in ("rollup", "cube", [["d"], []]):
+        two_steps = a.aggregate_levels(df, ["d", "e"], pairs, mode)
+        assert rows(two_steps) == rows(a.aggregate_levels(df, ["d", "e"], columns, mode))
 
 
 def test_pivot_and_unpivot(spark):

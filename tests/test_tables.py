@@ -24,6 +24,17 @@ def test_schema_drift_names_every_difference(spark, sf_dir):
     check_schema(T.StructType([]), T.StructType([]), "empty")
 
 
+def test_every_file_is_checked_on_request(spark):
+    base = scratch_path(spark, "drift")
+    spark.range(3).coalesce(1).write.parquet(f"{base}/t.parquet")
+    extra = spark.range(3).withColumn("late", F.lit(1))
+    extra.coalesce(1).write.mode("append").parquet(f"{base}/t.parquet")
+    with pytest.raises(SchemaDrift, match="unexpected late"):
+        load_table(spark, base, "t", "id BIGINT", every_file=True)
+    both = load_table(spark, base, "t", "id BIGINT, late INT", every_file=True)
+    assert both.count() == 6
+
+
 def test_csv_quarantine_is_independent_of_the_columns_read(spark):
     path = scratch_path(spark, "csv")
     lines = ["1,2.5,x", "2,oops,y", "3,4.5", "4,1.0,z,extra", "5,,", ""]
