@@ -56,7 +56,7 @@ def test_pieces_spread_a_large_group(spark, sf_dir):
     events = load_table(spark, sf_dir, "events").withColumn("k", F.col("user_id") * 0)
     split = plan_split(events, ["k"], ["ts"], 50)
     ranked = rank_rows(events, ["k"], ["ts"], split=split)
-    assert re.search(r"Exchange hashpartitioning\(k#\d+, _piece#\d+", plan(ranked))
+    assert re.search(r"Exchange hashpartitioning\(k#\d+L, _piece#\d+", plan(ranked))
     assert "NestedLoop" not in plan(ranked)
 
 
