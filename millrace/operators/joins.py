@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.windows import fill_forward
+from millrace.session import checkpointed
 from millrace.skew import (
     GROUP_ROWS,
     hot_groups,
@@ -353,7 +354,9 @@ def fuzzy_join(
             F.count(F.lit(1)).alias(f"{name}_rows")
         )
 
-    lefts, rights = texts(left, left_col, "left"), texts(right, right_col, "right")
+    # Stored once: the distinct texts are read by both filters and by the result.
+    lefts = checkpointed(texts(left, left_col, "left"))
+    rights = checkpointed(texts(right, right_col, "right"))
     a, b = lefts.select(block, "left_text"), rights.select(block, "right_text")
     limit = _variant_length(d)
     short = _deletions(a.where(F.length("left_text") <= limit), "left_text", d).join(

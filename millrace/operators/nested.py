@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.windows import rank_rows
+from millrace.operators.windows import number_rows
 
 CORRUPT = "_corrupt"
 
@@ -56,9 +56,9 @@ def nest(
     0, so no array grows without bound and no row is lost. ``order`` must be
     total within a key.
     """
-    ranked = rank_rows(df, keys, order, group_rows=max_items)
-    part = F.floor((F.col("row_number") - 1) / max_items).cast("int")
-    rows = ranked.select(*keys, part.alias("part"), F.struct("row_number", *cols).alias("_item"))
+    numbered = number_rows(df, keys, order, "_rn", max_items)
+    part = F.floor((F.col("_rn") - 1) / max_items).cast("int")
+    rows = numbered.select(*keys, part.alias("part"), F.struct("_rn", *cols).alias("_item"))
     grouped = rows.groupBy(*keys, "part").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
 
     def child(item: Column) -> Column:

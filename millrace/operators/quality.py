@@ -25,7 +25,7 @@ def check_constraints(
 
     ``unique`` lists column sets, ``refs`` lists ``(column, parent, parent
     column)`` where null passes, ``ranges`` maps a column to an inclusive
-    ``(low, high)`` with None for an open end. ``rows`` counts offending rows;
+    ``(low, high)`` with None for an open end. Null keys count as equal. ``rows`` counts offending rows;
     for a duplicated key it is the number of rows with that key.
 
     Every rule counts per key before anything is joined, so a key held by many

@@ -20,6 +20,28 @@ def _struct(names: Sequence[str]) -> Column:
     return F.struct(*names)
 
 
+def number_rows(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    name: str = "row_number",
+    group_rows: int | None = GROUP_ROWS,
+    split: Split | None = None,
+) -> DataFrame:
+    """Add the row's number in its group, from 1; ``order`` should be total."""
+    split = split or plan_split(df, by, order, group_rows)
+    rows = split.carry(
+        df,
+        {"rows": F.count(F.lit(1))},
+        {"_rows": lambda others, whole: F.sum("_p_rows").over(others)},
+    )
+    number = F.coalesce("_rows", F.lit(0)) + F.row_number().over(split.window())
+    return rows.withColumn(name, number.cast("long")).drop("_rows", PIECE)
+
+
+RANK_COLUMNS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "group_rows", "ntile")
+
+
 def rank_rows(
     df: DataFrame,
     by: Sequence[str],
@@ -32,6 +54,8 @@ def rank_rows(
 
     With ``tiles`` an ``ntile`` column is added as well.
     """
+    if set(df.columns) & set(RANK_COLUMNS):
+        raise ValueError(f"rename columns among {RANK_COLUMNS}")
     names = [n for n, _ in parse_order(order)]
     split = split or plan_split(df, by, order, group_rows)
     rows = split.carry(
@@ -98,7 +122,8 @@ def running(
     """Add running aggregates ``{output: (sum|count|min|max|total, column)}``.
 
     The frame runs from the group's first row to the current row, row by row;
-    ``total`` is the sum over the whole group.
+    ``total`` is the sum over the whole group. Sum decimals or whole numbers:
+    doubles depend on the order of addition, here as in any Spark sum.
     """
     split = plan_split(df, by, order, group_rows)
     fold = {}
@@ -140,10 +165,10 @@ def frame_rows(
         w = Window.partitionBy(*by).orderBy(*order_by(order))
         return df.withColumns({name: make(w) for name, make in exprs.items()})
     size = max(group_rows, 8 * (before + after))
-    index = F.col("row_number") - 1
+    index = F.col("_rn") - 1
     home = F.floor(index / size)
     pieces = F.sequence(F.floor((index - after) / size), F.floor((index + before) / size))
-    rows = rank_rows(df, by, order, split=split).select(
+    rows = number_rows(df, by, order, "_rn", split=split).select(
         *df.columns, home.alias("_home"), F.explode(pieces).alias(PIECE)
     )
     w = Window.partitionBy(*by, PIECE).orderBy(*order_by(order))

@@ -98,7 +98,7 @@ def anti(spark, d):
 _EXISTS_SQL = """
     SELECT p_partkey FROM part
     WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount >= 0.1)
-      AND p_brand IN (SELECT p_brand FROM part WHERE p_size = 50)
+      AND p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_size = 50)
 """
 
 

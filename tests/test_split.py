@@ -60,6 +60,25 @@ def test_frame_rows(events, by, order):
     )
 
 
+def test_output_names_do_not_hide_columns(events):
+    named = events.withColumnRenamed("event_id", "rank")
+    with pytest.raises(ValueError):
+        w.rank_rows(named, ["user_id"], ["ts"])
+    exprs = {"back": lambda x: F.lag("rank").over(x)}
+    same(
+        w.frame_rows(named, ["user_id"], ["ts"], exprs, 1, 0, None),
+        w.frame_rows(named, ["user_id"], ["ts"], exprs, 1, 0, 40),
+    )
+
+
+def test_number_rows(events):
+    for by in (["user_id"], []):
+        same(
+            w.number_rows(events, by, ["ts desc"], "n", None),
+            w.number_rows(events, by, ["ts desc"], "n", 40),
+        )
+
+
 def test_frame_range(events):
     aggs = {"high": F.max("value"), "n": F.count("value")}
     holes = events.withColumn("ts", F.when(F.col("event_id") % 50 != 0, F.col("ts")))
