@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .pii import pii_digest
+from .quality import score_quality
 from .sharding import shard_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +31,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_virtual_slot_sharding")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@_query("op10_quality_kernel_ridge")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
