@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .mixing import mix_sources
 from .pii import pii_digest
 from .quality import score_quality
 from .sharding import shard_documents
@@ -36,3 +37,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_quality_kernel_ridge")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op8_subset_sum_mix")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))

@@ -45,17 +45,21 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown as needed."""
+class _Kept(dict):
+    """What a task has computed already; travels empty."""
 
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
+    def __reduce__(self):
+        return type(self), ()
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            cls.up, cls.down = _powers(_BASE, n), _powers(_BASE_INVERSE, n)
-        return cls.up, cls.down
+
+_POWERS = _Kept()
+
+
+def _powers_up_down(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; a longer list replaces the one kept."""
+    if len(_POWERS.get("up", ())) < n:
+        _POWERS["up"], _POWERS["down"] = _powers(_BASE, n), _powers(_BASE_INVERSE, n)
+    return _POWERS["up"], _POWERS["down"]
 
 
 def as_bytes(text) -> bytes:
@@ -92,7 +96,7 @@ def hash_words(
     inside = ~_SPACE[buffer]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    up, down = _Powers.of(len(buffer) + 1)
+    up, down = _powers_up_down(len(buffer) + 1)
     total = np.empty(len(buffer) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(_CODE[buffer] * up[: len(buffer)], out=total[1:])
