@@ -11,6 +11,7 @@ from .mixing import mix_sources
 from .pii import pii_digest
 from .quality import score_quality
 from .sharding import shard_documents
+from .similarity import similar_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +43,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_subset_sum_mix")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@_query("op5_ngram_jaccard_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
