@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import leaks
 from .mixing import mix_sources
 from .pii import pii_digest
 from .quality import score_quality
@@ -48,3 +49,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_ngram_jaccard_join")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+@_query("op3_pigeonhole_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
