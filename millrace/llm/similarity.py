@@ -30,6 +30,9 @@ from .words import chunks, shingle_sets
 #: Shingles known to be frequent come last in the order. How many are known decides
 #: how fast the join is, never what it finds.
 FREQUENT = 50_000
+#: Bits of a set's parity sketch, and of the filter on documents to read again.
+SKETCH_BITS = 1024
+FILTER_BITS = 1 << 23
 _EMPTY = 0
 
 
@@ -79,6 +82,13 @@ def _set_id(shingles: np.ndarray) -> int:
     return int.from_bytes(raw, "little", signed=True) or 1
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``SKETCH_BITS`` cells whether it holds an odd number of shingles."""
+    cells = (shingles >> np.uint64(7)) & np.uint64(SKETCH_BITS - 1)
+    odd = np.bincount(cells.astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.zeros(len(arrays) + 1, dtype=np.int32)
     np.cumsum([len(a) for a in arrays], out=ends[1:])
@@ -86,7 +96,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def document_sets(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """Per document: doc_id, text_hash, n, set_id and the first shingles of its set."""
+    """Per document: doc_id, text_hash, n, set_id, the first shingles of its set, its sketch."""
     by_value = np.argsort(frequent)
     values = frequent[by_value]
 
@@ -116,11 +126,12 @@ def document_sets(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndar
                         pa.array(np.array([len(s) for s in sets], dtype=np.int64)),
                         pa.array(np.array([_set_id(s) for s in sets], dtype=np.int64)),
                         _lists([first(s) for s in sets]),
+                        _lists([_parities(s) for s in sets]),
                     ],
-                    ["doc_id", "text_hash", "n", "set_id", "first"],
+                    ["doc_id", "text_hash", "n", "set_id", "first", "sketch"],
                 )
 
-    kind = "doc_id long, text_hash long, n long, set_id long, first array<long>"
+    kind = "doc_id long, text_hash long, n long, set_id long, first array<long>, sketch array<long>"
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
         batches, kind
     )
@@ -195,12 +206,51 @@ def _may_link(n: str, i: str, m: str, j: str, num: int, den: int) -> Column:
     return sized & ((F.col(i) < 0) | (F.col(j) < 0) | (most >= need))
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs`` without those whose sketches differ in more cells than similar sets can.
+
+    Each cell in which parities differ holds a shingle that only one set has.
+    """
+    side = sets.select("set_id", "n", "sketch")
+    both = pairs.join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b")
+    apart = F.aggregate(
+        F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+    )
+    most = (F.col("n") + F.col("m")) * (den - num) / F.lit(den + num).cast("double") + 1e-9
+    return both.where(apart <= most).select("a", "b")
+
+
+def _marked_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text_hash, text) in ``wanted`` (doc_id, text_hash).
+
+    A bitmap of fixed size keeps most other rows, and all but one of a group of
+    copies, from being shuffled.
+    """
+    place = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, text_hash), {FILTER_BITS}) % 64 as int))")
+    word = F.floor(place / 64).alias("word")
+    bits = wanted.groupBy(word).agg(F.bit_or(bit).alias("bits"))  # at most FILTER_BITS / 64 rows
+    some = docs.withColumn("word", word).join(F.broadcast(bits), "word")
+    some = some.where(F.col("bits").bitwiseAND(bit) != 0)
+    match = wanted.toDF("_d", "_h")
+    return some.join(
+        match, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h"))
+    )
+
+
 def verified(
     pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: int, den: int
 ) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets are similar enough."""
+    pairs = stored(plausible(pairs, sets, num, den), "plausible")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    sources = sets.select("set_id", "doc_id", "text_hash").join(wanted, "set_id")
+    sources = stored(
+        sets.select("set_id", "doc_id", "text_hash")
+        .join(wanted, "set_id")
+        .select("doc_id", "text_hash")
+        .distinct(),
+        "sources",
+    )
 
     def batches(parts):
         for part in parts:
@@ -209,12 +259,8 @@ def verified(
                 ids = pa.array(np.array([_set_id(s) for s in found], dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([ids, _lists(found)], ["set_id", "shingles"])
 
-    match = sources.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    texts = (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-        .join(match, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
-        .select("text")
-    )
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    texts = _marked_rows(hashed, sources).select("text")
     whole = stored(
         texts.mapInArrow(batches, "set_id long, shingles array<long>").dropDuplicates(["set_id"]),
         "shingles",
@@ -251,9 +297,10 @@ def similar_components(
         .agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r"),
             F.min("n").alias("n"),
-            F.min("first").alias("first"),
+            F.first("first").alias("first"),
+            F.first("sketch").alias("sketch"),
         )
-        .select("set_id", "r.doc_id", "r.text_hash", "n", "first"),
+        .select("set_id", "r.doc_id", "r.text_hash", "n", "first", "sketch"),
         "distinct-sets",
     )
     slim = sets.select("set_id", "n", "first")
