@@ -13,6 +13,7 @@ from .pii import pii_digest
 from .quality import score_quality
 from .sharding import shard_documents
 from .similarity import similar_components
+from .toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +55,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_pigeonhole_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op7_toxicity_chain")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -83,10 +83,14 @@ def chunks(texts: Iterable, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, lis
 
 
 def hash_words(
-    texts: list[bytes],
+    texts: list[bytes], cuts: tuple[int, ...] = ()
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words, the text each belongs to, its start and length in the buffer,
-    and the buffer, in which texts are joined by a line feed."""
+    and the buffer, in which texts are joined by a line feed.
+
+    For each number in ``cuts`` the first so many bytes of longer words follow, as
+    if they were words too, with other hashes than whole words.
+    """
     buffer = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
     lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     offsets = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
@@ -100,7 +104,13 @@ def hash_words(
     total = np.empty(len(buffer) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(_CODE[buffer] * up[: len(buffer)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    tags = (ends - starts).astype(np.uint64)
+    for cut in cuts:
+        longer = np.flatnonzero(ends[: len(edges) // 2] - starts[: len(edges) // 2] > cut)
+        starts = np.concatenate([starts, starts[longer]])
+        ends = np.concatenate([ends, starts[longer] + cut])
+        tags = np.concatenate([tags, np.full(len(longer), cut + (1 << 40), dtype=np.uint64)])
+    hashes = mix((total[ends] - total[starts]) * down[starts] + tags)
     of = np.searchsorted(offsets, starts, side="right") - 1
     return hashes, of, starts, ends - starts, buffer
 
