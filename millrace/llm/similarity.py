@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stored, whole_text
 from .components import components
@@ -30,9 +31,11 @@ from .words import chunks, shingle_sets
 #: Shingles known to be frequent come last in the order. How many are known decides
 #: how fast the join is, never what it finds.
 FREQUENT = 50_000
-#: Bits of a set's parity sketch, and of the filter on documents to read again.
-SKETCH_BITS = 1024
+#: Bits of the filter on documents to read again.
 FILTER_BITS = 1 << 23
+#: Of the pairs between two components so many are compared at first, and so many
+#: times more in each further round.
+ROUND_PAIRS = 4
 _EMPTY = 0
 
 
@@ -83,10 +86,11 @@ def _set_id(shingles: np.ndarray) -> int:
 
 
 def _parities(shingles: np.ndarray) -> np.ndarray:
-    """For each of ``SKETCH_BITS`` cells whether it holds an odd number of shingles."""
-    cells = (shingles >> np.uint64(7)) & np.uint64(SKETCH_BITS - 1)
-    odd = np.bincount(cells.astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(bool)).view(np.uint64)
+    """For each cell whether it holds an odd number of shingles; two cells or more a shingle."""
+    cells = max(64, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    at = ((shingles >> np.uint64(7)) & np.uint64(cells - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=cells) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -206,18 +210,33 @@ def _may_link(n: str, i: str, m: str, j: str, num: int, den: int) -> Column:
     return sized & ((F.col(i) < 0) | (F.col(j) < 0) | (most >= need))
 
 
+def _halved(sketch: Column) -> Column:
+    """The sketch with half the cells: a cell of the upper half joins its like below."""
+    half = (F.size(sketch) / 2).cast("int")
+    upper = F.slice(sketch, half + 1, half)
+    return F.zip_with(F.slice(sketch, F.lit(1), half), upper, lambda x, y: x.bitwiseXOR(y))
+
+
 def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``pairs`` without those whose sketches differ in more cells than similar sets can.
+    """Pairs (a, b, apart) without those whose sketches differ in more cells than similar
+    sets can.
 
-    Each cell in which parities differ holds a shingle that only one set has.
+    Each cell in which parities differ holds a shingle that only one set has. Sets of
+    similar size have as many cells or half as many.
     """
     side = sets.select("set_id", "n", "sketch")
-    both = pairs.join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b")
+    both = (
+        pairs.join(side.toDF("a", "n", "x"), "a")
+        .join(side.toDF("b", "m", "y"), "b")
+        .where((F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num))
+    )
+    x = F.when(F.size("x") > F.size("y"), _halved(F.col("x"))).otherwise(F.col("x"))
+    y = F.when(F.size("y") > F.size("x"), _halved(F.col("y"))).otherwise(F.col("y"))
     apart = F.aggregate(
-        F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+        F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda t, c: t + c
     )
     most = (F.col("n") + F.col("m")) * (den - num) / F.lit(den + num).cast("double") + 1e-9
-    return both.where(apart <= most).select("a", "b")
+    return both.select("a", "b", apart.alias("apart"), most.alias("most")).where("apart <= most")
 
 
 def _marked_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -238,11 +257,8 @@ def _marked_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def verified(
-    pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: int, den: int
-) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets are similar enough."""
-    pairs = stored(plausible(pairs, sets, num, den), "plausible")
+def whole_sets(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """set_id and shingles of every set in ``pairs`` (a, b), read again from the texts."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     sources = stored(
         sets.select("set_id", "doc_id", "text_hash")
@@ -261,19 +277,55 @@ def verified(
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     texts = _marked_rows(hashed, sources).select("text")
-    whole = stored(
+    return stored(
         texts.mapInArrow(batches, "set_id long, shingles array<long>").dropDuplicates(["set_id"]),
         "shingles",
     )
+
+
+def verified(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ``whole`` sets are similar enough."""
     left = whole.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
     right = whole.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    counted = pairs.join(left, "a").join(right, "b").select(
+    counted = pairs.select("a", "b").join(left, "a").join(right, "b").select(
         "a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("all")
     )
     return counted.where(F.col("shared") * den >= F.col("all") * num).select("a", "b")
 
 
+def _marked(rows: DataFrame, ids: list[str], near: DataFrame) -> DataFrame:
+    """``rows`` with the component of each of ``ids``, its own id where it has none."""
+    for i in ids:
+        mark = near.select(F.col("id").alias(i), F.col("component").alias("_c"))
+        rows = rows.join(mark, i, "left").withColumn(f"{i}_part", F.coalesce("_c", i)).drop("_c")
+    return rows
+
+
+def connected(pairs: DataFrame, near: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+    """Components ``near`` (id, component), joined by all links among ``pairs`` (a, b, apart).
+
+    Of the pairs between the same two components the nearest few are compared first.
+    Most then lie inside one component and need no comparison; the rest goes on to the
+    next round, which takes more.
+    """
+    count = ROUND_PAIRS
+    while True:
+        marked = _marked(pairs, ["a", "b"], near).where("a_part <> b_part")
+        between = Window.partitionBy(F.least("a_part", "b_part"), F.greatest("a_part", "b_part"))
+        place = F.row_number().over(between.orderBy("apart", "a", "b"))
+        marked = stored(marked.withColumn("place", place).select("a", "b", "apart", "place"), "open")
+        if not marked.head(1):
+            return near
+        now = marked.where(F.col("place") <= count)
+        links = stored(verified(now, whole, num, den), "links-found")
+        if links.head(1):
+            known = near.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            near = stored(components(known.unionByName(links)), "components")
+        pairs = marked.where(F.col("place") > count).select("a", "b", "apart")
+        count *= 8
+
+
 def similar_components(
     docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
@@ -307,28 +359,26 @@ def similar_components(
     posts = postings(slim, boundary(slim, num, den), num, den)
     heads = stored(
         posts.groupBy("key")
-        .agg(F.min(F.struct("n", "set_id", "place")).alias("head"), F.count("*").alias("c"))
+        .agg(F.min("set_id").alias("head"), F.count("*").alias("c"))
         .where("c > 1")
-        .select("key", "head.*")
-        .toDF("key", "head_n", "head", "head_place"),
+        .select("key", "head"),
         "list-heads",
     )
     lists = stored(posts.join(heads, "key"), "lists")
     star = stored(
-        lists.where(F.col("set_id") != F.col("head"))
-        .where(_may_link("head_n", "head_place", "n", "place", num, den))
+        lists.where("set_id <> head")
         .select(F.col("head").alias("a"), F.col("set_id").alias("b"))
         .distinct(),
         "star-pairs",
     )
-    links = stored(verified(star, sets, texts, k, num, den), "star-links")
+    likely = stored(plausible(star, sets, num, den), "plausible")
+    links = stored(verified(likely, whole_sets(likely, sets, texts, k), num, den), "star-links")
     near = stored(components(links), "near")
 
-    part = F.coalesce("component", "set_id").alias("component")
     marked = stored(
-        lists.select("key", "set_id", "n", "place")
-        .join(near.withColumnRenamed("id", "set_id"), "set_id", "left")
-        .select("key", "set_id", "n", "place", part),
+        _marked(lists.select("key", "set_id", "n", "place"), ["set_id"], near).withColumnRenamed(
+            "set_id_part", "component"
+        ),
         "marked",
     )
     open_keys = (
@@ -348,9 +398,8 @@ def similar_components(
     )
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = stored(across.join(done, ["a", "b"], "left_anti"), "cross-pairs")
-    more = stored(verified(across, sets, texts, k, num, den), "cross-links")
-    joined = near.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = stored(components(joined) if more.head(1) else near, "components")
+    likely = stored(plausible(across, sets, num, den).select("a", "b", "apart"), "plausible")
+    final = connected(likely, near, whole_sets(likely, sets, texts, k), num, den)
 
     member = final.join(sets.select("set_id", "doc_id"), F.col("id") == F.col("set_id"))
     smallest = member.groupBy("component").agg(F.min("doc_id").alias("least"))
