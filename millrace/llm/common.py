@@ -35,3 +35,26 @@ def word_count(column: str = "text") -> Column:
     """Number of words, as a long; 0 for null."""
     marks = F.regexp_replace(whole_text(column), WORD, "\x01")
     return F.length(F.regexp_replace(marks, "[\\x20\\x09-\\x0D]+", "")).cast("long")
+
+
+#: Bits of the filter by which ``marked_rows`` leaves rows out.
+FILTER_BITS = 1 << 23
+
+
+def marked_rows(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` without most of those whose ``keys`` are not in ``wanted``.
+
+    A bitmap of fixed size, at most ``FILTER_BITS / 64`` numbers, is broadcast, so that
+    rows which cannot match need not be shuffled for the join that follows. No row
+    that is in ``wanted`` is left out.
+    """
+    place = f"pmod(xxhash64({', '.join(keys)}), {FILTER_BITS})"
+    word = F.expr(f"cast({place} div 64 as long)").alias("_word")
+    bit = F.expr(f"shiftleft(1L, cast({place} % 64 as int))")
+    bits = wanted.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    return (
+        rows.withColumn("_word", word)
+        .join(F.broadcast(bits), "_word")
+        .where(F.col("_bits").bitwiseAND(bit) != 0)
+        .drop("_word", "_bits")
+    )

@@ -11,6 +11,7 @@ from .decontaminate import leaks
 from .mixing import mix_sources
 from .pii import pii_digest
 from .quality import score_quality
+from .repeats import without_repeats
 from .sharding import shard_documents
 from .similarity import similar_components
 from .toxicity import score_toxicity
@@ -60,3 +61,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_toxicity_chain")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op9_maximal_repeats")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))

@@ -24,15 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, whole_text
+from .common import marked_rows, stored, whole_text
 from .components import components
 from .words import chunks, shingle_sets
 
 #: Shingles known to be frequent come last in the order. How many are known decides
 #: how fast the join is, never what it finds.
 FREQUENT = 50_000
-#: Bits of the filter on documents to read again.
-FILTER_BITS = 1 << 23
 #: Of the pairs between two components so many are compared at first, and so many
 #: times more in each further round.
 ROUND_PAIRS = 4
@@ -239,24 +237,6 @@ def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.select("a", "b", apart.alias("apart"), most.alias("most")).where("apart <= most")
 
 
-def _marked_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text_hash, text) in ``wanted`` (doc_id, text_hash).
-
-    A bitmap of fixed size keeps most other rows, and all but one of a group of
-    copies, from being shuffled.
-    """
-    place = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(FILTER_BITS))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, text_hash), {FILTER_BITS}) % 64 as int))")
-    word = F.floor(place / 64).alias("word")
-    bits = wanted.groupBy(word).agg(F.bit_or(bit).alias("bits"))  # at most FILTER_BITS / 64 rows
-    some = docs.withColumn("word", word).join(F.broadcast(bits), "word")
-    some = some.where(F.col("bits").bitwiseAND(bit) != 0)
-    match = wanted.toDF("_d", "_h")
-    return some.join(
-        match, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h"))
-    )
-
-
 def whole_sets(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """set_id and shingles of every set in ``pairs`` (a, b), read again from the texts."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
@@ -276,7 +256,12 @@ def whole_sets(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> Da
                 yield pa.RecordBatch.from_arrays([ids, _lists(found)], ["set_id", "shingles"])
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    texts = _marked_rows(hashed, sources).select("text")
+    match = sources.toDF("_d", "_h")
+    texts = (
+        marked_rows(hashed, sources, ["doc_id", "text_hash"])
+        .join(match, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
+        .select("text")
+    )
     return stored(
         texts.mapInArrow(batches, "set_id long, shingles array<long>").dropDuplicates(["set_id"]),
         "shingles",

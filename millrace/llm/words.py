@@ -31,6 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += _U(32)
 _CODE = mix((_FOLD + _U(1)) * _U(0xD1342543DE82EF95))
+_CODE_EXACT = mix((np.arange(256, dtype=np.uint64) + _U(1)) * _U(0xD1342543DE82EF95))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -55,7 +56,7 @@ class _Kept(dict):
 _POWERS = _Kept()
 
 
-def _powers_up_down(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_up_down(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse; a longer list replaces the one kept."""
     if len(_POWERS.get("up", ())) < n:
         _POWERS["up"], _POWERS["down"] = _powers(_BASE, n), _powers(_BASE_INVERSE, n)
@@ -100,7 +101,7 @@ def hash_words(
     inside = ~_SPACE[buffer]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    up, down = _powers_up_down(len(buffer) + 1)
+    up, down = powers_up_down(len(buffer) + 1)
     total = np.empty(len(buffer) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(_CODE[buffer] * up[: len(buffer)], out=total[1:])
