@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, word_count
+from .common import stored, whole_text, word_count
 
 #: Weights of sources in the order of their names, repeated.
 WEIGHTS = (5, 2, 1)
@@ -157,6 +157,7 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
         docs.select(
             "doc_id",
             "source",
+            F.xxhash64(whole_text()).alias("text_hash"),
             word_count().alias("size"),
             number.alias("number"),
             F.pmod(F.shiftright(number, 20), F.lit(GROUPS)).cast("int").alias("part"),
@@ -196,7 +197,7 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
         )
     )
     place = F.row_number().over(
-        Window.partitionBy("source", "size", "part").orderBy("number", "doc_id")
+        Window.partitionBy("source", "size", "part").orderBy("number", "doc_id", "text_hash")
     )
     picked = (
         slim.withColumn("place", place)
@@ -207,7 +208,7 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
             & (F.col("part") == F.col("_p")),
         )
         .withColumn("copies", F.col("times") + F.when(F.col("place") <= F.col("chosen"), 1).otherwise(0))
-        .select("doc_id", "source", "size", "copies")
+        .select("doc_id", "source", "text_hash", "size", "copies")
     )
     listed = targets.withColumnRenamed("source", "_s")
     return picked.join(listed, F.col("source").eqNullSafe(F.col("_s"))).select(
@@ -218,4 +219,26 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
         "target",
         (F.col("size") * F.col("copies")).alias("taken"),
         F.col("copies").cast("int").alias("copies"),
+        "text_hash",
+    )
+
+
+def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, all columns as they are.
+
+    Rows equal in id and text are taken as often as the most taken of them.
+    """
+    taken = (
+        mix_sources(docs, seed)
+        .where("copies > 0")
+        .groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
+        .agg(F.max("copies").alias("_copies"))
+    )
+    named = docs.withColumn("_hash", F.xxhash64(whole_text()))
+    chosen = named.join(
+        stored(taken, "mix-taken"),
+        F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")),
+    )
+    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(
+        *[F.col(f"`{c}`") for c in docs.columns]
     )

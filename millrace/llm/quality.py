@@ -315,3 +315,18 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score 0.5 or more."""
+    model = train(stored(document_stats(docs, ["doc_id"]), "quality-stats"), labels)
+
+    def batches(parts):
+        for part in parts:
+            raws = part.column(part.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+            keep = [
+                model.score(text_stats(held)) >= 0.5 for _, held in chunks(raws)
+            ]
+            yield part.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return docs.mapInArrow(batches, docs.schema)

@@ -311,19 +311,15 @@ def connected(pairs: DataFrame, near: DataFrame, whole: DataFrame, num: int, den
         count *= 8
 
 
-def similar_components(
-    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
-) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+def _row() -> Column:
+    """A row's place among its like: by id, null last, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
 
-    Two documents link when ``den * intersection >= num * union`` of their sets of
-    ``k``-word shingles; ``component_id`` is the smallest id reachable by links. Words
-    are folded from A-Z to a-z. A text of fewer than ``k`` words is one shingle; null
-    and wordless texts have an empty set, link with nothing and keep their own id.
-    Rows with a null id take part; where all ids of a component are null, so is the
-    component. Rows of equal id and text are alike. Other columns are not looked at.
 
-    Shingles and sets are compared by 64-bit hashes.
+def grouped_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, text_hash, n, set_id, group of every row of ``docs`` (doc_id, text).
+
+    ``group`` is one number for all sets that links connect, null for empty sets.
     """
     texts = docs.select("doc_id", whole_text().alias("text"))
     frequent = frequent_shingles(texts, k)
@@ -332,7 +328,7 @@ def similar_components(
         rows.where("n > 0")
         .groupBy("set_id")
         .agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r"),
+            F.min(_row()).alias("r"),
             F.min("n").alias("n"),
             F.first("first").alias("first"),
             F.first("sketch").alias("sketch"),
@@ -386,17 +382,62 @@ def similar_components(
     likely = stored(plausible(across, sets, num, den).select("a", "b", "apart"), "plausible")
     final = connected(likely, near, whole_sets(likely, sets, texts, k), num, den)
 
-    member = final.join(sets.select("set_id", "doc_id"), F.col("id") == F.col("set_id"))
-    smallest = member.groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = stored(
-        sets.select("set_id", "doc_id")
-        .join(final, F.col("id") == F.col("set_id"), "left")
-        .join(smallest, "component", "left")
-        .select("set_id", F.coalesce("least", "doc_id").alias("component_id")),
-        "named-sets",
+    named = sets.select("set_id").join(
+        final.select(F.col("id").alias("set_id"), "component"), "set_id", "left"
     )
-    return rows.select("doc_id", "n", "set_id").join(named, "set_id", "left").select(
+    named = stored(named.select("set_id", F.coalesce("component", "set_id").alias("group")), "groups")
+    return rows.select("doc_id", "text_hash", "n", "set_id").join(named, "set_id", "left")
+
+
+def similar_components(
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
+) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+
+    Two documents link when ``den * intersection >= num * union`` of their sets of
+    ``k``-word shingles; ``component_id`` is the smallest id reachable by links. Words
+    are folded from A-Z to a-z. A text of fewer than ``k`` words is one shingle; null
+    and wordless texts have an empty set, link with nothing and keep their own id.
+    Rows with a null id take part; where all ids of a component are null, so is the
+    component. Rows of equal id and text are alike. Other columns are not looked at.
+
+    Shingles and sets are compared by 64-bit hashes.
+    """
+    rows = stored(grouped_rows(docs, k, num, den), "grouped")
+    least = rows.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
+    return rows.join(stored(least, "least-ids"), "group", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
+
+
+def one_per_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, one of each group of similar ones.
+
+    The row of the smallest id stays, null ids counting as greatest; of repeated rows
+    one. Rows with an empty set of shingles are like no other and all stay.
+    """
+    rows = stored(grouped_rows(docs, k, num, den), "grouped")
+    first = rows.where("n > 0").groupBy("group").agg(F.min(_row()).alias("r")).select("r.*")
+    keep = first.join(
+        rows.groupBy("doc_id", "text_hash").count(),
+        first["doc_id"].eqNullSafe(rows["doc_id"]) & (first["text_hash"] == rows["text_hash"]),
+    ).select(first["doc_id"], first["text_hash"], F.col("count") == 1)
+    keep = stored(keep.toDF("_d", "_h", "_once"), "kept")
+    wordless = rows.where("n = 0").select("doc_id", "text_hash").distinct()
+    named = docs.withColumn("_hash", F.xxhash64(whole_text()))
+    match = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h"))
+    once = named.join(keep.where("_once"), match, "left_semi")
+    rest = keep.where("not _once").select(F.col("_d").alias("doc_id"), F.col("_h").alias("_hash"))
+    several = marked_rows(named, rest, ["doc_id", "_hash"]).join(
+        keep.where("not _once"), match, "left_semi"
+    )
+    empty = marked_rows(
+        named, wordless.withColumnRenamed("text_hash", "_hash"), ["doc_id", "_hash"]
+    ).join(wordless.toDF("_d", "_h"), match, "left_semi")
+    return (
+        once.unionByName(several.dropDuplicates(["doc_id", "_hash"]))
+        .unionByName(empty)
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
