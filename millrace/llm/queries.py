@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import leaks
+from .html_extract import extract_articles
 from .mixing import mix_sources
 from .pii import pii_digest
 from .quality import score_quality
@@ -66,3 +67,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_maximal_repeats")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+@_query("op4_crf_article_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_articles(table(spark, sf_dir, "pages"))
