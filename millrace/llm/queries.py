@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import leaks
 from .html_extract import extract_articles
 from .mixing import mix_sources
+from .neighbours import search
 from .pii import pii_digest
 from .quality import score_quality
 from .repeats import without_repeats
@@ -72,3 +73,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_crf_article_text")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_articles(table(spark, sf_dir, "pages"))
+
+
+@_query("op1_learned_partitions_search")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
