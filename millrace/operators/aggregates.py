@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -83,6 +84,12 @@ def mode_of(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     )
 
 
+def _exact(p: float) -> Column:
+    """``p`` as it is written: 0.07 times 100 rows is the 7th, not the 8th."""
+    written = Decimal(str(p))
+    return F.lit(written).cast(f"decimal(18,{max(0, -written.as_tuple().exponent)})")
+
+
 def exact_percentiles(
     df: DataFrame,
     by: Sequence[str],
@@ -112,7 +119,7 @@ def exact_percentiles(
         outputs += [
             at(F.floor(place)).alias(f"_{name}_lo"),
             at(F.ceil(place)).alias(f"_{name}_hi"),
-            at(F.greatest(F.ceil(F.lit(float(p)) * F.col("_total")) - 1, F.lit(0))).alias(
+            at(F.greatest(F.ceil(_exact(p) * F.col("_total").cast("decimal(20,0)")) - 1, F.lit(0))).alias(
                 f"{name}_disc"
             ),
         ]

@@ -87,9 +87,9 @@ def merge_snapshot(
     # Null keys match nothing, so they may repeat: they go round the grouping.
     has_key = reduce(and_, (F.col(c).isNotNull() for c in on))
     twice = F.raise_error(F.lit("merge_snapshot: a source key occurs twice"))
-    checked = grouped.where(has_key).select(
-        *on, F.when(F.col("_rows") > 1, twice).otherwise(F.col("_new")).alias("_new")
-    )
+    # In a filter, so that it is met whatever columns are read.
+    once = F.when(F.col("_rows") > 1, twice.cast("boolean")).otherwise(F.lit(True))
+    checked = grouped.where(has_key).where(once).select(*on, "_new")
     old = F.struct(*(F.col(c) for c in attrs))
     joined = target.join(checked, on, "left").withColumn("_old", old)
     matched = F.col("_new").isNotNull()
@@ -132,6 +132,11 @@ def scd2_apply(
     current one. A change that repeats the attributes in force adds nothing, a
     late change splits the range it falls into, and two different versions of
     one key at the same time raise. Keys without changes pass through.
+
+    A range that ends where no other begins is an end: the key was closed. Ends
+    stay where they are, so a closed key stays closed and a gap stays a gap,
+    unless a change is dated at or after the end; it opens the key again, up to
+    its next version.
     """
     key, attrs = list(key), list(attrs)
     columns = [*key, *attrs, "valid_from", "valid_to", "is_current"]
@@ -143,6 +148,23 @@ def scd2_apply(
         affected.select(*key, *attrs, "valid_from")
         .unionByName(changes.select(*key, *attrs, F.col(ts).alias("valid_from")))
         .distinct()
+        .withColumn("_end", F.lit(False))
+    )
+    # An end that no version meets is a version of its own, without attributes.
+    begins = versions.select(
+        *(F.col(c).alias("_b_" + c) for c in key), F.col("valid_from").alias("_begin")
+    ).distinct()
+    ends = affected.where("valid_to IS NOT NULL").select(*key, "valid_to").distinct()
+    met = reduce(and_, (ends[c].eqNullSafe(begins["_b_" + c]) for c in key))
+    ends = ends.join(begins, met & (ends["valid_to"] == begins["_begin"]), "left_anti")
+    kinds = {f.name: f.dataType for f in versions.schema}
+    versions = versions.unionByName(
+        ends.select(
+            *key,
+            *(F.lit(None).cast(kinds[c]).alias(c) for c in attrs),
+            F.col("valid_to").alias("valid_from"),
+            F.lit(True).alias("_end"),
+        )
     )
     order = ["valid_from"]
     # Planned once, on the plain rows of both inputs.
@@ -150,17 +172,18 @@ def scd2_apply(
         changes.select(*key, F.col(ts).alias("valid_from"))
     )
     split = plan_split(stacked, key, order, group_rows)
-    image = F.struct(*attrs, "valid_from")
+    image = F.struct(*attrs, "valid_from", "_end")
     seen = neighbour(versions, key, order, image, "_before", split=split)
     clash = F.raise_error(F.lit("scd2_apply: two versions of one key at the same time"))
     before = F.col("_before")
     repeats = before.isNotNull() & reduce(
-        and_, (before[c].eqNullSafe(F.col(c)) for c in attrs), F.lit(True)
+        and_, (before[c].eqNullSafe(F.col(c)) for c in [*attrs, "_end"]), F.lit(True)
     )
     repeats = F.when(before["valid_from"] == F.col("valid_from"), clash.cast("boolean")).otherwise(
         repeats
     )
     kept = seen.where(~repeats).drop("_before")
     closed = neighbour(kept, key, order, F.col("valid_from"), "valid_to", True, split=split)
+    closed = closed.where(~F.col("_end"))
     rebuilt = closed.withColumn("is_current", F.col("valid_to").isNull()).select(*columns)
     return untouched.unionByName(rebuilt)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.windows import number_rows
+from millrace.skew import order_by
 
 CORRUPT = "_corrupt"
 
@@ -48,26 +48,33 @@ def nest(
     keys: Sequence[str],
     cols: Sequence[str],
     order: Sequence[str],
-    max_items: int = 100_000,
+    max_items: int = 1_000_000,
 ) -> DataFrame:
-    """Child rows to an ordered array of structs: ``keys, part, items``.
+    """Child rows to an ordered array of structs, one row per key: ``keys, items``.
 
-    A key with more than ``max_items`` rows gives several parts, numbered from
-    0, so no array grows without bound and no row is lost. ``order`` must be
-    total within a key.
+    An array lives in one task's memory, so a key with more than ``max_items``
+    rows raises instead of being cut. ``order`` should be total within a key.
     """
-    numbered = number_rows(df, keys, order, "_rn", max_items)
-    part = F.floor((F.col("_rn") - 1) / max_items).cast("int")
-    rows = numbered.select(*keys, part.alias("part"), F.struct("_rn", *cols).alias("_item"))
-    grouped = rows.groupBy(*keys, "part").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by(order)))
+    message = F.lit(f"nest: a key has more than {max_items} rows; raise max_items or aggregate")
+    checked = F.when(F.col("_rn") > max_items, F.raise_error(message).cast("int")).otherwise(F.col("_rn"))
+    rows = df.withColumn("_rn", place).select(
+        *keys, F.struct(checked.alias("_rn"), *cols).alias("_item")
+    )
+    grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_item")).alias("_items"))
 
     def child(item: Column) -> Column:
         return F.struct(*(item[c].alias(c) for c in cols))
 
-    return grouped.select(*keys, "part", F.transform("_items", child).alias("items"))
+    return grouped.select(*keys, F.transform("_items", child).alias("items"))
+
 
+def unnest(df: DataFrame, col: str = "items", outer: bool = False) -> DataFrame:
+    """An array-of-structs column back to one row per element.
 
-def unnest(df: DataFrame, col: str = "items") -> DataFrame:
-    """An array-of-structs column back to one row per element."""
-    others = [c for c in df.columns if c not in (col, "part")]
-    return df.select(*others, F.explode(col).alias("_item")).select(*others, "_item.*")
+    Rows whose array is empty or null give no row or, with ``outer``, one with
+    null fields. All other columns stay.
+    """
+    others = [c for c in df.columns if c != col]
+    explode = F.explode_outer if outer else F.explode
+    return df.select(*others, explode(col).alias("_item")).select(*others, "_item.*")

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 
 def _key_text(columns: Sequence[str]) -> Column:
-    return F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns))
+    """The key as JSON, which tells null from text and one column from the next."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
 def check_constraints(
@@ -25,8 +26,9 @@ def check_constraints(
 
     ``unique`` lists column sets, ``refs`` lists ``(column, parent, parent
     column)`` where null passes, ``ranges`` maps a column to an inclusive
-    ``(low, high)`` with None for an open end. Null keys count as equal. ``rows`` counts offending rows;
-    for a duplicated key it is the number of rows with that key.
+    ``(low, high)`` with None for an open end. Null keys count as equal. ``key`` is a JSON
+    object. ``rows`` counts offending rows; for a duplicated key it is the number of
+    rows with that key. All ``not_null`` and ``range`` rules share one pass.
 
     Every rule counts per key before anything is joined, so a key held by many
     rows is one row in the join.
@@ -35,26 +37,31 @@ def check_constraints(
     for columns in unique:
         counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
         parts.append((f"unique({','.join(columns)})", _key_text(columns), counted))
-    for c in not_null:
-        counted = df.where(F.col(c).isNull()).groupBy(c).agg(F.count(F.lit(1)).alias("rows"))
-        parts.append((f"not_null({c})", F.lit("NULL"), counted))
     for c, parent, key in refs:
         counted = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("rows"))
         known = parent.select(F.col(key).alias("_key")).distinct()
         orphans = counted.join(known, counted[c] == known["_key"], "left_anti")
         parts.append((f"ref({c})", _key_text([c]), orphans))
+    tests = [(f"not_null({c})", c, F.col(c).isNull()) for c in not_null]
     for c, (low, high) in (ranges or {}).items():
-        outside = F.lit(False)
-        if low is not None:
-            outside = outside | (F.col(c) < low)
-        if high is not None:
-            outside = outside | (F.col(c) > high)
-        counted = df.where(outside).groupBy(c).agg(F.count(F.lit(1)).alias("rows"))
-        parts.append((f"range({c})", _key_text([c]), counted))
+        below = F.lit(False) if low is None else F.col(c) < low
+        above = F.lit(False) if high is None else F.col(c) > high
+        tests.append((f"range({c})", c, below | above))
+    if tests:
+        broken = [
+            F.when(test, F.struct(F.lit(rule).alias("rule"), _key_text([c]).alias("key")))
+            for rule, c, test in tests
+        ]
+        each = df.select(F.explode(F.array_compact(F.array(*broken))).alias("v"))
+        counted = each.groupBy("v.rule", "v.key").agg(F.count(F.lit(1)).alias("rows"))
+        parts.append((F.col("rule"), F.col("key"), counted))
     if not parts:
         raise ValueError("no rule given")
     found = [
-        rows.select(F.lit(rule).alias("rule"), key.alias("key"), "rows") for rule, key, rows in parts
+        rows.select(
+            (rule if isinstance(rule, Column) else F.lit(rule)).alias("rule"), key.alias("key"), "rows"
+        )
+        for rule, key, rows in parts
     ]
     return reduce(DataFrame.unionByName, found)
 

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.joins import micros
+from millrace.operators.windows import fill_forward, neighbour, running
+from millrace.skew import GROUP_ROWS, plan_split
+
+#: Missing periods made at a time.
+PERIODS = 10_000
 
 
 def islands(df: DataFrame, key: Sequence[str], day: str) -> DataFrame:
@@ -37,22 +42,26 @@ def islands(df: DataFrame, key: Sequence[str], day: str) -> DataFrame:
     )
 
 
-def sessionize(df: DataFrame, key: Sequence[str], ts: str, gap: float) -> DataFrame:
+def sessionize(
+    df: DataFrame, key: Sequence[str], ts: str, gap: float, group_rows: int | None = GROUP_ROWS
+) -> DataFrame:
     """Sessions per key: ``start_ts, end_ts, rows``; a pause over ``gap`` seconds ends one.
 
     Rows are first merged into cells one gap wide. All rows of a cell belong to
-    one session, so the window that joins cells sees at most one row per gap of
-    elapsed time, not one per event.
+    one session, so the windows that join cells see at most one row per gap of
+    elapsed time, not one per event. A key with more than ``group_rows`` cells is split.
     """
     width = round(gap * 1_000_000)
+    key = list(key)
     rows = df.where(F.col(ts).isNotNull())
     cells = rows.groupBy(*key, F.floor(micros(ts) / width).alias("_cell")).agg(
         F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n")
     )
-    w = Window.partitionBy(*key).orderBy("_cell")
-    pause = micros("_first") - F.lag(micros("_last")).over(w)
-    started = cells.withColumn("_new", F.when(pause <= width, 0).otherwise(1))
-    numbered = started.withColumn("_session", F.sum("_new").over(w))
+    split = plan_split(cells, key, ["_cell"], group_rows)
+    seen = neighbour(cells, key, ["_cell"], micros("_last"), "_before", split=split)
+    pause = micros("_first") - F.col("_before")
+    started = seen.withColumn("_new", F.when(pause <= width, 0).otherwise(1))
+    numbered = running(started, key, ["_cell"], {"_session": ("sum", "_new")}, split=split)
     return (
         numbered.groupBy(*key, "_session")
         .agg(
@@ -97,6 +106,7 @@ def gap_fill(
     step: str,
     cols: Sequence[str],
     fill: str = "null",
+    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """Add the periods missing between each key's first and last one.
 
@@ -105,28 +115,36 @@ def gap_fill(
     periods are null, zero or the last value (``fill="null"|"zero"|"last"``),
     and ``"last"`` also fills nulls of given rows. Rows off the step grid are kept.
 
-    Each row adds the periods up to the next row, so one shuffle by key does it
-    all. Groups are bounded by the number of periods and need no splitting.
+    Each row adds the periods up to the next row, in blocks of ``PERIODS``, so no
+    array holds a long gap. A key with more than ``group_rows`` rows is split. Rows
+    without a time are kept as they are.
     """
     if fill not in ("null", "zero", "last"):
         raise ValueError("fill must be 'null', 'zero' or 'last'")
-    whole = Window.partitionBy(*key)
-    ordered = whole.orderBy(ts)
-    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.withColumns({"_first": F.min(ts).over(whole), "_next": F.lead(ts).over(ordered)})
+    key = list(key)
+    split = plan_split(df, key, [ts], group_rows)
+    rows = neighbour(df, key, [ts], F.col(ts), "_next", True, split=split)
+    # The first time of a key: a running minimum is the first all along.
+    rows = running(rows, key, [ts], {"_first": ("min", ts)}, split=split)
     if fill == "last":
-        rows = rows.withColumns(
-            {"_last_" + c: F.last(c, ignorenulls=True).over(upto) for c in cols}
-        ).withColumns({c: F.col("_last_" + c) for c in cols})
+        rows = fill_forward(rows, key, [ts], cols, split=split)
     point, index = _grid(step, F.col("_first"))
     kind = df.schema[ts].dataType
     # The index is approximate at month ends: look one period further each way.
-    places = F.sequence(index(F.col(ts)) - 1, index(F.col("_next")) + 1)
+    low, high = (index(F.col(ts)) - 1).cast("long"), (index(F.col("_next")) + 1).cast("long")
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((high - low) / PERIODS))
+    rows = rows.withColumns({"_low": low, "_high": high}).withColumn(
+        "_block", F.explode(F.when(F.col("_next").isNull() | F.col(ts).isNull(), F.array(F.lit(0).cast("long"))).otherwise(blocks))
+    )
+    start = F.col("_low") + F.col("_block") * PERIODS
+    places = F.sequence(start, F.least(F.col("_high"), start + PERIODS - 1))
     points = F.transform(places, lambda k: point(k).cast(kind))
     missing = F.filter(points, lambda t: (t > F.col(ts)) & (t < F.col("_next")))
     none = F.array().cast(T.ArrayType(kind))
-    periods = F.concat(F.array(ts), F.coalesce(missing, none))
-    filled = rows.select(*df.columns, F.posexplode(periods).alias("_place", "_period"))
+    given = F.when(F.col("_block") == 0, F.array(ts)).otherwise(none)
+    periods = F.concat(given, F.coalesce(missing, none))
+    filled = rows.select(*df.columns, "_block", F.posexplode(periods).alias("_place", "_period"))
+    is_given = (F.col("_place") == 0) & (F.col("_block") == 0)
     outputs = []
     for c in df.columns:
         if c == ts:
@@ -135,21 +153,25 @@ def gap_fill(
             outputs.append(F.col(c))
         else:
             added = F.lit(0) if c in cols and fill == "zero" else F.lit(None)
-            outputs.append(F.when(F.col("_place") == 0, F.col(c)).otherwise(added).alias(c))
+            outputs.append(F.when(is_given, F.col(c)).otherwise(added).alias(c))
     return filled.select(*outputs)
 
 
 def period_change(
-    df: DataFrame, key: Sequence[str], period: str, value: str, step: str = "1 month"
+    df: DataFrame,
+    key: Sequence[str],
+    period: str,
+    value: str,
+    step: str = "1 month",
+    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """Add ``previous, change, change_ratio`` against the previous calendar period.
 
     ``df`` holds one row per key and period. Missing periods appear with a null
     value, so a row is never compared with a period further back.
     """
-    dense = gap_fill(df, key, period, step, [value])
-    w = Window.partitionBy(*key).orderBy(period)
-    rows = dense.withColumn("previous", F.lag(value).over(w))
+    dense = gap_fill(df, key, period, step, [value], group_rows=group_rows)
+    rows = neighbour(dense, list(key), [period], F.col(value), "previous", group_rows=group_rows)
     change = F.col(value) - F.col("previous")
     return rows.withColumn("change", change).withColumn(
         "change_ratio", F.try_divide(F.col("change").cast("double"), F.col("previous").cast("double"))

@@ -13,7 +13,16 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.skew import GROUP_ROWS, PIECE, Split, at_or_after, order_by, parse_order, plan_split
+from millrace.skew import (
+    GROUP_ROWS,
+    PIECE,
+    Split,
+    at_or_after,
+    order_by,
+    parse_order,
+    plan_split,
+    same_keys,
+)
 
 
 def _struct(names: Sequence[str]) -> Column:
@@ -118,6 +127,7 @@ def running(
     order: Sequence[str],
     aggs: Mapping[str, tuple[str, str]],
     group_rows: int | None = GROUP_ROWS,
+    split: Split | None = None,
 ) -> DataFrame:
     """Add running aggregates ``{output: (sum|count|min|max|total, column)}``.
 
@@ -125,7 +135,7 @@ def running(
     ``total`` is the sum over the whole group. Sum decimals or whole numbers:
     doubles depend on the order of addition, here as in any Spark sum.
     """
-    split = plan_split(df, by, order, group_rows)
+    split = split or plan_split(df, by, order, group_rows)
     fold = {}
     for out, (fn, _) in aggs.items():
         again = F.sum if fn == "count" else _PARTIAL[fn]
@@ -180,33 +190,73 @@ def frame_range(
     df: DataFrame,
     by: Sequence[str],
     ts: str,
-    aggs: Mapping[str, Column],
+    aggs: Mapping[str, tuple[str, str]],
     before: float = 0,
     after: float = 0,
-    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
-    """Add aggregates over the rows from ``before`` to ``after`` seconds around ``ts``.
-
-    Large groups are cut into time bins; each row is also copied to the bins
-    whose frames can reach it.
+    """Add ``{output: (sum|count|min|max|avg, column)}`` over the rows from ``before`` to
+    ``after`` seconds around ``ts``.
+
+    Time is cut into blocks as wide as the frame. A frame then covers the end of
+    one block and the beginning of the next, which two running aggregates give, one
+    from either side: the work grows with the rows, not with rows times frame, and a
+    key with very many rows is dealt out by block. Rows of one key and time share a
+    frame and are aggregated first. Rows without a time share theirs.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    if before < 0 or after < 0:
+        raise ValueError("before and after are distances")
     back, ahead = round(before * 1_000_000), round(after * 1_000_000)
-    rows, keys = df.withColumn("_us", micros), list(by)
-    split = plan_split(df, by, [ts], group_rows).cuts is not None
-    if split:
-        width = 8 * max(back + ahead, 1)
-        us = F.col("_us")
-        bins = F.sequence(F.floor((us - ahead) / width), F.floor((us + back) / width))
-        rows = rows.withColumn("_home", F.floor(us / width)).withColumn(
-            PIECE, F.explode(F.when(us.isNull(), F.array(F.lit(None).cast("long"))).otherwise(bins))
+    width = back + ahead
+    parts = {}
+    for i, (fn, c) in enumerate(aggs.values()):
+        kinds = ("sum", "count") if fn == "avg" else (fn,)
+        parts.update({f"_{k}_{i}": (k, c) for k in kinds})
+    fold = {n: F.sum if k == "count" else _PARTIAL[k] for n, (k, _) in parts.items()}
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.withColumn("_us", us)
+    points = rows.groupBy(*by, "_us").agg(*(_PARTIAL[k](F.col(c)).alias(n) for n, (k, c) in parts.items()))
+    if width:
+        # Each point is data in its own block, and asks at either edge of its frame.
+        own = F.struct(F.col("_us").alias("at"), F.lit(0).alias("asks"))
+        low = F.struct((F.col("_us") - back).alias("at"), F.lit(-1).alias("asks"))
+        high = F.struct((F.col("_us") + ahead).alias("at"), F.lit(1).alias("asks"))
+        events = points.withColumn(
+            "_e", F.explode(F.when(F.col("_us").isNull(), F.array(own)).otherwise(F.array(own, low, high)))
         )
-        keys = [*by, PIECE]
-    w = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-back, ahead)
-    rows = rows.withColumns({name: agg.over(w) for name, agg in aggs.items()})
-    if split:
-        rows = rows.where(F.col(PIECE).eqNullSafe(F.col("_home"))).drop(PIECE, "_home")
-    return rows.drop("_us")
+        block = F.floor(F.col("_e.at") / width)
+        place = Window.partitionBy(*by, block)
+        is_data = F.col("_e.asks") == 0
+        # Data sorts before the questions at its own time, from either side.
+        upto = place.orderBy(F.col("_e.at"), F.abs("_e.asks"))
+        downto = place.orderBy(F.col("_e.at").desc(), F.abs("_e.asks"))
+        run = (Window.unboundedPreceding, Window.currentRow)
+        seen = {}
+        for n in parts:
+            value = F.when(is_data, F.col(n))
+            rising = fold[n](value).over(upto.rowsBetween(*run))
+            falling = fold[n](value).over(downto.rowsBetween(*run))
+            seen["_v" + n] = (
+                F.when(F.col("_e.asks") == 1, rising)
+                .when(F.col("_e.asks") == -1, falling)
+                .when(F.col("_us").isNull(), F.col(n))
+            )
+        answers = events.withColumns(seen).where((~is_data) | F.col("_us").isNull())
+        points = answers.groupBy(*by, "_us").agg(*(fold[n]("_v" + n).alias(n) for n in parts))
+    outputs = {}
+    for i, (out, (fn, _)) in enumerate(aggs.items()):
+        if fn == "avg":
+            outputs[out] = F.try_divide(F.col(f"_sum_{i}").cast("double"), F.col(f"_count_{i}"))
+        elif fn == "count":
+            outputs[out] = F.coalesce(F.col(f"_count_{i}"), F.lit(0)).cast("long")
+        else:
+            outputs[out] = F.col(f"_{fn}_{i}")
+    keys = [*by, "_us"]
+    found = points.select(
+        *(F.col(k).alias("_f_" + k) for k in keys), *(e.alias("_o_" + o) for o, e in outputs.items())
+    )
+    joined = rows.join(found, same_keys(rows, found, keys, "_f_"), "left")
+    joined = joined.withColumns({o: F.col("_o_" + o) for o in outputs})
+    return joined.drop("_us", *("_f_" + k for k in keys), *("_o_" + o for o in outputs))
 
 
 def neighbour(

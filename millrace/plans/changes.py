@@ -196,6 +196,55 @@ def versions(spark, d):
     return scd2_apply(once, late, ["c_custkey"], ["segment"], "ts")
 
 
+@query(
+    "f7_scd2_closed",
+    """
+    WITH c AS (SELECT c_custkey AS k, c_nationkey % 5 AS g, c_mktsegment AS s FROM customer)
+    SELECT k, s AS segment, TIMESTAMP '2020-01-01' AS valid_from,
+           CASE WHEN g IN (1, 4) THEN TIMESTAMP '2020-03-01' ELSE TIMESTAMP '2020-06-01' END AS valid_to,
+           FALSE AS is_current FROM c
+    UNION ALL SELECT k, 'BACK', TIMESTAMP '2021-01-01', NULL, TRUE FROM c
+    UNION ALL SELECT k, 'LATE', TIMESTAMP '2020-03-01', TIMESTAMP '2020-06-01', FALSE FROM c
+               WHERE g IN (1, 4)
+    UNION ALL SELECT k, 'GAP', TIMESTAMP '2020-08-01',
+                     CASE WHEN g = 4 THEN TIMESTAMP '2020-10-01' ELSE TIMESTAMP '2021-01-01' END, FALSE
+               FROM c WHERE g IN (2, 4)
+    UNION ALL SELECT k, s, TIMESTAMP '2020-10-01', TIMESTAMP '2021-01-01', FALSE FROM c WHERE g IN (3, 4)
+    """,
+)
+def closed_versions(spark, d):
+    """Every key was closed and came back. Changes fall into the first range, into the gap,
+    and bring the old segment back there; keys of the first group have none."""
+    customer = load_table(spark, d, "customer").select(
+        F.col("c_custkey").alias("k"), (F.col("c_nationkey") % 5).alias("g"), "c_mktsegment"
+    )
+
+    def at(day):
+        return F.lit(day).cast("timestamp_ntz")
+
+    def version(segment, start, end):
+        return customer.select(
+            "k", segment.alias("segment"), at(start).alias("valid_from"), at(end).alias("valid_to"),
+            F.lit(end is None).alias("is_current"),
+        )
+
+    history = version(F.col("c_mktsegment"), "2020-01-01", "2020-06-01").unionByName(
+        version(F.lit("BACK"), "2021-01-01", None)
+    )
+
+    def change(groups, segment, day):
+        return customer.where(F.col("g").isin(groups)).select(
+            "k", segment.alias("segment"), at(day).alias("ts")
+        )
+
+    changes = (
+        change([1, 4], F.lit("LATE"), "2020-03-01")
+        .unionByName(change([2, 4], F.lit("GAP"), "2020-08-01"))
+        .unionByName(change([3, 4], F.col("c_mktsegment"), "2020-10-01"))
+    )
+    return scd2_apply(history, changes, ["k"], ["segment"], "ts")
+
+
 _EDGES_SQL = """
     SELECT 'world' AS parent, 'R' || r_regionkey AS child FROM region
     UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM nation

@@ -51,15 +51,14 @@ _LINE_ORDER = [*_LINE, "l_suppkey", "l_shipdate", "l_discount", "l_tax"]
     "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice FROM lineitem",
 )
 def nest_unnest(spark, d):
-    """Arrays of at most three items, so long orders come in parts."""
     lines = load_table(spark, d, "lineitem")
-    return unnest(nest(lines, ["l_orderkey"], _LINE, _LINE_ORDER, max_items=3))
+    return unnest(nest(lines, ["l_orderkey"], _LINE, _LINE_ORDER))
 
 
 @query(
     "i2_nest",
     """
-    SELECT l_orderkey, 0 AS part, COUNT(*) AS items, MIN(l_linenumber) AS first_line,
+    SELECT l_orderkey, COUNT(*) AS items, MIN(l_linenumber) AS first_line,
            MAX(l_linenumber) AS last_line
     FROM lineitem GROUP BY l_orderkey
     """,
@@ -68,7 +67,6 @@ def nested(spark, d):
     orders = nest(load_table(spark, d, "lineitem"), ["l_orderkey"], _LINE, _LINE_ORDER)
     return orders.select(
         "l_orderkey",
-        "part",
         F.size("items").cast("long").alias("items"),
         F.element_at("items", 1)["l_linenumber"].alias("first_line"),
         F.element_at("items", -1)["l_linenumber"].alias("last_line"),

@@ -151,16 +151,22 @@ def running_totals_split(spark, d):
 
 
 _RANGE_SQL = """
-    SELECT event_id, MAX(value) OVER w AS high, COUNT(*) OVER w AS n
+    SELECT event_id, MAX(value) OVER w AS high, MIN(value) OVER w AS low, COUNT(*) OVER w AS n,
+           CAST(SUM(user_id) OVER w AS BIGINT) AS users
     FROM events WINDOW w AS (PARTITION BY {by} ORDER BY ts
       RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND INTERVAL 1 HOUR FOLLOWING)
 """
 
 
-def _ranged(spark, d, by, **options):
-    aggs = {"high": F.max("value"), "n": F.count(F.lit(1))}
-    rows = frame_range(_events(spark, d), [by], "ts", aggs, 12 * 3600, 3600, **options)
-    return rows.select("event_id", "high", "n")
+def _ranged(spark, d, by):
+    aggs = {
+        "high": ("max", "value"),
+        "low": ("min", "value"),
+        "n": ("count", "event_id"),
+        "users": ("sum", "user_id"),
+    }
+    rows = frame_range(_events(spark, d), [by], "ts", aggs, 12 * 3600, 3600)
+    return rows.select("event_id", *aggs)
 
 
 @query("e4_range_frames", _RANGE_SQL.format(by="user_id"))
@@ -170,7 +176,8 @@ def range_frames(spark, d):
 
 @query("e4_range_frames_split", _RANGE_SQL.format(by="event_type"))
 def range_frames_split(spark, d):
-    return _ranged(spark, d, "event_type", group_rows=500)
+    """Few keys with many rows each."""
+    return _ranged(spark, d, "event_type")
 
 
 @query(

@@ -5,12 +5,11 @@ single key may hold a third of the table that task never ends. The helpers here
 find such groups, cut each one into pieces along the window's own order, and
 hand every piece what it must know about the pieces before it (its carry).
 
-Sizes are bounded, whatever the table's size:
-
-* at most ``MAX_GROUPS`` groups are split, the largest ones. A group left whole
-  holds about ``group_rows`` rows or under 1/``MAX_GROUPS`` of all rows at most;
-* the number of pieces over all groups stays near ``MAX_GROUPS``, so the tables
-  of cuts and carries are small enough to broadcast.
+Every group over ``group_rows`` rows is split, into pieces of about that size.
+There are at most as many large groups as the table has ``group_rows`` rows, and
+about as many pieces, so what the driver holds is one cut per ``group_rows`` rows
+of data. Tables of cuts and carries are broadcast up to ``BROADCAST_ROWS`` rows
+and joined as any other table beyond.
 
 Both the large groups and the cuts are found by sampling. Sampling only decides
 how the work is divided; every row is used and no result depends on it.
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GROUP_ROWS = 10_000_000
-MAX_GROUPS = 4096
+BROADCAST_ROWS = 65_536
 SAMPLES_PER_PIECE = 16
 SAMPLES_PER_GROUP = 200
 
@@ -90,8 +89,7 @@ def hot_groups(df: DataFrame, by: Sequence[str], group_rows: int = GROUP_ROWS) -
     sample = sample if rate == 1.0 else sample.sample(rate)
     counts = sample.groupBy(*by).agg(F.count(F.lit(1)).alias("_seen"))
     large = counts.where(F.col("_seen") > group_rows * rate)
-    sizes = large.select(*by, (F.col("_seen") / rate).cast("long").alias("_n"))
-    return sizes.orderBy(F.col("_n").desc()).limit(MAX_GROUPS).collect()
+    return large.select(*by, (F.col("_seen") / rate).cast("long").alias("_n")).collect()
 
 
 def _renamed(field: T.StructField, name: str) -> T.StructField:
@@ -99,17 +97,32 @@ def _renamed(field: T.StructField, name: str) -> T.StructField:
 
 
 def key_table(df: DataFrame, by: Sequence[str], rows: list, prefix: str) -> DataFrame:
-    """The keys of ``rows`` as a table of at most ``MAX_GROUPS`` rows."""
-    schema = T.StructType([_renamed(df.schema[n], prefix + n) for n in by])
-    return df.sparkSession.createDataFrame([tuple(r[n] for n in by) for r in rows], schema)
+    """The keys of ``rows``, one row per large group, numbered by ``{prefix}``."""
+    schema = T.StructType(
+        [_renamed(df.schema[n], prefix + n) for n in by]
+        + [T.StructField(prefix, T.IntegerType(), False)]
+    )
+    keyed = [(*(r[n] for n in by), i) for i, r in enumerate(rows)]
+    return df.sparkSession.createDataFrame(keyed, schema)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if its known number of rows allows one."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 class Split:
     """How the groups of ``by``, sorted by ``order``, are cut into pieces."""
 
     def __init__(
-        self, by: Sequence[str], order: Sequence[str], cuts: DataFrame | None = None, fan: int = 1
+        self,
+        by: Sequence[str],
+        order: Sequence[str],
+        cuts: DataFrame | None = None,
+        fan: int = 1,
+        pieces: int = 0,
     ):
+        self.pieces = pieces
         self.by = list(by)
         self.order = list(order)
         self.cuts = cuts
@@ -132,7 +145,7 @@ class Split:
             return df
         if self.by:
             match = same_keys(df, self.cuts, self.by, "_cut_")
-            rows = df.join(F.broadcast(self.cuts), match, how)
+            rows = df.join(small(self.cuts, self.pieces), match, how)
         else:
             rows = df.withColumn("_cuts", self.cuts.select("_cuts").scalar())
 
@@ -171,7 +184,7 @@ class Split:
         tagged = self.tag(df)
         names = [*self.by, PIECE]
         match = same_keys(tagged, folded, names, "_carry_")
-        return tagged.join(F.broadcast(folded), match, "left").drop(*("_carry_" + n for n in names))
+        return tagged.join(small(folded, self.pieces), match, "left").drop(*("_carry_" + n for n in names))
 
     def _fold(self, hot, partial, fold, following):
         sums = hot.groupBy(*self.by, PIECE).agg(*(c.alias("_p_" + n) for n, c in partial.items()))
@@ -200,24 +213,26 @@ def plan_split(
     if not hot:
         return Split(by, order)
 
-    size = max(group_rows, sum(r["_n"] for r in hot) // MAX_GROUPS)
     names = [name for name, _ in parse_order(order)]
     slim = df.select(*dict.fromkeys([*by, *names]))
+    # Groups are known by number from here on: a key may be NaN, or not hashable.
     if by:
         keys = key_table(slim, by, hot, "_hot_")
-        slim = slim.join(F.broadcast(keys), same_keys(slim, keys, by, "_hot_"), "left_semi")
-    sample = slim.sample(min(1.0, SAMPLES_PER_PIECE / size))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order_by(order)))
+        numbered = slim.join(small(keys, len(hot)), same_keys(slim, keys, by, "_hot_"))
+    else:
+        numbered = slim.withColumn("_hot_", F.lit(0))
+    sample = numbered.sample(min(1.0, SAMPLES_PER_PIECE / group_rows))
+    rank = F.row_number().over(Window.partitionBy("_hot_").orderBy(*order_by(order)))
     picked = sample.withColumn("_rank", rank).where(F.col("_rank") % SAMPLES_PER_PIECE == 0)
 
-    cuts: dict[tuple, list] = {tuple(r[n] for n in by): [] for r in hot}
-    for row in sorted(picked.collect(), key=lambda r: r["_rank"]):
-        found = cuts[tuple(row[n] for n in by)]
+    cuts: list[list] = [[] for _ in hot]
+    for row in sorted(picked.select("_hot_", "_rank", *names).collect(), key=lambda r: r["_rank"]):
+        found = cuts[row["_hot_"]]
         cut = tuple(row[n] for n in names)
         if not found or found[-1] != cut:
             found.append(cut)
 
-    fan = max(1, math.ceil(max(map(len, cuts.values())) ** (1 / 3)))
+    fan = max(1, math.ceil(max(map(len, cuts)) ** (1 / 3)))
 
     def blocks(found: list) -> list:
         return [found[i : i + fan] for i in range(0, len(found), fan)]
@@ -227,17 +242,30 @@ def plan_split(
         [_renamed(slim.schema[n], "_cut_" + n) for n in by]
         + [T.StructField("_cuts", T.ArrayType(T.ArrayType(T.ArrayType(struct))), False)]
     )
-    rows = [(*key, blocks(blocks(found))) for key, found in cuts.items()]
-    return Split(by, order, df.sparkSession.createDataFrame(rows, schema), fan)
+    rows = [
+        (*(r[n] for n in by), blocks(blocks(found))) for r, found in zip(hot, cuts, strict=True)
+    ]
+    pieces = sum(map(len, cuts)) + len(cuts)
+    return Split(by, order, df.sparkSession.createDataFrame(rows, schema), fan, pieces)
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def spread(df: DataFrame, parts: int) -> Column:
     """A number below ``parts`` that divides any set of rows about evenly.
 
     Equal rows differ by the task that read them, so a group of copies is
-    divided too. A task run again gives each row the same number.
+    divided too. A task run again gives each row the same number. Columns that
+    cannot be hashed, such as maps, are left out.
     """
-    content = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+    columns = [F.col(f"`{f.name}`") for f in df.schema if _hashable(f.dataType)]
+    content = F.pmod(F.xxhash64(*columns) if columns else F.lit(0), F.lit(parts))
     return F.pmod(content + F.spark_partition_id(), F.lit(parts)).cast("int")
 
 
@@ -249,14 +277,13 @@ def divide(df: DataFrame, by: Sequence[str], group_rows: int = GROUP_ROWS) -> Da
     hot = hot_groups(df, by, group_rows)
     if not hot:
         return df.withColumn(PIECE, F.lit(0))
-    size = max(group_rows, sum(r["_n"] for r in hot) // MAX_GROUPS)
     schema = T.StructType(
         [_renamed(df.schema[n], "_hot_" + n) for n in by]
         + [T.StructField("_parts", T.IntegerType(), False)]
     )
-    rows = [(*(r[n] for n in by), -(-r["_n"] // size)) for r in hot]
+    rows = [(*(r[n] for n in by), -(-r["_n"] // group_rows)) for r in hot]
     keys = df.sparkSession.createDataFrame(rows, schema)
-    numbered = df.withColumn("_spread", spread(df, 2 * MAX_GROUPS))
-    joined = numbered.join(F.broadcast(keys), same_keys(numbered, keys, by, "_hot_"), "left")
+    numbered = df.withColumn("_spread", spread(df, 1 << 30))
+    joined = numbered.join(small(keys, len(hot)), same_keys(numbered, keys, by, "_hot_"), "left")
     piece = F.coalesce(F.col("_spread") % F.col("_parts"), F.lit(0))
     return joined.withColumn(PIECE, piece).drop("_spread", "_parts", *("_hot_" + n for n in by))

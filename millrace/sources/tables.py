@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException as SparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -53,17 +54,23 @@ def load_table(
     directory: str,
     name: str,
     schema: str | None = None,
-    every_file: bool = False,
+    every_file: bool = True,
 ) -> DataFrame:
     """Read ``directory/name.parquet`` and insist on its declared schema.
 
-    One file's footer is checked; with ``every_file`` the footers of all files
-    are merged in a Spark job first, which also finds a column that only some
-    files have or that changes type between files. Columns come back in declared
+    The footers of all files are merged in a Spark job first, which also finds a
+    column that only some files have or that changes type between files. Without
+    ``every_file`` only one footer is looked at. Columns come back in declared
     order.
     """
     declared = _schema(schema or SCHEMAS[name])
     reader = spark.read.option("mergeSchema", every_file)
-    df = reader.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+    path = f"{directory.rstrip('/')}/{name}.parquet"
+    try:
+        df = reader.parquet(path)
+    except SparkException as error:
+        if "CANNOT_MERGE" not in str(error):
+            raise
+        raise SchemaDrift(f"{name}: files differ in their columns' types") from error
     check_schema(df.schema, declared, name)
     return df.select(*declared.names)

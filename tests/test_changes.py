@@ -90,6 +90,32 @@ def test_scd2_late_change_splits_a_range(spark):
     assert rows(again) == rows(found)
 
 
+def test_scd2_keeps_ends_and_gaps(spark):
+    history = spark.createDataFrame(
+        [(1, "a", day(0), day(100), False), (2, "a", day(0), day(30), False), (2, "b", day(90), None, True)],
+        HISTORY,
+    )
+    changes = spark.createDataFrame([(1, "b", day(50)), (2, "c", day(400))], CHANGES)
+    expected = [
+        (1, "a", day(0), day(50), False),
+        (1, "b", day(50), day(100), False),
+        (2, "a", day(0), day(30), False),
+        (2, "b", day(90), day(400), False),
+        (2, "c", day(400), None, True),
+    ]
+    for group_rows in (None, 1):
+        found = scd2_apply(history, changes, ["k"], ["v"], "ts", group_rows)
+        assert sorted(rows(found), key=lambda r: (r[0], r[2])) == expected
+
+
+def test_merge_raises_whatever_is_read(spark):
+    target = snapshot(spark, [(1, "a"), (2, "b")])
+    merged = merge_snapshot(target, snapshot(spark, [(2, "p"), (2, "q")]), ["k"])
+    for read in (merged.count, merged.select("k").collect):
+        with pytest.raises(Exception, match="occurs twice"):
+            read()
+
+
 def test_scd2_clash_raises(spark):
     history = spark.createDataFrame([(1, "a", day(0), None, True)], HISTORY)
     changes = spark.createDataFrame([(1, "b", day(0))], CHANGES)

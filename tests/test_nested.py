@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import pandas_functions as p
@@ -39,17 +40,26 @@ def test_nest_then_unnest_gives_the_rows_back(spark, sf_dir):
     columns = ["l_linenumber", "l_partkey", "l_quantity"]
     order = [c for c in lines.columns if c != "l_suppkey"]
     plain = nest(lines, ["l_suppkey"], columns, order)
-    assert rows(plain.select("part").distinct()) == [(0,)]
-    cut = nest(lines, ["l_suppkey"], columns, order, max_items=50)
-    assert cut.agg(F.max(F.size("items"))).first()[0] == 50
-    expected = rows(lines, "l_suppkey", *columns)
-    assert rows(unnest(plain)) == expected and rows(unnest(cut)) == expected
-    joined = cut.orderBy("part").groupBy("l_suppkey").agg(F.flatten(F.sort_array(F.collect_list(F.struct("part", "items")))["items"]).alias("items"))
-    assert rows(joined.select("l_suppkey", F.to_json("items"))) == rows(
+    assert plain.count() == lines.select("l_suppkey").distinct().count()
+    assert rows(unnest(plain)) == rows(lines, "l_suppkey", *columns)
+    with pytest.raises(Exception, match="more than 50 rows"):
+        nest(lines, ["l_suppkey"], columns, order, max_items=50).collect()
+    down = nest(lines, ["l_suppkey"], columns, [f"{c} desc" for c in order])
+    backwards = down.withColumn("items", F.reverse("items"))
+    assert rows(backwards.select("l_suppkey", F.to_json("items"))) == rows(
         plain.select("l_suppkey", F.to_json("items"))
     )
 
 
+def test_unnest_keeps_other_columns_and_empty_parents(spark):
+    df = spark.createDataFrame(
+        [(1, "p", [(1, "x")]), (2, "q", []), (3, "r", None)],
+        "k INT, part STRING, items ARRAY<STRUCT<a: INT, b: STRING>>",
+    )
+    assert rows(unnest(df)) == [(1, "p", 1, "x")]
+    assert rows(unnest(df, outer=True), "k", "part", "a") == [(1, "p", 1), (2, "q", None), (3, "r", None)]
+
+
 def test_root_mean_square_in_pieces(events):
     whole = p.root_mean_square(events, ["event_type"], "value")
     pieces = p.root_mean_square(events, ["event_type"], "value", group_rows=20)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace import skew
 from millrace.operators import windows as w
+from millrace.operators.joins import salted_join
 from tests.conftest import rows
 
 ORDERS = [["ts"], ["ts desc"], ["value", "event_id desc"], ["value desc", "event_id"]]
@@ -79,14 +83,47 @@ def test_number_rows(events):
         )
 
 
-def test_frame_range(events):
-    aggs = {"high": F.max("value"), "n": F.count("value")}
-    holes = events.withColumn("ts", F.when(F.col("event_id") % 50 != 0, F.col("ts")))
+@pytest.mark.parametrize(("before", "after"), [(7200, 60), (0, 3600), (50, 0), (0, 0)])
+def test_frame_range(events, before, after):
+    aggs = {"high": ("max", "value"), "low": ("min", "value"), "n": ("count", "value"),
+            "total": ("sum", "value"), "mean": ("avg", "value")}
+    holes = events.withColumn("ts", F.when(F.col("event_id") % 50 != 0, F.date_trunc("minute", F.col("ts").cast("timestamp"))))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    functions = {"max": F.max, "min": F.min, "count": F.count, "sum": F.sum, "avg": F.avg}
     for by in (["user_id"], []):
-        same(
-            w.frame_range(holes, by, "ts", aggs, 7200, 60, None),
-            w.frame_range(holes, by, "ts", aggs, 7200, 60, 40),
+        frame = Window.partitionBy(*by).orderBy(us).rangeBetween(-before * 1_000_000, after * 1_000_000)
+        plain = holes.withColumns({o: functions[f](c).over(frame) for o, (f, c) in aggs.items()})
+        same(plain, w.frame_range(holes, by, "ts", aggs, before, after))
+
+
+def test_dense_frames_take_time_in_proportion_to_rows(spark):
+    def seconds(n):
+        df = spark.range(n).select(
+            F.lit(1).alias("k"), F.timestamp_micros((F.col("id") * 43_200_000_000 / n).cast("long")).alias("ts"), "id"
         )
+        start = time.perf_counter()
+        found = w.frame_range(df, ["k"], "ts", {"m": ("max", "id"), "n": ("count", "id")}, 21_600)
+        found.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(400_000) < 60
+
+
+def test_hot_keys_that_cannot_be_looked_up(spark):
+    """A hot NaN, a hot array and a map column, at a threshold that splits them."""
+    base = spark.range(600).select(
+        F.when(F.col("id") % 3 != 0, F.lit(float("nan"))).otherwise(F.col("id") % 5).alias("x"),
+        F.when(F.col("id") % 3 != 0, F.array(F.lit(1))).otherwise(F.array("id")).alias("a"),
+        F.create_map(F.lit("k"), "id").alias("m"),
+        "id",
+    )
+    for by in ("x", "a"):
+        plain = w.number_rows(base, [by], ["id"], "rn", None)
+        cut = w.number_rows(base, [by], ["id"], "rn", 20)
+        assert rows(plain.select("id", "rn")) == rows(cut.select("id", "rn"))
+    joined = salted_join(base, base.select("x").distinct().withColumn("t", F.lit(1)), ["x"], 4, group_rows=20)
+    assert joined.count() == 600
 
 
 @pytest.mark.parametrize("order", [["ts", "event_id"], ["ts desc", "event_id desc"]])
