@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by alternating stars."""
+"""Connected components of a table of links, by contraction."""
 
 from __future__ import annotations
 
@@ -8,46 +8,38 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def _pairs(edges: DataFrame, u: str, v: str) -> DataFrame:
-    return edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
-
-
-def _state(edges: DataFrame) -> tuple:
-    low, high = F.least("u", "v"), F.greatest("u", "v")
-    digest = F.sum(F.xxhash64(low, high).cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count("*"), digest).head())
-
-
 def components(links: DataFrame) -> DataFrame:
-    """``id`` and ``component`` (the smallest id reachable) of every id in ``links`` (a, b).
-
-    Each round hangs the greater neighbours of every id on its smallest one, then
-    the smaller ones likewise (Kiveris et al. 2014). Rounds are few, of the order
-    of the logarithm of the ids, and each is stored, so none is computed again
-    after a loss. The smallest neighbours are stored before they are joined back,
-    so that Spark can split the links of an id that has very many.
+    """``id`` and ``component`` of every id in ``links`` (a, b): one of the ids, the same for
+    all ids that links connect.
+
+    In each round every id joins its smallest neighbour, if that is smaller, and links
+    are drawn anew between what ids have joined. With ids in no order along the links,
+    such as hashes, a share of them is gone after each round, so rounds grow with the
+    logarithm of their number; a star is done after two. Each round is stored. What
+    ids joined is stored before links are joined to it, so that Spark can split the
+    links of an id that has very many.
     """
-    edges = stored(_pairs(links, "a", "b").where("u <> v").distinct(), "links")
-    before = _state(edges)
-    while before[0]:
-        both = edges.unionByName(_pairs(edges, "v", "u"))
-        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
-        large = stored(
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v").distinct(),
-            "large-star",
+    left = stored(links.select("a", "b").where("a <> b").distinct(), "links")
+    found = None
+    while left.head(1):
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        joined = stored(
+            both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "id"),
+            "joined",
         )
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
-        hung = down.join(least, "u")
-        edges = stored(
-            _pairs(hung, "v", "m").unionByName(_pairs(least, "u", "m")).where("u <> v").distinct(),
-            "small-star",
+        a, b = joined.toDF("a", "x"), joined.toDF("b", "y")
+        left = stored(
+            left.join(a, "a")
+            .join(b, "b")
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            .where("a <> b")
+            .distinct(),
+            "links",
         )
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
-    stars = edges.select(F.greatest("u", "v").alias("id"), F.least("u", "v").alias("component"))
-    centres = stars.select(F.col("component").alias("id"), "component").distinct()
-    return stars.unionByName(centres)
+        if found is None:
+            found = joined.toDF("id", "component")
+        else:
+            found = found.join(joined.toDF("component", "to"), "component", "left").select(
+                "id", F.coalesce("to", "component").alias("component")
+            )
+    return links.select(F.col("a").alias("id"), F.col("b").alias("component")) if found is None else found

@@ -173,39 +173,59 @@ def boundary(sets: DataFrame, num: int, den: int) -> int:
     return best
 
 
-def _overlap(n: Column, m: Column, num: int, den: int) -> Column:
-    """Least overlap of sets of ``n`` and ``m`` shingles that are similar enough."""
-    return F.ceil((n + m) * num / F.lit(num + den).cast("double") - 1e-9)
+def _room(num: int, den: int) -> Column:
+    """Whether two sets that meet at ``place`` and ``place_2`` can share enough: what they
+    may share before, the key, and all of what is left.
+
+    A shingle before the key that both have is in the beginnings of both, so its list
+    has both; those whose list has one set only are not shared with any.
+    """
+    need = F.ceil((F.col("n") + F.col("n_2")) * num / F.lit(num + den).cast("double") - 1e-9)
+    rest = F.least(F.col("n") - F.col("place"), F.col("n_2") - F.col("place_2")) - 1
+    return F.least("before", "before_2") + 1 + rest >= need
 
 
 def postings(sets: DataFrame, cut: int, num: int, den: int) -> DataFrame:
-    """key, set_id, n, place: what sets meet by. ``place`` is a shingle's in the order,
-    and -1 for subsets."""
+    """key, set_id, n, place, short, single: what sets meet by.
+
+    ``place`` is a shingle's in the order, of a subset its last one's. ``short`` says
+    that the key lies within the beginning by which a set meets larger ones: as the
+    larger set's size raises the overlap that is needed, the smaller of two similar
+    sets shares a shingle already there, about half as long as by which the larger does.
+    """
     some = sets.where("n > 1")
     heads = (F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1).cast("int")
+    overlap = F.ceil(F.col("n") * (2 * num) / F.lit(num + den).cast("double") - 1e-9)
     pairs = F.flatten(
         F.transform(
             "first",
             lambda x, i: F.transform(
-                F.slice("first", i + 2, F.size("first")), lambda y: F.xxhash64(x, y)
+                F.slice("first", i + 2, F.size("first")),
+                lambda y, j: F.struct(F.xxhash64(x, y).alias("key"), (i + j + 1).alias("place")),
             ),
         )
     )
-    subsets = some.where(F.col("n") <= cut).select(
-        F.explode(pairs).alias("key"), "set_id", "n", F.lit(-1).alias("place")
+    subsets = (
+        some.where(F.col("n") <= cut)
+        .select(F.explode(pairs).alias("p"), "set_id", "n", overlap.alias("overlap"))
+        .select("p.key", "set_id", "n", "p.place", (F.col("n") - F.col("overlap") + 2).alias("up"))
     )
     singles = some.where(F.col("n") * den >= cut * num).select(
-        F.posexplode(F.slice("first", F.lit(1), heads)).alias("place", "key"), "set_id", "n"
+        F.posexplode(F.slice("first", F.lit(1), heads)).alias("place", "key"),
+        "set_id",
+        "n",
+        (F.col("n") - overlap + 1).alias("up"),
     )
-    return subsets.unionByName(singles.select("key", "set_id", "n", "place"))
+    both = subsets.withColumn("single", F.lit(False)).unionByName(
+        singles.withColumn("single", F.lit(True)).select("key", "set_id", "n", "place", "up", "single")
+    )
+    short = (F.col("place") < F.col("up")).alias("short")
+    return both.select("key", "set_id", "n", "place", short, "single")
 
 
-def _may_link(n: str, i: str, m: str, j: str, num: int, den: int) -> Column:
-    """Whether sizes and places of a shared shingle leave room for enough overlap."""
-    need = _overlap(F.col(n), F.col(m), num, den)
-    most = F.least(i, j) + 1 + F.least(F.col(n) - F.col(i) - 1, F.col(m) - F.col(j) - 1)
-    sized = (F.col(n) * den >= F.col(m) * num) & (F.col(m) * den >= F.col(n) * num)
-    return sized & ((F.col(i) < 0) | (F.col(j) < 0) | (most >= need))
+def _follows(n: str, i: str, m: str, j: str) -> Column:
+    """Whether the set ``j`` of ``m`` shingles comes after ``i`` of ``n`` in the order of sizes."""
+    return (F.col(n) < F.col(m)) | ((F.col(n) == F.col(m)) & (F.col(i) < F.col(j)))
 
 
 def _halved(sketch: Column) -> Column:
@@ -337,17 +357,24 @@ def grouped_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         "distinct-sets",
     )
     slim = sets.select("set_id", "n", "first")
+
+    def sized(n: str, m: str) -> Column:
+        return F.col(n) * den >= F.col(m) * num
+
     posts = postings(slim, boundary(slim, num, den), num, den)
+    first = F.min(F.when(F.col("short"), F.struct("n", "set_id")))
     heads = stored(
         posts.groupBy("key")
-        .agg(F.min("set_id").alias("head"), F.count("*").alias("c"))
+        .agg(first.alias("head"), F.count("*").alias("c"))
         .where("c > 1")
-        .select("key", "head"),
+        .select("key", F.col("head.n").alias("head_n"), F.col("head.set_id").alias("head")),
         "list-heads",
     )
-    lists = stored(posts.join(heads, "key"), "lists")
+    earlier = Window.partitionBy("set_id", "single").orderBy("place")
+    before = F.when(F.col("single"), F.row_number().over(earlier) - 1).otherwise(F.col("place"))
+    lists = stored(posts.join(heads, "key").withColumn("before", before), "lists")
     star = stored(
-        lists.where("set_id <> head")
+        lists.where(_follows("head_n", "head", "n", "set_id") & sized("head_n", "n"))
         .select(F.col("head").alias("a"), F.col("set_id").alias("b"))
         .distinct(),
         "star-pairs",
@@ -357,7 +384,7 @@ def grouped_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     near = stored(components(links), "near")
 
     marked = stored(
-        _marked(lists.select("key", "set_id", "n", "place"), ["set_id"], near).withColumnRenamed(
+        _marked(lists.select("key", "set_id", "n", "place", "short", "before"), ["set_id"], near).withColumnRenamed(
             "set_id_part", "component"
         ),
         "marked",
@@ -371,14 +398,15 @@ def grouped_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     still = stored(marked.join(open_keys, "key", "left_semi"), "open-lists")
     other = still.select("key", *[F.col(c).alias(f"{c}_2") for c in still.columns if c != "key"])
     across = (
-        still.join(other, "key")
-        .where("set_id < set_id_2 and component <> component_2")
-        .where(_may_link("n", "place", "n_2", "place_2", num, den))
+        still.where("short")
+        .join(other, "key")
+        .where(_follows("n", "set_id", "n_2", "set_id_2") & sized("n", "n_2"))
+        .where("component <> component_2")
+        .where(_room(num, den))
         .select(F.col("set_id").alias("a"), F.col("set_id_2").alias("b"))
         .distinct()
     )
-    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = stored(across.join(done, ["a", "b"], "left_anti"), "cross-pairs")
+    across = stored(across.join(star, ["a", "b"], "left_anti"), "cross-pairs")
     likely = stored(plausible(across, sets, num, den).select("a", "b", "apart"), "plausible")
     final = connected(likely, near, whole_sets(likely, sets, texts, k), num, den)
 
