@@ -186,7 +186,7 @@ def _room(num: int, den: int) -> Column:
 
 
 def postings(sets: DataFrame, cut: int, num: int, den: int) -> DataFrame:
-    """key, set_id, n, place, short, single: what sets meet by.
+    """key, set_id, meta: what sets meet by; ``meta`` holds n, place, short and single.
 
     ``place`` is a shingle's in the order, of a subset its last one's. ``short`` says
     that the key lies within the beginning by which a set meets larger ones: as the
@@ -219,8 +219,23 @@ def postings(sets: DataFrame, cut: int, num: int, den: int) -> DataFrame:
     both = subsets.withColumn("single", F.lit(False)).unionByName(
         singles.withColumn("single", F.lit(True)).select("key", "set_id", "n", "place", "up", "single")
     )
-    short = (F.col("place") < F.col("up")).alias("short")
-    return both.select("key", "set_id", "n", "place", short, "single")
+    # One number instead of four columns: this is the table that is shuffled whole.
+    flags = (F.col("place") < F.col("up")).cast("long") * 2 + F.col("single").cast("long")
+    meta = F.shiftleft(F.col("n"), 32) + F.col("place").cast("long") * 4 + flags
+    return both.select("key", "set_id", meta.alias("meta"))
+
+
+def _told(lists: DataFrame) -> DataFrame:
+    """``lists`` with n, place, short and single in place of ``meta``."""
+    meta = F.col("meta")
+    return lists.withColumns(
+        {
+            "n": F.shiftright(meta, 32),
+            "place": F.shiftright(meta.bitwiseAND((1 << 32) - 1), 2),
+            "short": meta.bitwiseAND(2) != 0,
+            "single": meta.bitwiseAND(1) != 0,
+        }
+    ).drop("meta")
 
 
 def _follows(n: str, i: str, m: str, j: str) -> Column:
@@ -362,20 +377,28 @@ def grouped_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         return F.col(n) * den >= F.col(m) * num
 
     posts = postings(slim, boundary(slim, num, den), num, den)
-    first = F.min(F.when(F.col("short"), F.struct("n", "set_id")))
+    short = F.when(F.col("meta").bitwiseAND(2) != 0, F.col("meta"))
     heads = stored(
         posts.groupBy("key")
-        .agg(first.alias("head"), F.count("*").alias("c"))
+        .agg(
+            F.min_by("set_id", short).alias("head"),
+            F.shiftright(F.min(short), 32).alias("head_n"),
+            F.count("*").alias("c"),
+        )
         .where("c > 1")
-        .select("key", F.col("head.n").alias("head_n"), F.col("head.set_id").alias("head")),
+        .drop("c"),
         "list-heads",
     )
     earlier = Window.partitionBy("set_id", "single").orderBy("place")
     before = F.when(F.col("single"), F.row_number().over(earlier) - 1).otherwise(F.col("place"))
-    lists = stored(posts.join(heads, "key").withColumn("before", before), "lists")
+    lists = stored(_told(posts.join(heads, "key")).withColumn("before", before), "lists")
+
+    def pair(i: str, j: str) -> list[Column]:
+        return [F.least(i, j).alias("a"), F.greatest(i, j).alias("b")]
+
     star = stored(
-        lists.where(_follows("head_n", "head", "n", "set_id") & sized("head_n", "n"))
-        .select(F.col("head").alias("a"), F.col("set_id").alias("b"))
+        lists.where((F.col("head") != F.col("set_id")) & sized("head_n", "n"))
+        .select(*pair("head", "set_id"))
         .distinct(),
         "star-pairs",
     )
@@ -403,7 +426,7 @@ def grouped_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         .where(_follows("n", "set_id", "n_2", "set_id_2") & sized("n", "n_2"))
         .where("component <> component_2")
         .where(_room(num, den))
-        .select(F.col("set_id").alias("a"), F.col("set_id_2").alias("b"))
+        .select(*pair("set_id", "set_id_2"))
         .distinct()
     )
     across = stored(across.join(star, ["a", "b"], "left_anti"), "cross-pairs")
