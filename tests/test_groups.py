@@ -130,6 +130,20 @@ def test_gap_fill(spark):
         , key=lambda r: r[:2])
 
 
+def test_gap_fill_makes_long_gaps_in_blocks_and_splits_keys(spark):
+    df = spark.createDataFrame([(T0, 1), (T0 + timedelta(days=1), 2)], "t TIMESTAMP_NTZ, v INT")
+    found = s.gap_fill(df, [], "t", "1 second", ["v"], "last")
+    assert found.count() == found.select("t").distinct().count() == 86_401
+    assert found.where("v = 1").count() == 86_400
+    days = [("a", T0 + timedelta(days=i * i), i) for i in range(40)] + [("b", None, 1), ("b", T0, 2)]
+    many = spark.createDataFrame(days, "k STRING, t TIMESTAMP_NTZ, v INT")
+    whole = s.gap_fill(many, ["k"], "t", "1 day", ["v"], "last", None)
+    assert rows(whole) == rows(s.gap_fill(many, ["k"], "t", "1 day", ["v"], "last", 5))
+    assert rows(whole.where("k = 'b'")) == [("b", None, 1), ("b", T0, 2)]
+    pieces = s.sessionize(many, ["k"], "t", 100_000, 5)
+    assert rows(pieces) == rows(s.sessionize(many, ["k"], "t", 100_000, None))
+
+
 def test_gap_fill_keeps_rows_off_the_grid(spark):
     df = spark.createDataFrame(
         [(T0, 1), (T0 + timedelta(hours=5), 2), (T0 + timedelta(days=1), 3)], "t TIMESTAMP_NTZ, v INT"
