@@ -301,7 +301,8 @@ def contexts(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFram
             if not rows:
                 continue
             kept, done = _collapse(np.concatenate(rows), length)
-            to = kept["bucket"].astype(np.int64) % buckets
+            name = (kept["bucket"].astype(np.uint64) << _U(32)) | kept["id"]
+            to = (mix(name) % _U(buckets)).astype(np.int64)
             spread = (mix(done["ord"].astype(np.uint64)) % _U(buckets)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -448,7 +449,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
         columns["key"] = columns.pop("text")
         return pa.table(columns).select(["ord", "key", "start", "end", "least"])
 
-    packed = contexts(near.select("ord", "key", "text", "at"), buckets, length, gram)
+    # Contexts overlap: there are more bytes of them than of text.
+    packed = contexts(near.select("ord", "key", "text", "at"), 4 * buckets, length, gram)
     kind = "ord long, key long, start long, end long, least long"
     return stored(packed.groupBy("bucket").applyInArrow(repeats, kind), "occurrences")
 
