@@ -37,7 +37,7 @@ EVIDENCE = 30.0
 FOLDS = 5
 #: Besides whole words the models see beginnings of so many bytes, for inflected words.
 BEGINNINGS = (4, 5, 6, 7, 8)
-PENALTY = 0.1
+PENALTY = 0.01
 THRESHOLD = 0.5
 
 _LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
