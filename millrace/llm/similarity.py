@@ -391,7 +391,9 @@ def grouped_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     )
     earlier = Window.partitionBy("set_id", "single").orderBy("place")
     before = F.when(F.col("single"), F.row_number().over(earlier) - 1).otherwise(F.col("place"))
-    lists = stored(_told(posts.join(heads, "key")).withColumn("before", before), "lists")
+    # Most keys are in one set only: a bitmap keeps most of them from a second shuffle.
+    several = marked_rows(posts, heads.select("key"), ["key"]).join(heads, "key")
+    lists = stored(_told(several).withColumn("before", before), "lists")
 
     def pair(i: str, j: str) -> list[Column]:
         return [F.least(i, j).alias("a"), F.greatest(i, j).alias("b")]
