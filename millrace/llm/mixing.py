@@ -137,8 +137,17 @@ def _quotas(pdf: pd.DataFrame) -> pd.DataFrame:
     times = min(int(target // total), COPIES) if total else 0
     budget = 0 if times >= COPIES else int(round(target - times * total))
     pdf = pdf.sort_values("size", kind="stable")
-    extra = fill_budget(pdf["size"].to_numpy(), pdf["n"].to_numpy(), budget)
-    return pdf[["source", "size"]].assign(times=np.int32(times), extra=extra)
+    size, n = pdf["size"].to_numpy(), pdf["n"].to_numpy()
+    extra = np.zeros(len(pdf), dtype=np.int64)
+    # One more copy closes the budget, unless documents are too long for it: then
+    # shorter ones are taken again, up to the limit.
+    for _ in range(times, COPIES):
+        more = fill_budget(size, n, budget)
+        if not (more * size).any():
+            break
+        extra += more
+        budget -= int((more * size).sum())
+    return pdf[["source", "size"]].assign(times=(times + extra // n).astype("int32"), extra=extra % n)
 
 
 def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
