@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException as SparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -68,8 +69,8 @@ def load_table(
     path = f"{directory.rstrip('/')}/{name}.parquet"
     try:
         df = reader.parquet(path)
-    except SparkException as error:
-        if "CANNOT_MERGE" not in str(error):
+    except (PySparkException, Py4JJavaError) as error:
+        if "merge" not in str(error).lower():
             raise
         raise SchemaDrift(f"{name}: files differ in their columns' types") from error
     check_schema(df.schema, declared, name)
