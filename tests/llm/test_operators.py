@@ -414,6 +414,48 @@ def test_toxicity_finds_toxic_texts_and_leaves_others(spark):
     assert not any(r.toxic for r in none)
 
 
+def test_toxicity_learns_from_few_toxic_rows(spark):
+    rng = random.Random(3)
+    words = [a + b + c for a in "bcdfg" for b in "aeiou" for c in ("n", "r", "")]
+
+    def text(i):
+        out = [rng.choice(words) for _ in range(25)]
+        if i % 8 == 0:
+            out.insert(5, "scum" if i % 16 else "moron")
+        return " ".join(out)
+
+    truth = {i: i % 8 == 0 for i in range(280)}
+    docs = documents(spark, [(i, text(i), "a") for i in truth])
+    marks = [(i, 1, int(truth[i])) for i in range(87)]  # 11 are toxic
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = toxicity.score_toxicity(docs, labels).collect()
+    assert np.mean([r.toxic == truth[r.doc_id] for r in got if r.doc_id >= 87]) > 0.97
+
+
+def test_toxicity_learns_hundreds_of_words(spark):
+    rng = random.Random(4)
+    common = [f"{i:03d}w" for i in range(900)]
+    bad = [f"{i:03d}x" for i in range(450)]
+
+    def text(word):
+        return " ".join([*(rng.choice(common) for _ in range(20)), *word])
+
+    rows = [(i, text([bad[i // 2 % 450]] if i % 2 else []), "a") for i in range(9000)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(8000)], "doc_id long, quality int, toxic int")
+    got = toxicity.score_toxicity(documents(spark, rows), labels).collect()
+    assert np.mean([r.toxic == bool(r.doc_id % 2) for r in got if r.doc_id >= 8000]) > 0.97
+
+
+def test_beginnings_stay_only_where_they_add_texts(spark):
+    texts = [(i, w, 1) for i, w in enumerate(["disgusting a", "walked b", "walking c"] * 4)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, y int")
+    got = {r.word: r.toxic for r in toxicity.word_counts(rows).collect()}
+    hashes = toxicity._hashed([b"walkxxx"])[0].view(np.int64)  # the word, then its first 4 bytes
+    whole = [np.int64(np.uint64(toxicity._word(w)).view(np.int64)) for w in ("disgusting", "walked", "walking")]
+    assert got == {**{int(w): 4 for w in whole}, int(hashes[1]): 8,
+                   **{int(np.uint64(toxicity._word(w)).view(np.int64)): 4 for w in "abc"}}
+
+
 def test_search_against_brute_force(spark):
     rng = np.random.default_rng(10)
     x = np.round(rng.normal(size=(700, 8)), 1).astype(np.float32)
