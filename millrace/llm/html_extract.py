@@ -11,6 +11,7 @@ Viterbi's algorithm.
 from __future__ import annotations
 
 import html
+import json
 import random
 import re
 from collections.abc import Iterable
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
-#: Bounds of the fit: pages, and bytes and blocks of a page.
+#: Bounds of the fit: pages, consecutive blocks of a page, and code points of a block.
 PAGES = 200
-PAGE_BYTES = 200_000
 PAGE_BLOCKS = 60
+BLOCK_CHARS = 3000
 SEED = 7
 STEPS = 120
 
@@ -314,21 +315,60 @@ _PUT_IN = [
 ]
 
 
+def marked_run(page: str) -> tuple | None:
+    """Blocks and labels of a page that marks its article, and whether they begin and end
+    the page; None where it does not.
+
+    Of a long page a run of ``PAGE_BLOCKS`` consecutive blocks is taken: by the page's
+    text either anywhere, or around a place where the article begins or ends. A long
+    block's text is shortened, which leaves its features almost as they are.
+    """
+    blocks = leaf_blocks(page)
+    labels = marked_labels(blocks)
+    if not labels:
+        return None
+    rng = random.Random(len(page) * 1_000_003 + len(blocks))
+    at, most = 0, len(blocks) - PAGE_BLOCKS
+    if most > 0:
+        edges = [i for i in range(1, len(labels)) if labels[i] != labels[i - 1]]
+        at = rng.randint(0, most)
+        if edges and rng.random() < 0.5:
+            at = min(max(rng.choice(edges) - rng.randrange(1, PAGE_BLOCKS), 0), most)
+    end = at + PAGE_BLOCKS
+    run = []
+    for b in blocks[at:end]:
+        n = len(b.text)
+        if n > BLOCK_CHARS:
+            short = b.text[: BLOCK_CHARS - 1] + b.text[-1]
+            b = Block(short, b.around, b.tag, b.linked * BLOCK_CHARS // n)
+        run.append(b)
+    return run, labels[at:end], at == 0, end >= len(blocks)
+
+
+def run_features(blocks: list[Block], begins: bool, ends: bool) -> list[list[int]]:
+    """Features of a run of blocks that does or does not begin and end its page."""
+    out = block_features(blocks)
+    if out and not begins:
+        out[0].remove(_AT["first"])
+    if out and not ends:
+        out[-1].remove(_AT["last"])
+    return out
+
+
 def training_pages(pages: Iterable[str], seed: int = SEED) -> list:
+    """``training_runs`` of the pages that mark their article."""
+    return training_runs([r for r in map(marked_run, pages) if r], seed)
+
+
+def training_runs(known: list[tuple], seed: int = SEED) -> list:
     """Features and labels of marked pages, each as it is, and with boilerplate put in:
     texts of articles, so that the text alone does not tell; and with the markup of the
     article replaced by plain divisions."""
     rng = random.Random(seed)
-    known = []
-    for page in pages:
-        blocks = leaf_blocks(page)
-        labels = marked_labels(blocks)
-        if labels and len(blocks) <= PAGE_BLOCKS:
-            known.append((blocks, labels))
-    texts = [b.text for blocks, labels in known for b, y in zip(blocks, labels, strict=True) if y]
+    texts = [b.text for blocks, labels, *_ in known for b, y in zip(blocks, labels, strict=True) if y]
     out = []
-    for blocks, labels in known:
-        out.append((block_features(blocks), labels))
+    for blocks, labels, *sides in known:
+        out.append((run_features(blocks, *sides), labels))
         more = list(zip(blocks, labels, strict=True))
         for around, tag in rng.sample(_PUT_IN, 6):
             at = rng.randrange(len(more) + 1)
@@ -337,7 +377,7 @@ def training_pages(pages: Iterable[str], seed: int = SEED) -> list:
             words = rng.choice(texts) if texts else "more"
             block = Block(words, frozenset({f"in:{tag}"} | around | extra), tag, 0)
             more[at:at] = [(block, 0)] * rng.choice((1, 1, 2))
-        features = block_features([b for b, _ in more])
+        features = run_features([b for b, _ in more], *sides)
         out.append((features, [y for _, y in more]))
         hidden = [sorted({_HIDDEN.get(i, i) for i in f}) for f in features]
         out.append((hidden, [y for _, y in more]))
@@ -345,14 +385,42 @@ def training_pages(pages: Iterable[str], seed: int = SEED) -> list:
 
 
 def train(pages: DataFrame, sample: int = PAGES) -> Field:
-    """The field, from up to ``sample`` pages, those of smallest hash."""
-    chosen = (
-        pages.select("html")
-        .where(F.octet_length("html").between(1, PAGE_BYTES))
-        .orderBy(F.xxhash64("html"), "html")
-        .limit(sample)
+    """The field, from up to ``sample`` pages that mark their article, those of smallest hash.
+
+    All pages that name such an element are candidates. They are read by rising hash,
+    a larger part each time, until enough of them mark an article or all are read.
+    """
+
+    def runs(parts):
+        for part in parts:
+            found = [marked_run(p) for p in part.column("html").to_pylist()]
+            keep = pa.array([f is not None for f in found], pa.bool_())
+            packed = [
+                json.dumps([[(b.text, sorted(b.around), b.tag, b.linked) for b in f[0]], *f[1:]])
+                for f in found
+                if f
+            ]
+            order = part.column("place").filter(keep), part.column("digest").filter(keep)
+            yield pa.RecordBatch.from_arrays([*order, pa.array(packed, pa.string())], ["place", "digest", "run"])
+
+    place = F.xxhash64("html")
+    able = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s/>]")).select(
+        "html", place.alias("place"), F.sha2(F.col("html").cast("binary"), 256).alias("digest")
     )
-    return fit_field(training_pages(r[0] for r in chosen.collect()))
+    total = able.count()
+    share = min(1.0, 2 * sample / max(total, 1))
+    while total:
+        part = able if share >= 1 else able.where(place < int((2 * share - 1) * (1 << 63)))
+        rows = part.mapInArrow(runs, "place long, digest string, run string")
+        chosen = rows.orderBy("place", "digest").limit(sample).collect()
+        if len(chosen) >= sample or share >= 1:
+            break
+        share = min(1.0, 8 * share)
+    known = []
+    for row in chosen if total else []:
+        blocks, *rest = json.loads(row.run)
+        known.append(([Block(t, frozenset(k), tag, n) for t, k, tag, n in blocks], *rest))
+    return fit_field(training_runs(known))
 
 
 def main_text(field: Field, page: str) -> str:

@@ -501,6 +501,22 @@ def test_articles_of_a_table(spark):
         assert r.n_chars == len(r.text)
 
 
+def test_articles_where_pages_are_long_or_rarely_marked(spark):
+    from tests.llm.test_words_and_parts import PAGE
+
+    menu = "<ul class=menu>" + "".join(f"<li><a href=/{i}>Entry {i}</a>" for i in range(70)) + "</ul>"
+
+    def page(i, name):
+        return PAGE.replace("{open}", f"{menu}<{name}>").replace("{close}", f"</{name}>").replace("{i}", str(i))
+
+    rows = [(i, "u", page(i, "article")) for i in range(40)]
+    rows += [(i, "u", f"<p>Nothing is marked here, {i}.</p>") for i in range(100, 500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_articles(pages, 30).collect()}
+    for i in range(40):
+        assert got[i] == f"Title {i}\n\nFirst & {i} line.\n\nSecond part, {i}."
+
+
 def test_empty_tables(spark):
     docs = documents(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
