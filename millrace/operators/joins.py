@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace import skew
 from millrace.operators.windows import fill_forward
 from millrace.session import checkpointed
 from millrace.skew import (
@@ -248,9 +249,9 @@ def salted_join(
     keys = key_table(big, on, hot, "_hot_").withColumn("_is_hot", F.lit(True))
 
     def flagged(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(keys), same_keys(df, keys, on, "_hot_"), "left")
+        return df.join(skew.small(keys, len(hot)), same_keys(df, keys, on, "_hot_"), "left")
 
-    dropped = ["_is_hot", *("_hot_" + n for n in on)]
+    dropped = ["_is_hot", "_hot_", *("_hot_" + n for n in on)]
     is_hot = F.col("_is_hot").isNotNull()
     salted = big.withColumn("_part", spread(big, salts))
     salted = flagged(salted).withColumn("_salt", F.when(is_hot, F.col("_part")).otherwise(0))

@@ -121,29 +121,60 @@ def gap_fill(
     """
     if fill not in ("null", "zero", "last"):
         raise ValueError("fill must be 'null', 'zero' or 'last'")
-    key = list(key)
+    return _filled(df, list(key), ts, step, cols, fill, group_rows)
+
+
+def _filled(
+    df: DataFrame,
+    key: list[str],
+    ts: str,
+    step: str,
+    cols: Sequence[str],
+    fill: str,
+    group_rows: int | None,
+    previous: str | None = None,
+) -> DataFrame:
+    """:func:`gap_fill`, with the value of ``previous`` one period back on request.
+
+    What comes before a row of the filled table is known without filling it: an added
+    period follows another added one, whose value is null, or the given row itself,
+    and a given row follows the given one before it unless a period lies between.
+    """
     split = plan_split(df, key, [ts], group_rows)
     rows = neighbour(df, key, [ts], F.col(ts), "_next", True, split=split)
     # The first time of a key: a running minimum is the first all along.
     rows = running(rows, key, [ts], {"_first": ("min", ts)}, split=split)
-    if fill == "last":
-        rows = fill_forward(rows, key, [ts], cols, split=split)
     point, index = _grid(step, F.col("_first"))
     kind = df.schema[ts].dataType
-    # The index is approximate at month ends: look one period further each way.
+    if previous:
+        last = F.when(F.col(ts).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(previous).alias("v")))
+        rows = neighbour(rows, key, [ts], last, "_last", split=split)
+        # The index is approximate at month ends: look one period further each way.
+        near = [index(F.col("_last.t")) + k for k in (-1, 0, 1, 2)]
+        between = F.exists(
+            F.array(*(point(k).cast(kind) for k in near)),
+            lambda t: (t > F.col("_last.t")) & (t < F.col(ts)),
+        )
+        rows = rows.withColumn("_previous", F.when(F.col("_last").isNotNull() & ~between, F.col("_last.v")))
+    if fill == "last":
+        rows = fill_forward(rows, key, [ts], cols, split=split)
     low, high = (index(F.col(ts)) - 1).cast("long"), (index(F.col("_next")) + 1).cast("long")
-    blocks = F.sequence(F.lit(0).cast("long"), F.floor((high - low) / PERIODS))
+    first = F.lit(0).cast("long")
+    ends = F.col("_next").isNull() | F.col(ts).isNull()
+    blocks = F.sequence(first, F.floor((high - low) / PERIODS))
     rows = rows.withColumns({"_low": low, "_high": high}).withColumn(
-        "_block", F.explode(F.when(F.col("_next").isNull() | F.col(ts).isNull(), F.array(F.lit(0).cast("long"))).otherwise(blocks))
+        "_block", F.explode(F.when(ends, F.array(first)).otherwise(blocks))
     )
     start = F.col("_low") + F.col("_block") * PERIODS
-    places = F.sequence(start, F.least(F.col("_high"), start + PERIODS - 1))
-    points = F.transform(places, lambda k: point(k).cast(kind))
+    # The last row of a key has nothing to fill: least() would skip its null.
+    stop = F.when(~ends, F.least(F.col("_high"), start + PERIODS - 1))
+    points = F.transform(F.sequence(start, stop), lambda k: point(k).cast(kind))
     missing = F.filter(points, lambda t: (t > F.col(ts)) & (t < F.col("_next")))
     none = F.array().cast(T.ArrayType(kind))
     given = F.when(F.col("_block") == 0, F.array(ts)).otherwise(none)
     periods = F.concat(given, F.coalesce(missing, none))
-    filled = rows.select(*df.columns, "_block", F.posexplode(periods).alias("_place", "_period"))
+    kept = [*df.columns, *(["_previous"] if previous else [])]
+    filled = rows.select(*kept, "_block", F.posexplode(periods).alias("_place", "_period"))
     is_given = (F.col("_place") == 0) & (F.col("_block") == 0)
     outputs = []
     for c in df.columns:
@@ -154,6 +185,11 @@ def gap_fill(
         else:
             added = F.lit(0) if c in cols and fill == "zero" else F.lit(None)
             outputs.append(F.when(is_given, F.col(c)).otherwise(added).alias(c))
+    if previous:
+        follows = (F.col("_place") == 1) & (F.col("_block") == 0)
+        outputs.append(
+            F.when(is_given, F.col("_previous")).when(follows, F.col(previous)).alias("previous")
+        )
     return filled.select(*outputs)
 
 
@@ -168,10 +204,10 @@ def period_change(
     """Add ``previous, change, change_ratio`` against the previous calendar period.
 
     ``df`` holds one row per key and period. Missing periods appear with a null
-    value, so a row is never compared with a period further back.
+    value, so a row is never compared with a period further back. Rows without a
+    period come before no other.
     """
-    dense = gap_fill(df, key, period, step, [value], group_rows=group_rows)
-    rows = neighbour(dense, list(key), [period], F.col(value), "previous", group_rows=group_rows)
+    rows = _filled(df, list(key), period, step, [value], "null", group_rows, previous=value)
     change = F.col(value) - F.col("previous")
     return rows.withColumn("change", change).withColumn(
         "change_ratio", F.try_divide(F.col("change").cast("double"), F.col("previous").cast("double"))

@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates as a
@@ -162,6 +163,27 @@ def test_period_change_ignores_older_periods(spark):
     ]
 
 
+def test_gap_fill_makes_nothing_after_the_last_row(spark):
+    ends = [(datetime(1900, 1, 1), 1), (datetime(2000, 1, 1), 2)]
+    df = spark.createDataFrame(ends, "t TIMESTAMP_NTZ, v INT")
+    found = s.gap_fill(df, [], "t", "50 years", ["v"], "zero")
+    assert rows(found) == [(datetime(1900, 1, 1), 1), (datetime(1950, 1, 1), 0), (datetime(2000, 1, 1), 2)]
+    one = spark.createDataFrame(ends[:1], "t TIMESTAMP_NTZ, v INT")
+    assert rows(s.gap_fill(one, [], "t", "50 years", ["v"])) == ends[:1]
+
+
+def test_period_change_equals_a_window_over_the_filled_table(spark):
+    days = [("a", T0 + timedelta(days=i * i), i) for i in range(30)]
+    days += [("b", T0 + timedelta(days=i, hours=i % 3), i * 7) for i in range(30)]
+    df = spark.createDataFrame([*days, ("c", T0, 1)], "k STRING, t TIMESTAMP_NTZ, v INT")
+    filled = s.gap_fill(df, ["k"], "t", "1 day", ["v"])
+    before = F.lag("v").over(Window.partitionBy("k").orderBy("t"))
+    expected = rows(filled.select("k", "t", "v", before.alias("previous")))
+    for group_rows in (None, 7):
+        found = s.period_change(df, ["k"], "t", "v", "1 day", group_rows)
+        assert rows(found, "k", "t", "v", "previous") == expected
+
+
 def test_calendar(spark):
     found = s.calendar(spark, date(2024, 2, 28), date(2024, 3, 1))
     assert rows(found, "day", "iso_week", "weekday", "is_month_end") == [
