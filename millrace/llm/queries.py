@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import leaks
 from .html_extract import extract_articles
+from .merkle import verified_manifest
 from .mixing import mix_sources
 from .neighbours import search
+from .packing import pack_documents
 from .pii import pii_digest
 from .quality import score_quality
 from .repeats import without_repeats
+from .runs import planted, run_digest
 from .sharding import shard_documents
 from .similarity import similar_components
 from .toxicity import score_toxicity
@@ -81,6 +84,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+@_query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(planted(table(spark, sf_dir, "documents")))
+
+
+@_query("op12_hierarchical_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(table(spark, sf_dir, "documents"), path, end=2)
+
+
+@_query("op13_merkle_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op5_ngram_jaccard_join"] = r"""
     WITH RECURSIVE words AS (
         SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
