@@ -55,23 +55,32 @@ def _word(text: str) -> int:
     return int(_hashed([text.encode()])[0][0])
 
 
-@dataclass
 class Marks:
-    """A matrix of zeros with ones at ``rows`` and ``columns``."""
+    """A matrix of zeros with ones at ``rows`` and ``columns``, which come by row."""
 
-    rows: np.ndarray
-    columns: np.ndarray
-    shape: tuple[int, int]
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int]):
+        self.rows, self.columns, self.shape = rows, columns, shape
+        new = np.ones(len(rows), dtype=bool)
+        new[1:] = rows[1:] != rows[:-1]
+        self._starts = np.flatnonzero(new)
+        self._turned: Marks | None = None
 
     def __matmul__(self, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, weights=v[self.columns], minlength=self.shape[0])
+        out = np.zeros(self.shape[0])
+        if len(self.rows):
+            out[self.rows[self._starts]] = np.add.reduceat(v[self.columns], self._starts)
+        return out
 
     def __pow__(self, n: int) -> Marks:
         return self
 
     @property
     def T(self) -> Marks:  # noqa: N802
-        return Marks(self.columns, self.rows, self.shape[::-1])
+        if self._turned is None:
+            order = np.argsort(self.columns, kind="stable")
+            self._turned = Marks(self.columns[order], self.rows[order], self.shape[::-1])
+            self._turned._turned = self
+        return self._turned
 
 
 def held(names: np.ndarray, texts: list[bytes]) -> Marks:
@@ -102,17 +111,22 @@ class ToxicityModel:
         return found
 
 
+def _times(block, v: np.ndarray) -> np.ndarray:
+    """``block @ v`` without the threads of a linear algebra library, which would wait busily."""
+    return block @ v if isinstance(block, Marks) else np.einsum("ij,j->i", block, v)
+
+
 def _ahead(blocks: list, weights: np.ndarray) -> np.ndarray:
     """Intercept, and the blocks side by side, times the weights."""
     out, at = weights[0], 1
     for b in blocks:
-        out = out + b @ weights[at : at + b.shape[1]]
+        out = out + _times(b, weights[at : at + b.shape[1]])
         at += b.shape[1]
     return out
 
 
 def _back(blocks: list, v: np.ndarray) -> np.ndarray:
-    return np.concatenate([[v.sum()], *[b.T @ v for b in blocks]])
+    return np.concatenate([[v.sum()], *[_times(b.T, v) for b in blocks]])
 
 
 def probability(blocks: list, weights: np.ndarray) -> np.ndarray:
@@ -159,15 +173,15 @@ def logistic(
         scale = _back(squares, bend) + ridge
         step, left = np.zeros(size), -slope
         way = left / scale
-        size_now = size_first = left @ way
+        size_now = size_first = (left * way).sum()
         for _ in range(60):
-            if size_now <= 1e-3 * size_first:
+            if size_now <= 1e-2 * size_first:
                 break
             curved = _back(blocks, bend * _ahead(blocks, way)) + ridge * way
-            far = size_now / (way @ curved)
+            far = size_now / (way * curved).sum()
             step += far * way
             left = left - far * curved
-            size_before, size_now = size_now, left @ (left / scale)
+            size_before, size_now = size_now, (left * left / scale).sum()
             way = left / scale + size_now / size_before * way
         more, t = _ahead(blocks, step), 1.0
         while (then := loss(margin + t * more, weights + t * step)) > now and t > 1e-4:
@@ -182,28 +196,40 @@ def logistic(
     return weights
 
 
+@dataclass
+class Fits:
+    """The models of each category so far: one without each fold, then one of all rows."""
+
+    weights: list[list[np.ndarray]] = field(default_factory=list)
+
+    def earlier(self, x, fold: np.ndarray) -> np.ndarray:
+        """Rows by categories so far: what models say that have not seen the row."""
+        seen = np.zeros((len(fold), 0))
+        for models in self.weights:
+            unseen = np.zeros(len(fold))
+            for f in range(FOLDS):
+                unseen[fold == f] = probability([x, seen], models[f])[fold == f]
+            seen = np.hstack([seen, unseen[:, None]])
+        return seen
+
+    def fit(self, f: int, x, y: np.ndarray, fold: np.ndarray, penalty) -> np.ndarray:
+        """The next category's model without fold ``f``; ``FOLDS`` leaves none out."""
+        each = np.concatenate(
+            [np.broadcast_to(penalty, x.shape[1]), np.full(len(self.weights), PENALTY)]
+        )
+        return logistic([x, self.earlier(x, fold)], y, each, use=fold != f)
+
+
 def fit_chain(
     words: np.ndarray, x, targets: np.ndarray, penalty: float | np.ndarray = PENALTY
 ) -> ToxicityModel:
     """A chain for ``targets`` (rows by categories) over ``x`` (rows by words)."""
     n, categories = targets.shape
-    fold = np.arange(n) % FOLDS
-    earlier = np.zeros((n, 0))
-    model = ToxicityModel(words)
+    fold, fits = np.arange(n) % FOLDS, Fits()
     for c in range(categories):
-        seen = [x, earlier]
-        each = np.concatenate([np.broadcast_to(penalty, x.shape[1]), np.full(c, PENALTY)])
-        y = targets[:, c]
-        whole = logistic(seen, y, each)
-        model.weights.append(whole)
-        if c + 1 == categories:
-            break
-        unseen = np.zeros(n)
-        for f in range(FOLDS):
-            w = logistic(seen, y, each, use=fold != f, start=whole)
-            unseen[fold == f] = probability(seen, w)[fold == f]
-        earlier = np.hstack([earlier, unseen[:, None]])
-    return model
+        which = range(FOLDS + 1) if c + 1 < categories else [FOLDS] * (FOLDS + 1)
+        fits.weights.append([fits.fit(f, x, targets[:, c], fold, penalty) for f in which])
+    return ToxicityModel(words, [models[FOLDS] for models in fits.weights])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -253,16 +279,18 @@ def evidence(toxic, clean, share: float) -> np.ndarray:
     return np.minimum(a + b, 50) - np.log(n) / 2
 
 
-def chance_of_telling(logs: np.ndarray) -> np.ndarray:
-    """For words of so much evidence the chance that they tell something.
+def chance_of_telling(logs: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """For words of so much evidence the chance that they tell something; of each there
+    may be several, ``times``.
 
     What share of all words tells is found from the words themselves, so a word needs
     less among many telling ones than among many that only seem so.
     """
+    times = np.ones(len(logs)) if times is None else times
     ratio, prior = np.exp(logs), 0.01
     for _ in range(200):
         chance = prior * ratio / (prior * ratio + 1 - prior)
-        before, prior = prior, max(chance.sum(), 1.0) / (len(logs) + 2)
+        before, prior = prior, max((chance * times).sum(), 1.0) / (times.sum() + 2)
         if abs(prior - before) < 1e-3 * before:
             break
     return prior * ratio / (prior * ratio + 1 - prior)
@@ -316,58 +344,96 @@ def telling_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     its telling anything, the more is asked of its weight.
 
     No number of words is fixed. A weight is at most the word's texts over its penalty;
-    words whose weight would stay under ``UNFELT`` are left out.
+    words whose weight would stay under ``UNFELT`` are left out. The driver sees how
+    many words have which counts, and the words that are left.
     """
     none = np.zeros(0, dtype=np.uint64), np.zeros(0)
     totals = dict(rows.groupBy("y").count().collect())
     share = totals.get(1, 0) / max(sum(totals.values()), 1)
     if not 0 < share < 1:
         return none
-    counts = word_counts(rows).toArrow()
-    words = counts.column("word").to_numpy().view(np.uint64)
-    toxic, clean = counts.column("toxic").to_numpy(), counts.column("clean").to_numpy()
-    chance = np.maximum(chance_of_telling(evidence(toxic, clean, share)), 1e-9)
-    penalty = PENALTY / chance**2
-    felt = np.flatnonzero((toxic + clean) / penalty > UNFELT)
-    felt = felt[np.argsort(words[felt])]
-    return words[felt], penalty[felt]
+    counts = stored(word_counts(rows), "toxic-words")
+    pairs = counts.groupBy("toxic", "clean").count().toPandas().sort_values(["toxic", "clean"])
+    toxic, clean = pairs["toxic"].to_numpy(), pairs["clean"].to_numpy()
+    chance = np.maximum(chance_of_telling(evidence(toxic, clean, share), pairs["count"].to_numpy()), 1e-9)
+    pairs["penalty"] = PENALTY / chance**2
+    felt = pairs[(toxic + clean) / pairs["penalty"] > UNFELT]
+    if felt.empty:
+        return none
+    few = rows.sparkSession.createDataFrame(felt[["toxic", "clean", "penalty"]])
+    found = counts.join(few, ["toxic", "clean"]).select("word", "penalty").toArrow()
+    words = found.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return words[order], found.column("penalty").to_numpy()[order]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    """The chain, from at most ``2 * sample`` labelled texts."""
-    rows = stored(training_rows(docs, labels, sample), "toxic-rows")
-    words, penalty = telling_words(rows)
-    seeds = {c: np.array([_word(w) for w in ws], dtype=np.uint64) for c, ws in SEEDS.items()}
-    names = np.unique(np.concatenate([*seeds.values(), words]))
+def placed_words(rows: DataFrame, words: np.ndarray) -> DataFrame:
+    """fold, kinds, places of each of ``rows`` (doc_id, y, text): which of ``words`` it holds and,
+    as bits, of which categories it is."""
+    seeds = [np.sort(np.array([_word(w) for w in ws], dtype=np.uint64)) for ws in SEEDS.values()]
 
     def places(parts):
         for part in parts:
+            labels = part.column("y").to_numpy(zero_copy_only=False)
             for first, some in chunks(part.column("text").cast(pa.binary()).to_pylist()):
-                marks = held(names, some)
+                y = labels[first : first + len(some)] == 1
+                kinds = y.astype(np.int64) << len(seeds)
+                for i, names in enumerate(seeds):
+                    seen = np.bincount(held(names, some).rows, minlength=len(some)) > 0
+                    kinds |= (y & seen).astype(np.int64) << i
+                marks = held(words, some)
                 ends = np.searchsorted(marks.rows, np.arange(len(some) + 1))
                 at = marks.columns.astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id").slice(first, len(some)),
-                        part.column("y").slice(first, len(some)).cast(pa.int32()),
+                        part.column("fold").slice(first, len(some)),
+                        pa.array(kinds),
                         pa.array([at[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()),
                     ],
-                    ["doc_id", "y", "places"],
+                    ["fold", "kinds", "places"],
                 )
 
-    found = rows.select("doc_id", "y", "text").mapInArrow(places, "doc_id long, y int, places binary")
-    found = found.toArrow().sort_by([(k, "ascending") for k in ("doc_id", "y", "places")])
-    y = found.column("y").to_numpy().astype(float)  # bounded by the sample
-    each = found.column("places").to_pylist()
-    of = np.repeat(np.arange(len(y)), np.array([len(b) // 4 for b in each], dtype=np.int64))
-    at = np.frombuffer(b"".join(each), dtype=np.int32)
-    del found, each
-    kinds = [y * (np.bincount(of[np.isin(names, seeds[c])[at]], minlength=len(y)) > 0) for c in SEEDS]
-    own = np.isin(names, words)
-    mine = own[at]
-    x = Marks(of[mine], (np.cumsum(own) - 1)[at[mine]], (len(y), len(words)))
-    del of, at, mine
-    return fit_chain(words, x, np.stack([*kinds, y], axis=1), penalty)
+    fold = F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)).alias("fold")
+    return rows.select(fold, "y", "text").mapInArrow(places, "fold long, kinds long, places binary")
+
+
+def _fitter(category: int, fits: Fits, penalty: np.ndarray):
+    """A function that fits one of a category's models to all sampled rows, in one task."""
+
+    def fit(key, table):
+        table = table.sort_by([(c, "ascending") for c in ("fold", "kinds", "places")])
+        each = table.column("places").to_pylist()  # bounded by the sample
+        fold, kinds = table.column("fold").to_numpy(), table.column("kinds").to_numpy()
+        of = np.repeat(np.arange(len(each)), np.array([len(b) // 4 for b in each], dtype=np.int64))
+        x = Marks(of, np.frombuffer(b"".join(each), dtype=np.int32), (len(each), len(penalty)))
+        y = (kinds >> category & 1).astype(float)
+        weights = fits.fit(key[0].as_py(), x, y, fold, penalty)
+        return pa.table({"fit": pa.array([key[0].as_py()], pa.int32()), "weights": [weights.tobytes()]})
+
+    return fit
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
+    """The chain, from at most ``2 * sample`` labelled texts.
+
+    A category's models, one without each fold and one of all rows, are fitted side by side
+    in tasks; the driver only hands the weights on to the next category.
+    """
+    rows = stored(training_rows(docs, labels, sample), "toxic-rows")
+    words, penalty = telling_words(rows)
+    placed = stored(placed_words(rows, words), "toxic-places")
+    fits = Fits()
+    for c in range(len(CHAIN)):
+        which = range(FOLDS + 1) if c + 1 < len(CHAIN) else [FOLDS]
+        each = placed.withColumn("fit", F.explode(F.array(*[F.lit(f) for f in which])))
+        done = each.groupBy("fit").applyInArrow(_fitter(c, fits, penalty), "fit int, weights binary")
+        found = {r["fit"]: np.frombuffer(r["weights"]) for r in done.collect()}  # six at most
+        if FOLDS not in found:  # no rows: as if no text were of the category
+            found = {}
+        none = np.zeros(1 + len(words) + c)
+        none[0] = -12.0
+        fits.weights.append([found.get(f, none) for f in range(FOLDS + 1)])
+    return ToxicityModel(words, [models[FOLDS] for models in fits.weights])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
