@@ -5,6 +5,9 @@ has a piece that occurs unchanged. All pieces of a block of items are looked for
 one pass over a text, and around each hit Myers' bit-parallel algorithm finds the
 least edit distance between the whole item and any part of the text.
 
+Items and texts are compared with a blank at either end: an item is looked for as whole
+words, and one that begins or ends within a word is an edit away there.
+
 Items travel to the tasks in blocks of bounded size; a large benchmark means more
 passes, not larger blocks. Documents are not shuffled.
 """
@@ -92,7 +95,7 @@ class Matcher:
             if text:
                 by_text[text].append(item_id)
         self.items = [
-            (ids, text, budget(text, rate), masks(text)) for text, ids in by_text.items()
+            (ids, f" {text} ", budget(text, rate), masks(f" {text} ")) for text, ids in by_text.items()
         ]
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, (_, text, errors, _) in enumerate(self.items):
@@ -108,7 +111,8 @@ class Matcher:
     def matches(self, text: str) -> Iterator[tuple[int, int, int]]:
         """(item_id, distance, end) of each item in the normalised ``text``, at its best place."""
         starts: dict[int, list[int]] = defaultdict(list)
-        if self.any and text:
+        size_of, text = len(text), f" {text} "
+        if self.any and size_of:
             for end, (size, where) in self.automaton.iter(text):
                 for i, place in where:
                     starts[i].append(end + 1 - size - place)
@@ -132,8 +136,8 @@ class Matcher:
                         best, end = d, a + e
                 lo = hi + 1
             if best <= errors:
-                for item_id in ids:
-                    yield item_id, best, end
+                for item_id in ids:  # the blank before the text and the one behind the item do not count
+                    yield item_id, best, min(max(end - 2, 0), size_of)
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -153,10 +157,13 @@ def leaks(
 
     An item of ``m`` signs (after folding case, punctuation and white space) may
     differ by ``rate * m`` edits, rounded down; ``distance`` is the least, and
-    ``ends_at`` the sign of the folded text after its first best match. Items that
+    ``ends_at`` the sign of the folded text after its first best match. The blanks around
+    words count: an item too short for an edit is only found as whole words, and a longer
+    one that stands within words is as many edits away. Items that
     fold to nothing, or are null, match nothing; null and empty texts hold nothing.
     Items with equal text are all reported, and each of repeated rows is. A null id
-    is carried along. Other columns are not looked at.
+    is carried along. Other columns are not looked at. Texts count whole; a long one costs
+    its task a copy of it, folded, and the places where pieces of items stand in it.
     """
     kind = "doc_id long, item_id long, distance int, ends_at long"
     texts = docs.select("doc_id", whole_text().alias("text"))
@@ -190,7 +197,11 @@ def _finder(items: list[tuple[int, str]], rate: float):
 def without_leaks(
     docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they are."""
+    """The rows of ``docs`` that hold no item, all columns as they are.
+
+    Null and empty texts hold nothing and stay, as do repeated rows without an item; null ids
+    and further columns, whatever their names, are carried along.
+    """
 
     def cleaner(items):
         def batches(parts):

@@ -76,7 +76,8 @@ def fill_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     or, from the share, given back, until what is missing is about sixteen times
     the greatest length; bounded knapsack over the documents left closes that rest:
     sums within reach are the bits of one number, a length with ``c`` documents
-    left adds 1, 2, 4, ... of them at a time.
+    left adds 1, 2, 4, ... of them at a time. For every sum only the step that first
+    reached it is kept, four bytes a sum.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     take = np.zeros(len(lengths), dtype=np.int64)
@@ -109,6 +110,7 @@ def fill_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
             rest += back * int(lengths[i])
     mask = (1 << (rest + 1)) - 1
     sums, steps = 1, []
+    reached_by = np.zeros(rest + 1, dtype=np.int32)
     for i in np.argsort(lengths, kind="stable"):
         left, power = int(counts[i] - take[i]), 1
         while lengths[i] and left > 0 and not sums >> rest & 1:
@@ -117,20 +119,31 @@ def fill_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
                 part = min(part, rest // int(lengths[i]))
                 if not part:
                     break
-            steps.append((sums, int(i), part))
-            sums |= sums << (part * int(lengths[i])) & mask
+            more = (sums << (part * int(lengths[i])) & mask) & ~sums
+            if more:
+                reached_by[_places(more)] = len(steps)
+                steps.append((int(i), part))
+                sums |= more
             left -= part
             power *= 2
         if sums >> rest & 1:
             break
     at = sums.bit_length() - 1
-    for before, i, part in reversed(steps):
-        if not before >> at & 1:
-            take[i] += part
-            at -= part * int(lengths[i])
+    while at > 0:
+        i, part = steps[reached_by[at]]
+        take[i] += part
+        at -= part * int(lengths[i])
     return take
 
 
+def _places(bits: int) -> np.ndarray:
+    """The places of the ones of a number."""
+    low = ((bits & -bits).bit_length() - 1) // 8 * 8
+    rest = bits >> low
+    raw = np.frombuffer(rest.to_bytes((rest.bit_length() + 7) // 8, "little"), dtype=np.uint8)
+    return np.flatnonzero(np.unpackbits(raw, bitorder="little")) + low
+
+
 def _quotas(pdf: pd.DataFrame) -> pd.DataFrame:
     """Rows of one source (source, size, n, source_size, target): whole copies and extra."""
     total, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
@@ -159,7 +172,9 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
     of its lengths can close. Null is a source, the last. Rows equal in id, source
     and size are alike; the result does not depend on their order. The choice
     depends on ids and seed alone, so runs agree. Documents without words are never
-    taken. An empty table gives an empty result.
+    taken. An empty table gives an empty result. Texts count whole; a source's longest text
+    sets the range of the exact sums, 16 times its words, four bytes each, in one task per
+    source. Targets are worked out over one row per source in one task.
     """
     number = F.xxhash64(F.lit(seed), "doc_id")
     slim = stored(

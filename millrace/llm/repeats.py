@@ -84,10 +84,30 @@ def find_anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray
     pad = np.zeros(width - 1, dtype=np.uint32)
     chosen = _sliding(np.concatenate([pad, least, pad]), width, np.maximum) == order
     at = np.flatnonzero(chosen)
+    at = at[_needed(at, hashes[at], length, gram)]
     of = np.searchsorted(offsets, at, side="right") - 1
     return of, at - offsets[of], hashes[at]
 
 
+def _needed(at: np.ndarray, hashes: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Which anchors are needed: inside long stretches of a short period, where the same
+    anchor comes back at equal distances with equal contexts, one for each passage."""
+    near = np.zeros(len(at), dtype=bool)
+    step = np.diff(at)
+    near[1:] = (hashes[1:] == hashes[:-1]) & (step <= gram // 2)
+    near[2:] &= ~near[1:-1] | (step[1:] == step[:-1])
+    first = np.flatnonzero(~near)
+    if len(first) == len(at):
+        return np.ones(len(at), dtype=bool)
+    run = np.cumsum(~near) - 1
+    last = np.append(first[1:], len(at)) - 1
+    before, behind = at - at[first[run]], at[last[run]] - at
+    cell = before // (length - gram + 1)
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = cell[1:] != cell[:-1]
+    return new | (before < length + gram) | (behind < length + gram)
+
+
 def _split(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and 32-bit name of an anchor; two anchors of one name are told apart later."""
     bucket = (mix(hashes) >> _U(16)) % _U(buckets)
@@ -294,7 +314,7 @@ def contexts(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFram
                 out["id"] = at.field("id").to_numpy(zero_copy_only=False)[keep].view("u4")
                 out["left"] = np.minimum(pos, left)
                 out["right"] = np.minimum(len(raw) - pos, length)
-                around = padded[pos[:, None] + np.arange(size)]
+                around = np.lib.stride_tricks.sliding_window_view(padded, size)[pos]
                 out["bytes"] = np.ascontiguousarray(around).view(f"V{size}").ravel()
                 out["ord"], out["text"], out["pos"] = o, key, pos
                 rows.append(out)
@@ -472,7 +492,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     Removed is each byte covered by ``length`` bytes that also start in a document with a
     smaller id. A null text is empty. A null id counts as greater than any other; rows
     of equal id do not remove from each other, and equal rows give equal results. Texts
-    shorter than ``length`` bytes stay whole. Other columns are not looked at.
+    shorter than ``length`` bytes stay whole. Other columns are not looked at. Of a long
+    text a task holds about 60 bytes a byte while it looks for anchors; stretches of one sign
+    or a short period cost no more than others.
     """
     slim = stored(
         docs.select(

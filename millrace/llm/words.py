@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Texts are worked on in chunks of about this many bytes; a longer text is a chunk alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import html_extract, neighbours, quality, toxicity
 from millrace.llm.decontaminate import leaks, normalised, without_leaks
-from millrace.llm.mixing import mix_sources, mixed_documents
+from millrace.llm.mixing import fill_budget, mix_sources, mixed_documents
 from millrace.llm.pii import find_pii, pii_digest
 from millrace.llm.repeats import without_repeats
 from millrace.llm.sharding import shard_documents
@@ -531,3 +531,54 @@ def test_empty_tables(spark):
         html_extract.extract_articles(pages),
     ]
     assert [r.count() for r in results] == [0] * len(results)
+
+
+def test_one_word_items_match_whole_words_only(spark):
+    docs = documents(spark, [(1, "another day", "s"), (2, "say No. again", "s"), (3, None, "s")])
+    items = spark.createDataFrame([(5, "No.")], "item_id long, text string")
+    assert [tuple(r) for r in leaks(docs, items).collect()] == [(2, 5, 0, 6)]
+    assert sorted(r.doc_id for r in without_leaks(docs, items).collect()) == [1, 3]
+
+
+def test_mix_closes_budgets_beside_a_very_long_text():
+    lengths = np.array([*range(1, 8001), 1_000_000])
+    counts = np.ones(len(lengths), dtype=np.int64)
+    budget = 5_000_003
+    take = fill_budget(lengths, counts, budget)
+    assert (take * lengths).sum() == budget and (take <= counts).all() and (take >= 0).all()
+
+
+def test_passages_in_long_stretches_of_one_sign(spark):
+    for period in ("-", "- ", "ab", "x-=", "-" * 9 + "+"):
+        stretch = (period * 3000)[:3000]
+        texts = [
+            (1, f"begin {stretch} end of the first", "s"),
+            (2, f"other words {stretch} and more", "s"),
+            (3, f"{stretch[:70]}|{stretch[:49]}|{stretch[1:150]}", "s"),
+        ]
+        got = {r.doc_id: r for r in without_repeats(documents(spark, texts)).collect()}
+        raws = {i: t.encode() for i, t, _ in texts}
+        for i, raw in raws.items():
+            earlier = {r[a : a + 50] for j, r in raws.items() if j < i for a in range(len(r) - 49)}
+            gone = np.zeros(len(raw), dtype=bool)
+            for a in range(len(raw) - 49):
+                if raw[a : a + 50] in earlier:
+                    gone[a : a + 50] = True
+            kept = bytes(np.frombuffer(raw, dtype=np.uint8)[~gone])
+            assert got[i].n_removed == gone.sum(), (period, i)
+            assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_anchors_of_a_stretch_of_one_sign_stay_few():
+    from millrace.llm.repeats import find_anchors
+
+    _, pos, _ = find_anchors([b"-" * 5_000_000], 50, 20)
+    assert len(pos) < 5_000_000 / 30
+
+
+def test_pii_of_thousands_of_matches(spark):
+    text = " ".join(f"write to user{i}@mail{i}.example.org" for i in range(16_000))
+    got = pii_digest(documents(spark, [(1, text, "s")])).head()
+    assert got.n_email == 16_000
+    spans = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"user\S+", text))
+    assert got.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
