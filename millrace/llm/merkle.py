@@ -70,57 +70,71 @@ def _siblings(slot: int, fanout: int) -> Column:
 
 
 def _children(pivot: DataFrame, by: str, fanout: int, above: DataFrame) -> DataFrame:
-    """by, index, path of every child of ``pivot``; ``above`` (by, index, path) has the parents'
-    paths and lacks those whose paths are empty."""
-    none = F.array().cast("array<struct<before: string, after: string>>")
+    """The rows of ``above`` (by, index, path, ...), one per row of ``pivot``, for its children:
+    the step to each child leads its path."""
     each = F.array(
         *[
             F.when(
                 F.col(f"c{i}").isNotNull(),
                 F.struct(
-                    (F.col("index") * fanout + i).alias("index"), _siblings(i, fanout).alias("step")
+                    (F.col("index") * fanout + i).alias("_index"), _siblings(i, fanout).alias("step")
                 ),
             )
             for i in range(fanout)
         ]
     )
+    carried = [c for c in above.columns if c not in (by, "index", "path")]
     return (
-        pivot.join(above, [by, "index"], "left")
-        .select(by, F.coalesce("path", none).alias("path"), F.explode(F.array_compact(each)).alias("child"))
-        .select(by, "child.index", F.concat(F.array("child.step"), "path").alias("path"))
+        pivot.join(above, [by, "index"])
+        .select(by, "path", *carried, F.explode(F.array_compact(each)).alias("child"))
+        .select(
+            by,
+            F.col("child._index").alias("index"),
+            F.concat(F.array("child.step"), "path").alias("path"),
+            *carried,
+        )
     )
 
 
-def tree(nodes: DataFrame, by: str, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
-    """``(tops, paths)`` of the trees over ``nodes`` (by, index, hash), one tree per ``by``.
+def tree(nodes: DataFrame, by: str, fanout: int = FANOUT) -> tuple[list[DataFrame], DataFrame]:
+    """``(levels, tops)`` of the trees over ``nodes`` (by, index, hash), one tree per ``by``.
 
-    ``tops`` has by and hash, the node that is left when every ``fanout`` neighbours have become
-    one again and again; a lone node is its own top. ``paths`` has by, index and path of
-    every node that is not: an array, from the bottom up, of what stands ``before`` and
-    ``after`` the node's ancestor among its siblings. Each level is stored. There are as
-    many levels as the largest tree has; a level has a ``fanout``-th of the rows of the one below.
+    Every ``fanout`` neighbours become one again and again. ``tops`` has by, hash and level of
+    the node that is left at last; a lone node is its own top, at level 0. Each level is
+    stored; there are as many as the largest tree has, each with a ``fanout``-th of
+    the rows of the one below.
     """
-    levels: list[DataFrame] = []
-    sizes = nodes.groupBy(by).agg(F.max("index").alias("last"))
     level = nodes.select(by, "index", "hash")
-    most = sizes.agg(F.max("last")).first()[0]
-    tops = [level.join(sizes.where("last = 0"), by, "left_semi").select(by, "hash")]
-    open_ = level.join(sizes.where("last > 0").select(by), by, "left_semi")
+    levels, first = [], [level.where("index = 0").select(by, "hash", F.lit(0).alias("level"))]
+    most = level.agg(F.max("index")).first()[0]
     while most is not None and most > 0:
-        above = stored(parents(open_, by, fanout), "level")
-        levels.append(above)
-        # A tree is done where its last node is the first; every index is there.
-        sizes = above.groupBy(by).agg(F.max("index").alias("last"))
-        done, rest = sizes.where("last = 0").select(by), sizes.where("last > 0").select(by)
-        tops.append(above.where("index = 0").join(done, by, "left_semi").select(by, "hash"))
-        open_ = above.join(rest, by, "left_semi").select(by, "index", "hash")
+        # A first parent with one child is not one: its child is the top.
+        above = parents(level, by, fanout).where("index > 0 or c1 is not null")
+        level = stored(above, "level")
+        levels.append(level)
+        first.append(level.where("index = 0").select(by, "hash", F.lit(len(levels)).alias("level")))
         most //= fanout
-    none = f"{by} {nodes.schema[by].dataType.simpleString()}, index long"
-    path = "path array<struct<before: string, after: string>>"
-    paths = nodes.sparkSession.createDataFrame([], f"{none}, {path}")
-    for pivot in reversed(levels):
-        paths = _children(pivot, by, fanout, paths)
-    return reduce(DataFrame.unionByName, tops), paths
+    tops = reduce(DataFrame.unionByName, first).groupBy(by).agg(
+        F.max_by("hash", "level").alias("hash"), F.max("level").alias("level")
+    )
+    return levels, stored(tops, "tops")
+
+
+def paths(levels: list[DataFrame], tops: DataFrame, by: str, fanout: int = FANOUT) -> DataFrame:
+    """by, index, path of every node under ``tops`` (by, level, path, ...), with their other columns.
+
+    A path is an array, from the bottom up, of what stands ``before`` and ``after`` the node's
+    ancestor among its siblings, and goes on with the path of its top. It grows from
+    parent to child, so no join sees more rows of a tree than its level has.
+    """
+
+    def at(level: int) -> DataFrame:
+        return tops.where(F.col("level") == level).withColumn("index", F.lit(0).cast("long")).drop("level")
+
+    found = at(len(levels))
+    for level in range(len(levels), 0, -1):
+        found = _children(levels[level - 1], by, fanout, found).unionByName(at(level - 1))
+    return found
 
 
 def fold(leaf: Column, path: Column) -> Column:
@@ -158,29 +172,24 @@ def merkle_manifest(
         *[c.alias(n) for n, c in extra.items()],
     )
     leaves = stored(numbered(leaves, "_group", ["_order", "hash"]), "leaves")
-    subroots, inside = tree(leaves, "_group", fanout)
-    subroots = stored(subroots, "subroots")
+    levels, subroots = tree(leaves, "_group", fanout)
     tops = numbered(subroots.withColumn("_all", F.lit(0)), "_all", ["_group"])
-    tops = stored(tops.select("_all", "_group", "index", "hash"), "tops")
-    roots, outside = tree(tops, "_all", fanout)
+    tops = stored(tops.select("_all", "_group", "index", "hash", "level"), "subroots")
+    upper, roots = tree(tops, "_all", fanout)
     none = F.array().cast("array<struct<before: string, after: string>>")
-    upper = (
-        tops.join(outside, ["_all", "index"], "left")
-        .join(roots.select("_all", F.col("hash").alias("root")), "_all")
-        .select("_group", F.col("hash").alias("subroot"), "root", F.coalesce("path", none).alias("_up"))
+    outside = paths(upper, roots.select("_all", "level", none.alias("path")), "_all", fanout)
+    above = tops.join(outside, ["_all", "index"]).select(
+        "_group", "level", "path", F.col("hash").alias("subroot")
     )
-    upper = stored(upper, "upper-paths")
-    return (
-        leaves.join(inside, ["_group", "index"], "left")
-        .join(upper, "_group")
-        .select(
-            F.col("_order").alias(order),
-            F.col("hash").alias("leaf"),
-            "subroot",
-            "root",
-            F.concat(F.coalesce("path", none), "_up").alias("path"),
-            *[F.col(n).alias(c) for n, c in zip(extra, also or [], strict=True)],
-        )
+    inside = paths(levels, stored(above, "upper-paths"), "_group", fanout)
+    root = roots.select("hash").first()  # one row, none for an empty table
+    return leaves.join(inside, ["_group", "index"]).select(
+        F.col("_order").alias(order),
+        F.col("hash").alias("leaf"),
+        "subroot",
+        F.lit(root[0] if root else None).cast("string").alias("root"),
+        "path",
+        *[F.col(n).alias(c) for n, c in zip(extra, also or [], strict=True)],
     )
 
 

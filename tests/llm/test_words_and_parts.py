@@ -71,8 +71,8 @@ def test_matcher_finds_what_brute_force_finds():
             text += "".join(t) + "xyz"
         text = normalised(text)
         want = {
-            (i, _edit_distance(t, text)) for i, t in items
-            if t and _edit_distance(t, text) <= int(0.1 * len(t))
+            (i, _edit_distance(f" {t} ", f" {text} ")) for i, t in items
+            if t and _edit_distance(f" {t} ", f" {text} ") <= int(0.1 * len(t))
         }
         assert {(i, d) for i, d, _ in Matcher(items, 0.1).matches(text)} == want
     assert "".join(p for _, p in pieces("abcdefghij", 3)) == "abcdefghij"
