@@ -31,6 +31,8 @@ from .words import chunks, shingle_sets
 #: Shingles known to be frequent come last in the order. How many are known decides
 #: how fast the join is, never what it finds.
 FREQUENT = 50_000
+#: Shingles that a task gathers before it counts them.
+GATHERED = 2_000_000
 #: Of the pairs between two components so many are compared at first, and so many
 #: times more in each further round.
 ROUND_PAIRS = 4
@@ -44,20 +46,31 @@ def _concat(sets: list[np.ndarray]) -> np.ndarray:
 def frequent_shingles(docs: DataFrame, k: int, most: int = FREQUENT) -> np.ndarray:
     """Shingles that are in the most documents, rarest first; at most ``most``.
 
-    Every document is counted; a task reports the shingles it met most often.
+    The counts are estimates: a task gathers the sets of its texts, counts those of some
+    ``GATHERED`` shingles at a time, forgets what it met only once among them and keeps
+    a few times ``most``. A shingle taken for rare by mistake costs work, no result.
     """
 
     def counted(parts):
         seen, times = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        held, size = [], 0
+
+        def merged():
+            s, n = np.unique(np.concatenate([seen, *held]), return_counts=True)
+            n[np.searchsorted(s, seen)] += times - 1
+            keep = n > 1
+            if keep.sum() > 4 * most:
+                keep &= n >= np.partition(n, -2 * most)[-2 * most]
+            return s[keep], n[keep]
+
         for part in parts:
             for _, texts in chunks(part.column("text").cast(pa.binary()).to_pylist()):
-                s, n = np.unique(_concat(shingle_sets(texts, k)), return_counts=True)
-                s, n = np.concatenate([seen, s[n > 1]]), np.concatenate([times, n[n > 1]])
-                seen, at = np.unique(s, return_inverse=True)
-                times = np.bincount(at, weights=n, minlength=len(seen)).astype(np.int64)
-                if len(seen) > 4 * most:
-                    top = np.sort(np.argsort(-times, kind="stable")[: 2 * most])
-                    seen, times = seen[top], times[top]
+                held += shingle_sets(texts, k)
+                size += sum(len(s) for s in held[-len(texts) :])
+                if size > GATHERED:
+                    seen, times = merged()
+                    held, size = [], 0
+        seen, times = merged()
         top = np.argsort(-times, kind="stable")[:most]
         top = top[times[top] > 7]
         yield pa.RecordBatch.from_arrays(
