@@ -25,35 +25,50 @@ def hierarchy_closure(
     node already on its path is reported once with ``is_cycle`` and not followed.
     ``max_depth`` limits the depth asked for; None walks to the leaves.
 
-    One join per level extends the deepest paths. Each level is checkpointed in
-    the shared folder, so plans stay short and a lost executor costs one level.
-    A parent with very many children is salted.
+    Paths double: those of exactly ``n`` steps, joined with all of up to ``n`` steps
+    that begin where they end, give those of ``n + 1`` to ``2 n``, so a chain of a thousand takes ten
+    rounds. Each round is checkpointed in the shared folder, so plans stay short and a
+    lost executor costs one round. A node from which very many paths begin is salted.
     """
     links = edges.select("parent", "child").where("parent IS NOT NULL AND child IS NOT NULL")
-    links = checkpointed(links.distinct())
-    self_loop = F.col("parent") == F.col("child")
-    level = links.select(
-        F.col("parent").alias("ancestor"),
-        F.col("child").alias("descendant"),
-        F.lit(1).alias("depth"),
-        F.array("parent", "child").alias("path"),
-        self_loop.alias("is_cycle"),
+    links = links.distinct()
+    found = checkpointed(
+        links.select(
+            F.col("parent").alias("ancestor"),
+            F.col("child").alias("descendant"),
+            F.lit(1).alias("depth"),
+            F.array("parent", "child").alias("path"),
+            (F.col("parent") == F.col("child")).alias("is_cycle"),
+        )
     )
-    steps = links.select(F.col("parent").alias("descendant"), F.col("child").alias("_next"))
-    hot = hot_groups(steps, ["descendant"], group_rows)
-    levels, depth = [], 1
-    while True:
-        level = checkpointed(level)
-        levels.append(level)
-        open_ends = level.where(~F.col("is_cycle"))
-        if (max_depth is not None and depth >= max_depth) or open_ends.isEmpty():
+    rounds, steps = [found], 1
+    while max_depth is None or steps < max_depth:
+        ends = found.where(~F.col("is_cycle") & (F.col("depth") == steps)).select(
+            "ancestor", F.col("descendant").alias("_node"), F.col("path").alias("_head")
+        )
+        if ends.isEmpty():
             break
-        depth += 1
-        level = salted_join(steps, open_ends, ["descendant"], SALTS, hot=hot).select(
-            "ancestor",
-            F.col("_next").alias("descendant"),
-            F.lit(depth).alias("depth"),
-            F.concat("path", F.array("_next")).alias("path"),
-            F.array_contains("path", F.col("_next")).alias("is_cycle"),
+        known = reduce(DataFrame.unionByName, rounds)
+        if max_depth is not None:
+            known = known.where(F.col("depth") <= max_depth - steps)
+        tails = known.select(
+            F.col("ancestor").alias("_node"), "descendant", "depth", F.col("path").alias("_tail")
+        )
+        hot = hot_groups(tails, ["_node"], group_rows)
+        joined = salted_join(tails, ends, ["_node"], SALTS, hot=hot)
+        # Nodes between the ends of the tail: a tail that meets the head in one has turned back
+        # before its end.
+        between = F.slice("_tail", F.lit(2), F.size("_tail") - 2)
+        before = F.concat("_head", between)
+        found = checkpointed(
+            joined.where(~F.arrays_overlap("_head", between)).select(
+                "ancestor",
+                "descendant",
+                (F.col("depth") + steps).alias("depth"),
+                F.concat(before, F.array("descendant")).alias("path"),
+                F.array_contains(before, F.col("descendant")).alias("is_cycle"),
+            )
         )
-    return reduce(DataFrame.unionByName, levels)
+        rounds.append(found)
+        steps *= 2
+    return reduce(DataFrame.unionByName, rounds)

@@ -18,6 +18,7 @@ from millrace.skew import (
     PIECE,
     Split,
     at_or_after,
+    divide,
     order_by,
     parse_order,
     plan_split,
@@ -61,12 +62,16 @@ def rank_rows(
 ) -> DataFrame:
     """Add row_number, rank, dense_rank, percent_rank, cume_dist, group_rows.
 
-    With ``tiles`` an ``ntile`` column is added as well.
+    With ``tiles`` an ``ntile`` column is added as well. Where a group is large, ranks come
+    from counted values, so that rows with equal sort values are divided too.
     """
     if set(df.columns) & set(RANK_COLUMNS):
         raise ValueError(f"rename columns among {RANK_COLUMNS}")
     names = [n for n, _ in parse_order(order)]
-    split = split or plan_split(df, by, order, group_rows)
+    if split is None:
+        split = plan_split(df, by, order, group_rows)
+        if split.cuts is not None:
+            return _shares(_counted_ranks(df, list(by), order, names, group_rows), tiles)
     rows = split.carry(
         df,
         {"rows": F.count(F.lit(1)), "values": F.count_distinct(_struct(names))},
@@ -90,6 +95,46 @@ def rank_rows(
             "group_rows": total,
         }
     )
+    return _shares(rows.drop("_rows", "_values", "_total", PIECE), tiles)
+
+
+def _counted_ranks(
+    df: DataFrame, by: list[str], order: Sequence[str], names: list[str], group_rows: int
+) -> DataFrame:
+    """Ranks from one row per group and value and from sums over those before it.
+
+    Rows of one value are cut into pieces of about ``group_rows`` and numbered in each; so no
+    task sees all rows of a value or of a group.
+    """
+    keys = [*by, *dict.fromkeys(n for n in names if n not in by)]
+    rows = divide(df, keys, group_rows)
+    pieces = rows.groupBy(*keys, PIECE).agg(F.count(F.lit(1)).alias("_n"))
+    values = pieces.groupBy(*keys).agg(F.sum("_n").alias("_n"))
+    sums = {"_through": ("sum", "_n"), "_dense": ("count", "_n"), "_total": ("total", "_n")}
+    values = running(values, by, order, sums, group_rows).withColumnRenamed("_n", "_same")
+    values = values.select(*(F.col(k).alias("_v_" + k) for k in keys), "_same", "_through", "_dense", "_total")
+    earlier = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_skip", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    places = pieces.join(values, same_keys(pieces, values, keys, "_v_")).select(
+        *(F.col(k).alias("_p_" + k) for k in [*keys, PIECE]),
+        "_same", "_through", "_dense", "_total", "_skip",
+    )
+    joined = rows.join(places, same_keys(rows, places, [*keys, PIECE], "_p_"))
+    place = F.row_number().over(Window.partitionBy(*keys, PIECE).orderBy(*order_by(order)))
+    before = F.col("_through") - F.col("_same")
+    return joined.withColumns(
+        {
+            "row_number": (before + F.col("_skip") + place).cast("long"),
+            "rank": (before + 1).cast("long"),
+            "dense_rank": F.col("_dense").cast("long"),
+            "cume_dist": F.col("_through") / F.col("_total"),
+            "group_rows": F.col("_total").cast("long"),
+        }
+    ).select(*df.columns, "row_number", "rank", "dense_rank", "cume_dist", "group_rows")
+
+
+def _shares(rows: DataFrame, tiles: int | None) -> DataFrame:
+    """``rows`` with percent_rank and ntile, which follow from the other ranks."""
     rows = rows.withColumn(
         "percent_rank",
         F.when(F.col("group_rows") > 1, (F.col("rank") - 1) / (F.col("group_rows") - 1)).otherwise(
@@ -108,7 +153,7 @@ def rank_rows(
             .otherwise(extra + F.ceil(F.try_divide(n - long_rows, base)))
             .cast("long"),
         )
-    return rows.drop("_rows", "_values", "_total", PIECE)
+    return rows
 
 
 _COMBINE: dict[str, Callable[[Column, Column], Column]] = {

@@ -163,3 +163,33 @@ def test_hierarchy_depth_and_salting(spark):
     assert rows(plain) == rows(hierarchy_closure(edges, group_rows=20))
     assert plain.agg(F.max("depth")).first()[0] == 2
     assert hierarchy_closure(edges, max_depth=1).count() == 199
+
+
+def test_hierarchy_paths_double(spark, monkeypatch):
+    from millrace.operators import hierarchy
+
+    rounds = []
+    kept = hierarchy.checkpointed
+    monkeypatch.setattr(hierarchy, "checkpointed", lambda df: rounds.append(1) or kept(df))
+    chain = spark.range(120).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child"))
+    found = hierarchy_closure(chain)
+    assert found.count() == 120 * 121 // 2 and len(rounds) == 8
+    assert found.where("depth = 120").first()["path"] == list(range(121))
+    assert found.where("size(path) <> depth + 1 or path[0] <> ancestor").isEmpty()
+
+
+def test_hierarchy_equals_walking_the_graph(spark):
+    rng = random.Random(5)
+    for size, count in ((5, 9), (7, 10), (9, 11)):
+        edges = {(rng.randrange(size), rng.randrange(size)) for _ in range(count)}
+        want, open_paths = [], [list(e) for e in edges]
+        while open_paths:
+            path = open_paths.pop()
+            cycle = path[-1] in path[:-1]
+            want.append((path[0], path[-1], len(path) - 1, "-".join(map(str, path)), cycle))
+            if not cycle:
+                open_paths += [[*path, b] for a, b in edges if a == path[-1]]
+        df = spark.createDataFrame(sorted(edges), "parent INT, child INT")
+        for limit in (None, 3):
+            found = hierarchy_closure(df, limit).withColumn("path", F.array_join("path", "-"))
+            assert rows(found) == sorted(w for w in want if limit is None or w[2] <= limit)

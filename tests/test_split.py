@@ -181,3 +181,25 @@ def test_order_text():
     assert skew.parse_order(["a", "b desc", "c asc"]) == [("a", False), ("b", True), ("c", False)]
     with pytest.raises(ValueError):
         skew.parse_order(["a down"])
+
+
+def test_rank_rows_divides_rows_of_one_value(spark):
+    from millrace.skew import PIECE, divide
+
+    df = spark.range(20_000, numPartitions=8).select(
+        F.lit(1).alias("k"), (F.col("id") % 2).cast("double").alias("v"), F.lit("copy").alias("w")
+    )
+    pieces = divide(df, ["k", "v"], 1000).groupBy("v", PIECE).count()
+    assert pieces.agg(F.max("count")).first()[0] <= 2000
+    ranked = w.rank_rows(df, ["k"], ["v desc"], 3, group_rows=1000)
+    found = ranked.groupBy("v", "rank", "dense_rank", "cume_dist", "percent_rank").count()
+    assert rows(found) == [
+        (0.0, 10_001, 2, 1.0, 10_000 / 19_999, 10_000),
+        (1.0, 1, 1, 0.5, 0.0, 10_000),
+    ]
+    numbers = ranked.agg(
+        F.count_distinct("row_number"), F.min("row_number"), F.max("row_number"),
+        F.max(F.when(F.col("v") == 1, F.col("row_number"))),
+    ).first()
+    assert tuple(numbers) == (20_000, 1, 20_000, 10_000)
+    assert sorted(r["count"] for r in ranked.groupBy("ntile").count().collect()) == [6666, 6667, 6667]
