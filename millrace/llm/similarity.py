@@ -30,7 +30,7 @@ from .words import chunks, shingle_sets
 
 #: Shingles known to be frequent come last in the order. How many are known decides
 #: how fast the join is, never what it finds.
-FREQUENT = 50_000
+FREQUENT = 200_000
 #: Shingles that a task gathers before it counts them.
 GATHERED = 2_000_000
 #: Of the pairs between two components so many are compared at first, and so many
