@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.skew import PIECE, divide
+from millrace.session import checkpointed
+from millrace.skew import PIECE, divide, plan_split, same_keys, small
 
 PANDAS_ROWS = 500_000
 
@@ -53,13 +57,21 @@ def root_mean_square(
     )
 
 
-@F.udtf(returnType="word STRING, place INT", useArrow=True)
+@F.arrow_udtf(returnType="word STRING, place BIGINT, n BIGINT")
 class Words:
-    """One row per blank-separated word of a text, with its place from 1."""
+    """One row per blank-separated word of a text, with its place from 1 and the text's ``n``.
 
-    def eval(self, text: str):
-        for place, word in enumerate((text or "").split(), start=1):
-            yield word, place
+    Takes a table of a text and a number, a batch at a time: words and places come from
+    Arrow's own functions over the whole batch. A null text has no words.
+    """
+
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        words = pc.utf8_split_whitespace(pc.fill_null(pc.utf8_trim_whitespace(batch.column(0)), ""))
+        text = pc.list_parent_indices(words).to_numpy()
+        first = np.searchsorted(text, text)
+        place = np.arange(1, len(text) + 1) - first
+        found = pa.table([words.flatten(), pa.array(place), batch.column(1).take(pa.array(text))], ["word", "place", "n"])
+        yield found.filter(pc.not_equal(found.column("word"), ""))
 
 
 def summarise_groups(
@@ -134,3 +146,70 @@ def batch_totals(df: DataFrame, by: str, col: str) -> DataFrame:
     )
     parts = df.select(by, col).mapInPandas(partial, schema)
     return parts.groupBy(by).agg(F.sum("n").alias("rows"), F.max("high").alias("high"))
+
+
+def smoothed(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    col: str,
+    alpha: float,
+    name: str = "smoothed",
+    group_rows: int = PANDAS_ROWS,
+) -> DataFrame:
+    """Add the exponential smoothing of ``col`` per group along ``order``, which is total.
+
+    ``s = alpha * value + (1 - alpha) * s``, beginning with the group's first value. A null
+    value leaves ``s`` as it is; before the first value ``s`` is null.
+
+    A group over ``group_rows`` rows is smoothed in ordered pieces, each by a task of its
+    own as if it began the group. What it would have been with the state before it differs
+    by ``weight * (state - first value)``, so one row per piece suffices to hand the state
+    on, and the input is read once: the smoothed pieces are stored before that.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be above 0 and at most 1")
+    by = list(by)
+    split = plan_split(df, by, order, group_rows)
+    extra = ["_own", "_weight", "_first"]
+    rows = split.tag(df).withColumn("_at", F.row_number().over(split.window()))
+    schema = T.StructType([*rows.schema, *(T.StructField(c, T.DoubleType()) for c in extra)])
+
+    def smooth(piece: pa.Table) -> pa.Table:
+        # The other columns stay in Arrow: pandas would turn whole numbers with nulls into floats.
+        piece = piece.sort_by("_at")
+        values = piece.column(col).cast(pa.float64()).to_pandas()
+        known = values.dropna()
+        own = values.ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
+        weight = (1.0 - alpha) ** values.notna().cumsum()
+        first = np.full(len(values), known.iloc[0] if len(known) else 0.0)
+        for name, column in zip(extra, (own, weight, first), strict=True):
+            piece = piece.append_column(name, pa.array(column, pa.float64(), from_pandas=True))
+        return piece.select(schema.names)
+
+    found = rows.groupBy(*split.keys).applyInArrow(smooth, schema)
+    if split.cuts is None:
+        return found.select(*df.columns, F.col("_own").alias(name))
+    found = checkpointed(found)
+    ends = found.where(F.col(PIECE).isNotNull()).groupBy(*by, PIECE).agg(
+        F.max_by(F.struct(*extra), "_at").alias("_end")
+    )
+    ends = ends.select(*by, PIECE, "_end.*")
+    state_schema = T.StructType([*ends.schema[: len(by) + 1], T.StructField("_state", T.DoubleType())])
+
+    def hand_on(pieces: pa.Table) -> pa.Table:
+        pieces = pieces.sort_by(PIECE)
+        state, before = None, []
+        for own, weight, first in zip(*(pieces.column(c).to_pylist() for c in extra), strict=True):
+            before.append(state)
+            if own is not None:  # else the piece holds no value
+                state = own if state is None else own + weight * (state - first)
+        pieces = pieces.append_column("_state", pa.array(before, pa.float64()))
+        return pieces.select(state_schema.names)
+
+    states = ends.groupBy(*by).applyInArrow(hand_on, state_schema)
+    states = states.select(*(F.col(c).alias("_s_" + c) for c in [*by, PIECE]), "_state")
+    joined = found.join(small(states, split.pieces), same_keys(found, states, [*by, PIECE], "_s_"), "left")
+    shift = F.coalesce(F.col("_weight") * (F.col("_state") - F.col("_first")), F.lit(0.0))
+    value = F.coalesce(F.col("_own") + shift, F.col("_state"))
+    return joined.select(*df.columns, value.alias(name))

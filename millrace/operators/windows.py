@@ -13,6 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import checkpointed
 from millrace.skew import (
     GROUP_ROWS,
     PIECE,
@@ -238,6 +239,7 @@ def frame_range(
     aggs: Mapping[str, tuple[str, str]],
     before: float = 0,
     after: float = 0,
+    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """Add ``{output: (sum|count|min|max|avg, column)}`` over the rows from ``before`` to
     ``after`` seconds around ``ts``.
@@ -245,8 +247,10 @@ def frame_range(
     Time is cut into blocks as wide as the frame. A frame then covers the end of
     one block and the beginning of the next, which two running aggregates give, one
     from either side: the work grows with the rows, not with rows times frame, and a
-    key with very many rows is dealt out by block. Rows of one key and time share a
-    frame and are aggregated first. Rows without a time share theirs.
+    key with very many rows is dealt out by block. A block over ``group_rows`` rows is cut
+    into pieces, and either running aggregate carries what lies in the pieces before.
+    Rows of one key and time share a frame and are aggregated first. Rows without a
+    time share theirs.
     """
     if before < 0 or after < 0:
         raise ValueError("before and after are distances")
@@ -261,30 +265,40 @@ def frame_range(
     rows = df.withColumn("_us", us)
     points = rows.groupBy(*by, "_us").agg(*(_PARTIAL[k](F.col(c)).alias(n) for n, (k, c) in parts.items()))
     if width:
-        # Each point is data in its own block, and asks at either edge of its frame.
-        own = F.struct(F.col("_us").alias("at"), F.lit(0).alias("asks"))
-        low = F.struct((F.col("_us") - back).alias("at"), F.lit(-1).alias("asks"))
-        high = F.struct((F.col("_us") + ahead).alias("at"), F.lit(1).alias("asks"))
-        events = points.withColumn(
-            "_e", F.explode(F.when(F.col("_us").isNull(), F.array(own)).otherwise(F.array(own, low, high)))
+        # Each point is data in its own block, and asks at either edge of its frame. Data
+        # sorts before the questions at its own time, from either side.
+        own, low, high = (
+            F.struct((F.col("_us") + shift).alias("at"), F.lit(asks).alias("asks"), F.lit(abs(asks)).alias("tie"))
+            for shift, asks in ((0, 0), (-back, -1), (ahead, 1))
         )
-        block = F.floor(F.col("_e.at") / width)
-        place = Window.partitionBy(*by, block)
+        copies = F.when(F.col("_us").isNull(), F.array(own)).otherwise(F.array(own, low, high))
+        placed = {
+            "_block": F.floor(F.col("_e.at") / width),
+            "_at": F.col("_e.at"),
+            "_tie": F.col("_e.tie"),
+        }
+        keys, upwards, downwards = [*by, "_block"], ["_at", "_tie"], ["_at desc", "_tie"]
+        # Planned on the rows, of which the sample is drawn before anything is shuffled.
+        slim = rows.select(*by, F.explode(copies).alias("_e")).withColumns(placed).drop("_e")
+        rising = plan_split(slim, keys, upwards, group_rows)
+        falling = Split(keys, downwards)
+        if rising.cuts is not None:
+            falling = plan_split(slim, keys, downwards, group_rows)
+            points = checkpointed(points)  # read for the carries and for the answers
         is_data = F.col("_e.asks") == 0
-        # Data sorts before the questions at its own time, from either side.
-        upto = place.orderBy(F.col("_e.at"), F.abs("_e.asks"))
-        downto = place.orderBy(F.col("_e.at").desc(), F.abs("_e.asks"))
-        run = (Window.unboundedPreceding, Window.currentRow)
-        seen = {}
-        for n in parts:
-            value = F.when(is_data, F.col(n))
-            rising = fold[n](value).over(upto.rowsBetween(*run))
-            falling = fold[n](value).over(downto.rowsBetween(*run))
-            seen["_v" + n] = (
-                F.when(F.col("_e.asks") == 1, rising)
-                .when(F.col("_e.asks") == -1, falling)
-                .when(F.col("_us").isNull(), F.col(n))
-            )
+        events = points.withColumn("_e", F.explode(copies)).withColumns(
+            {**placed, **{"_d" + n: F.when(is_data, F.col(n)) for n in parts}}
+        )
+        again = {n: "sum" if k == "count" else k for n, (k, _) in parts.items()}
+        for side, split in (("_up", rising), ("_down", falling)):
+            aggregates = {side + n: (k, "_d" + n) for n, k in again.items()}
+            events = running(events, keys, split.order, aggregates, split=split)
+        seen = {
+            "_v" + n: F.when(F.col("_e.asks") == 1, F.col("_up" + n))
+            .when(F.col("_e.asks") == -1, F.col("_down" + n))
+            .when(F.col("_us").isNull(), F.col(n))
+            for n in parts
+        }
         answers = events.withColumns(seen).where((~is_data) | F.col("_us").isNull())
         points = answers.groupBy(*by, "_us").agg(*(fold[n]("_v" + n).alias(n) for n in parts))
     outputs = {}

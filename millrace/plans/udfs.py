@@ -10,9 +10,12 @@ from millrace.functions.pandas_functions import (
     batch_totals,
     root_mean_square,
     scaled,
+    smoothed,
     summarise_groups,
 )
 from millrace.functions.sql_functions import register_orders_of, register_sql_functions
+from millrace.functions.trimmed import trimmed_mean
+from millrace.operators.windows import rank_rows
 from millrace.plans.registry import query
 from millrace.sources.tables import load_table
 
@@ -72,6 +75,31 @@ def pandas_aggregate(spark, d):
     return found.withColumn("rms", F.round("rms", 6))
 
 
+@query(
+    "u4_trimmed_mean",
+    """
+    SELECT event_type, COUNT(*) AS "rows", TRUE AS inside, TRUE AS narrow FROM events GROUP BY event_type
+    """,
+)
+def trimmed(spark, d):
+    """Whether the exact mean without a tenth at either end lies between the digest's bounds,
+    and these within a hundredth of all values' range."""
+    events = load_table(spark, d, "events").select("event_type", "event_id", "value")
+    found = trimmed_mean(events, ["event_type"], "value", 0.1)
+    ranked = rank_rows(events, ["event_type"], ["value", "event_id"])
+    cut = F.floor(F.col("group_rows") / 10)
+    kept = F.when(F.col("row_number").between(cut + 1, F.col("group_rows") - cut), F.col("value"))
+    exact = ranked.groupBy("event_type").agg(
+        F.avg(kept).alias("_exact"), (F.max("value") - F.min("value")).alias("_range")
+    )
+    return found.join(exact, "event_type").select(
+        "event_type",
+        "rows",
+        F.col("_exact").between(F.col("mean_low"), F.col("mean_high")).alias("inside"),
+        (F.col("mean_high") - F.col("mean_low") <= F.col("_range") / 100).alias("narrow"),
+    )
+
+
 @query(
     "u5_table_function",
     """
@@ -82,16 +110,9 @@ def pandas_aggregate(spark, d):
     """,
 )
 def table_function(spark, d):
-    """Copies of a name are counted first, so Python sees each name once."""
-    spark.udtf.register("words_of", Words)
-    load_table(spark, d, "part").createOrReplaceTempView("part")
-    return spark.sql(
-        """
-        SELECT word, CAST(place AS BIGINT) AS place, SUM(n) AS n
-        FROM (SELECT p_name, COUNT(*) AS n FROM part GROUP BY p_name), LATERAL words_of(p_name)
-        GROUP BY word, place
-        """
-    )
+    """Copies of a name are counted first, so Python sees each name once, in Arrow batches."""
+    names = load_table(spark, d, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
+    return Words(names.asTable()).groupBy("word", "place").agg(F.sum("n").alias("n"))
 
 
 @query(
@@ -125,3 +146,29 @@ def cogrouped(spark, d):
 )
 def map_batches(spark, d):
     return batch_totals(load_table(spark, d, "events"), "event_type", "value")
+
+
+_SMOOTHED_SQL = """
+    WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i
+               FROM events),
+         p AS (SELECT *, SUM(CASE WHEN i = 0 THEN value ELSE 0.2 * value / power(0.8, i) END)
+                 OVER (PARTITION BY user_id ORDER BY i) AS s FROM n)
+    SELECT event_id, round(s * power(0.8, i), 3) AS smoothed FROM p
+"""
+
+
+def _smoothed(spark, d, **options):
+    events = load_table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    found = smoothed(events, ["user_id"], ["ts", "event_id"], "value", 0.2, **options)
+    return found.select("event_id", F.round("smoothed", 3).alias("smoothed"))
+
+
+@query("u6_smoothing", _SMOOTHED_SQL)
+def smoothing(spark, d):
+    return _smoothed(spark, d)
+
+
+@query("u6_smoothing_split", _SMOOTHED_SQL)
+def smoothing_split(spark, d):
+    """Every user's events are smoothed in pieces, which hand their state on."""
+    return _smoothed(spark, d, group_rows=20)

@@ -158,14 +158,14 @@ _RANGE_SQL = """
 """
 
 
-def _ranged(spark, d, by):
+def _ranged(spark, d, by, **options):
     aggs = {
         "high": ("max", "value"),
         "low": ("min", "value"),
         "n": ("count", "event_id"),
         "users": ("sum", "user_id"),
     }
-    rows = frame_range(_events(spark, d), [by], "ts", aggs, 12 * 3600, 3600)
+    rows = frame_range(_events(spark, d), [by], "ts", aggs, 12 * 3600, 3600, **options)
     return rows.select("event_id", *aggs)
 
 
@@ -176,8 +176,8 @@ def range_frames(spark, d):
 
 @query("e4_range_frames_split", _RANGE_SQL.format(by="event_type"))
 def range_frames_split(spark, d):
-    """Few keys with many rows each."""
-    return _ranged(spark, d, "event_type")
+    """Few keys with many rows each, whose blocks of time are cut into pieces."""
+    return _ranged(spark, d, "event_type", group_rows=100)
 
 
 @query(

@@ -93,7 +93,21 @@ def test_frame_range(events, before, after):
     for by in (["user_id"], []):
         frame = Window.partitionBy(*by).orderBy(us).rangeBetween(-before * 1_000_000, after * 1_000_000)
         plain = holes.withColumns({o: functions[f](c).over(frame) for o, (f, c) in aggs.items()})
-        same(plain, w.frame_range(holes, by, "ts", aggs, before, after))
+        for group_rows in (None, 60):
+            same(plain, w.frame_range(holes, by, "ts", aggs, before, after, group_rows))
+
+
+def test_one_wide_block_is_cut_by_size(spark):
+    """One key and a frame as wide as the data: no piece holds much more than the threshold."""
+    df = spark.range(6000, numPartitions=8).select(
+        F.lit(1).alias("k"), F.timestamp_micros(F.col("id") * 1_000_000).alias("ts"), "id"
+    )
+    found = w.frame_range(df, ["k"], "ts", {"s": ("sum", "id"), "n": ("count", "id")}, 6000, 0, 1000)
+    assert found.where("s <> id * (id + 1) / 2 OR n <> id + 1").count() == 0
+    assert found.count() == 6000
+    edges = df.select("k", F.unix_micros("ts").alias("_at"), F.lit(0).alias("_block"))
+    split = skew.plan_split(edges, ["k", "_block"], ["_at desc"], 1000)
+    assert split.tag(edges).groupBy(skew.PIECE).count().agg(F.max("count")).first()[0] < 2500
 
 
 def test_dense_frames_take_time_in_proportion_to_rows(spark):
