@@ -10,12 +10,17 @@ from millrace.operators.aggregates import (
     approx_profile,
     exact_percentiles,
     histogram,
+    merge_sketches,
     mode_of,
     pareto_classes,
     pivot_table,
+    sketch_estimates,
+    sketch_table,
     unpivot_table,
 )
 from millrace.plans.registry import as_double, query
+from millrace.session import scratch_path
+from millrace.sources.files import write_partitioned
 from millrace.sources.tables import load_table
 
 _PRICE = "CAST(o_totalprice AS DECIMAL(12,2))"
@@ -240,6 +245,45 @@ def approximate(spark, d):
     )
 
 
+@query(
+    "d8_stored_sketches",
+    """
+    SELECT event_type, COUNT(*) AS "rows", COUNT(DISTINCT CAST(ts AS DATE)) AS days,
+           TRUE AS distinct_near, TRUE AS q25_near, TRUE AS q50_near, TRUE AS q75_near
+    FROM events GROUP BY event_type
+    """,
+)
+def stored_sketches(spark, d):
+    """Sketches per type and day are stored, one half of the days after the other, and merged
+    when read: whether the merged ones are within four times their stated error."""
+    events = load_table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    path = scratch_path(spark, "sketches")
+    odd = F.day("day") % 2 == 1
+    for arrived in (odd, ~odd):
+        new = sketch_table(events.where(arrived), ["event_type", "day"], "value")
+        write_partitioned(new, path, ["day"])
+    kept = spark.read.parquet(path)
+    days = kept.groupBy("event_type").agg(F.count_distinct("day").alias("days"))
+    probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    found = sketch_estimates(merge_sketches(kept, ["event_type"]), ["event_type"], probs)
+    found = found.join(days, "event_type")
+    ranks = [
+        F.avg((F.col("value") <= F.col(q)).cast("double")).alias(f"_{q}") for q in probs
+    ]
+    exact = events.select("event_type", "value").join(found, "event_type").groupBy("event_type").agg(
+        F.count_distinct("value").alias("_distinct"), *ranks
+    )
+    return found.join(exact, "event_type").select(
+        "event_type",
+        "rows",
+        "days",
+        (F.abs(F.col("approx_distinct") - F.col("_distinct")) <= F.col("_distinct") * 0.064 + 1).alias(
+            "distinct_near"
+        ),
+        *((F.abs(F.col(f"_{q}") - p) <= 0.06).alias(f"{q}_near") for q, p in probs.items()),
+    )
+
+
 @query(
     "d9_statistics",
     """

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.operators import aggregates as a
 from millrace.operators import series as s
 from millrace.operators.windows import latest_per_key, top_with_ties
+from millrace.session import checkpointed
 from millrace.sources.tables import load_table
 from tests.conftest import rows
 
@@ -75,6 +76,30 @@ def test_approx_profile_stays_within_its_bounds(spark):
     assert row["heavy"][0]["item"] == 7.0
 
 
+def test_merged_sketches_equal_one_pass(spark):
+    """Distinct registers merge without loss; quantiles stay in bounds; groups without a value."""
+    df = spark.range(60_000, numPartitions=6).select(
+        (F.col("id") % 3).alias("g"),
+        (F.col("id") % 20).alias("day"),
+        F.when(F.col("id") % 3 != 2, F.pmod(F.xxhash64("id"), F.lit(7000)).cast("double")).alias("v"),
+    )
+    probs = {"q10": 0.1, "q50": 0.5}
+    daily = checkpointed(a.sketch_table(df, ["g", "day"], "v"))
+    assert daily.count() == 60
+    merged = a.sketch_estimates(a.merge_sketches(daily, ["g"]), ["g"], probs)
+    once = a.sketch_estimates(a.sketch_table(df, ["g"], "v"), ["g"], probs)
+    plain = {r["g"]: r for r in once.collect()}
+    for r in merged.collect():
+        assert (r["rows"], r["nulls"]) == (plain[r["g"]]["rows"], plain[r["g"]]["nulls"]) == (20_000, 20_000 * (r["g"] == 2))
+        if r["g"] == 2:
+            assert r["approx_distinct"] == 0 and r["q50"] is None
+            continue
+        true = df.where(F.col("g") == r["g"]).agg(F.count_distinct("v")).first()[0]
+        for found in (r, plain[r["g"]]):
+            assert abs(found["approx_distinct"] - true) <= 0.064 * true
+            assert abs(found["q10"] - 700) < 7000 * 0.04 and abs(found["q50"] - 3500) < 7000 * 0.04
+
+
 def test_histogram_counts_every_row(spark):
     df = spark.createDataFrame([(-1.0,), (0.0,), (4.9,), (5.0,), (10.0,), (None,)], "v DOUBLE")
     found = a.histogram(df, "v", 0.0, 10.0, 2)
