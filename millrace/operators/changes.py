@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.windows import neighbour
+from millrace.session import checkpointed
 from millrace.skew import GROUP_ROWS, plan_split
 
 
@@ -136,52 +137,54 @@ def scd2_apply(
     A range that ends where no other begins is an end: the key was closed. Ends
     stay where they are, so a closed key stays closed and a gap stays a gap,
     unless a change is dated at or after the end; it opens the key again, up to
-    its next version.
+    its next version. A null ``valid_from`` is a time before all others.
+
+    The history is read twice: once for the rows that pass through, which are not
+    shuffled for more than finding the changed keys, and once for the others, of which begins
+    and ends are stored before they are cut and sorted.
     """
     key, attrs = list(key), list(attrs)
     columns = [*key, *attrs, "valid_from", "valid_to", "is_current"]
     touched = changes.select(*(F.col(c).alias("_k_" + c) for c in key)).distinct()
     match = reduce(and_, (history[c].eqNullSafe(touched["_k_" + c]) for c in key))
     untouched = history.join(touched, match, "left_anti").select(*columns)
-    affected = history.join(touched, match, "left_semi")
-    versions = (
-        affected.select(*key, *attrs, "valid_from")
-        .unionByName(changes.select(*key, *attrs, F.col(ts).alias("valid_from")))
-        .distinct()
-        .withColumn("_end", F.lit(False))
+    # A range gives its begin and, if closed, its end, which has no image.
+    image, kind = F.struct(*attrs), history.select(F.struct(*attrs).alias("i")).schema["i"].dataType
+    begin = F.struct(F.col("valid_from").alias("_at"), image.alias("_image"))
+    end = F.struct(
+        F.col("valid_to").cast(history.schema["valid_from"].dataType).alias("_at"),
+        F.lit(None).cast(kind).alias("_image"),
     )
-    # An end that no version meets is a version of its own, without attributes.
-    begins = versions.select(
-        *(F.col(c).alias("_b_" + c) for c in key), F.col("valid_from").alias("_begin")
-    ).distinct()
-    ends = affected.where("valid_to IS NOT NULL").select(*key, "valid_to").distinct()
-    met = reduce(and_, (ends[c].eqNullSafe(begins["_b_" + c]) for c in key))
-    ends = ends.join(begins, met & (ends["valid_to"] == begins["_begin"]), "left_anti")
-    kinds = {f.name: f.dataType for f in versions.schema}
-    versions = versions.unionByName(
-        ends.select(
-            *key,
-            *(F.lit(None).cast(kinds[c]).alias(c) for c in attrs),
-            F.col("valid_to").alias("valid_from"),
-            F.lit(True).alias("_end"),
-        )
+    marks = F.filter(F.array(begin, end), lambda m: m["_image"].isNotNull() | m["_at"].isNotNull())
+    points = (
+        history.join(touched, match, "left_semi")
+        .select(*key, F.explode(marks).alias("_mark"))
+        .select(*key, "_mark._at", "_mark._image")
+        .unionByName(changes.select(*key, F.col(ts).alias("_at"), image.alias("_image")))
     )
-    order = ["valid_from"]
-    # Planned once, on the plain rows of both inputs.
-    stacked = history.join(touched, match, "left_semi").select(*key, *order).unionByName(
-        changes.select(*key, F.col(ts).alias("valid_from"))
+    # One row per time: the version that begins there or, if none does, an end.
+    timed = points.groupBy(*key, "_at").agg(
+        F.min("_image").alias("_image"), F.max("_image").alias("_other")
     )
-    split = plan_split(stacked, key, order, group_rows)
-    image = F.struct(*attrs, "valid_from", "_end")
-    seen = neighbour(versions, key, order, image, "_before", split=split)
     clash = F.raise_error(F.lit("scd2_apply: two versions of one key at the same time"))
+    is_end = F.when(
+        F.col("_image").eqNullSafe(F.col("_other")), F.col("_image").isNull()
+    ).otherwise(clash.cast("boolean"))
+    versions = timed.select(
+        *key,
+        *(F.col("_image")[c].alias(c) for c in attrs),
+        F.col("_at").alias("valid_from"),
+        is_end.alias("_end"),
+    )
+    if group_rows is not None:
+        versions = checkpointed(versions)  # read for the cuts and for the result
+    order = ["valid_from"]
+    split = plan_split(versions, key, order, group_rows)
+    seen = neighbour(versions, key, order, F.struct(*attrs, "_end"), "_before", split=split)
     before = F.col("_before")
     repeats = before.isNotNull() & reduce(
         and_, (before[c].eqNullSafe(F.col(c)) for c in [*attrs, "_end"]), F.lit(True)
     )
-    repeats = F.when(before["valid_from"] == F.col("valid_from"), clash.cast("boolean")).otherwise(
-        repeats
-    )
     kept = seen.where(~repeats).drop("_before")
     closed = neighbour(kept, key, order, F.col("valid_from"), "valid_to", True, split=split)
     closed = closed.where(~F.col("_end"))

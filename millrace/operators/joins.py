@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,7 +77,9 @@ def asof_join(
     without a match keep nulls.
 
     Both sides are stacked and the last right row is carried forward, so there
-    is one shuffle and no pair is formed that is not in the result.
+    is one shuffle and no pair is formed that is not in the result. Rows with a
+    null time or key match nothing: left ones go round that shuffle, for which
+    ``left`` is read once more, and right ones are left out.
     """
     if direction not in ("backward", "forward"):
         raise ValueError("direction must be 'backward' or 'forward'")
@@ -88,27 +92,28 @@ def asof_join(
         return micros(ts) if direction == "backward" else -micros(ts)
 
     own = [c for c in left.columns if c not in by]
+    lost = reduce(or_, (F.col(c).isNull() for c in by), time(left_ts).isNull())
+    keyed = reduce(and_, (F.col(c).isNotNull() for c in by), F.col(right_ts).isNotNull())
     # At equal times every right row sorts before every left row.
-    left_rows = left.select(
+    left_rows = left.where(~lost).select(
         *by, time(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*own).alias("_left")
     )
-    right_rows = right.where(F.col(right_ts).isNotNull()).select(
+    right_rows = right.where(keyed).select(
         *by, time(right_ts).alias("_t"), F.lit(0).alias("_side"), F.struct(*payload).alias("_right")
     )
     both = left_rows.unionByName(right_rows, allowMissingColumns=True)
     split = plan_split(both, by, ["_t", "_side"], group_rows)
     rows = fill_forward(both, by, ["_t", "_side", "_right"], ["_right"], split=split)
-    hit = F.col("_t").isNotNull()
-    for c in by:
-        hit = hit & F.col(c).isNotNull()
+    found = F.col("_right")
     if tolerance is not None:
-        distance = F.col("_t") - time(F.col("_right")[right_ts])
-        hit = hit & (distance <= round(tolerance * 1_000_000))
-    found = F.when(hit, F.col("_right"))
-    return rows.where(F.col("_side") == 1).withColumn("_right", found).select(
+        distance = F.col("_t") - time(found[right_ts])
+        found = F.when(distance <= round(tolerance * 1_000_000), found)
+    joined = rows.where(F.col("_side") == 1).withColumn("_right", found).select(
         *(F.col(c) if c in by else F.col("_left")[c].alias(c) for c in left.columns),
         *(F.col("_right")[c].alias(c) for c in payload),
     )
+    nothing = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in payload]
+    return joined.unionByName(left.where(lost).select(*left.columns, *nothing))
 
 
 def interval_join(

@@ -62,8 +62,8 @@ _GROUP_ALL_SQL = """
 
 @query("d1_group_by_all", _GROUP_ALL_SQL.replace("length(props)", "CAST(length(props) AS INT)"))
 def group_by_all(spark, d):
-    load_table(spark, d, "events").createOrReplaceTempView("events")
-    return spark.sql(_GROUP_ALL_SQL)
+    sql = _GROUP_ALL_SQL.replace("FROM events", "FROM {events}")
+    return spark.sql(sql, events=load_table(spark, d, "events"))
 
 
 _LEVEL_AGGS = f"COUNT(*) AS n, CAST(SUM({_PRICE}) AS DOUBLE) AS total"
@@ -144,13 +144,13 @@ def unpivoted(spark, d):
 )
 def string_aggregate(spark, d):
     """Distinct values from a small domain, so no group's text can grow."""
-    load_table(spark, d, "orders").createOrReplaceTempView("orders")
     return spark.sql(
         """
         SELECT o_custkey, listagg(DISTINCT o_orderpriority, ',')
                  WITHIN GROUP (ORDER BY o_orderpriority) AS priorities
-        FROM orders GROUP BY o_custkey
-        """
+        FROM {orders} GROUP BY o_custkey
+        """,
+        orders=load_table(spark, d, "orders"),
     )
 
 

@@ -104,11 +104,10 @@ _EXISTS_SQL = """
 
 @query("c2_exists_in", _EXISTS_SQL)
 def exists_in(spark, d):
-    load_table(spark, d, "part").createOrReplaceTempView("part")
     # One row per key on the inner side, so a key with very many lines is no heavier.
     lines = load_table(spark, d, "lineitem").select("l_partkey", "l_discount").distinct()
-    lines.createOrReplaceTempView("lineitem")
-    return spark.sql(_EXISTS_SQL)
+    sql = _EXISTS_SQL.replace("FROM part", "FROM {part}").replace("FROM lineitem", "FROM {lines}")
+    return spark.sql(sql, part=load_table(spark, d, "part"), lines=lines)
 
 
 def _customer_keys(spark, d):
@@ -362,11 +361,11 @@ def fuzzy(spark, d):
     """,
 )
 def correlated(spark, d):
-    load_table(spark, d, "orders").createOrReplaceTempView("orders")
     return spark.sql(
         """
-        SELECT o_orderkey, o_custkey FROM orders o
+        SELECT o_orderkey, o_custkey FROM {orders} o
         WHERE o_totalprice >= CAST(1.9 AS DOUBLE) * (SELECT round(CAST(SUM(CAST(i.o_totalprice AS DECIMAL(12,2)))
-            AS DOUBLE) / COUNT(*), 4) FROM orders i WHERE i.o_custkey = o.o_custkey)
-        """
+            AS DOUBLE) / COUNT(*), 4) FROM {orders} i WHERE i.o_custkey = o.o_custkey)
+        """,
+        orders=load_table(spark, d, "orders"),
     )

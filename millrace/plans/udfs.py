@@ -45,15 +45,16 @@ def sql_scalar(spark, d):
     """,
 )
 def sql_table(spark, d):
-    load_table(spark, d, "customer").createOrReplaceTempView("customer")
-    load_table(spark, d, "orders").createOrReplaceTempView("orders")
-    register_orders_of(spark, "orders")
+    # The function's body names a view, which must not be one of the session's own.
+    load_table(spark, d, "orders").createOrReplaceTempView("millrace_u2_orders")
+    register_orders_of(spark, "millrace_u2_orders")
     return spark.sql(
         """
         SELECT c_custkey, o_orderkey, o_totalprice
-        FROM customer, LATERAL orders_of(c_custkey, 450000)
+        FROM {customer}, LATERAL orders_of(c_custkey, 450000)
         WHERE c_mktsegment = 'BUILDING'
-        """
+        """,
+        customer=load_table(spark, d, "customer"),
     )
 
 

@@ -116,6 +116,34 @@ def test_merge_raises_whatever_is_read(spark):
             read()
 
 
+def test_scd2_takes_a_null_begin_and_equal_ends(spark):
+    """A null begin comes first; two ranges that end at one time leave one end."""
+    history = spark.createDataFrame(
+        [(1, "a", None, day(5), False), (1, "b", day(2), day(5), False), (None, "n", day(0), None, True)],
+        HISTORY,
+    )
+    changes = spark.createDataFrame([(1, "c", day(3)), (None, "m", day(1)), (None, "m", day(1))], CHANGES)
+    expected = [
+        (None, "m", day(1), None, True),
+        (None, "n", day(0), day(1), False),
+        (1, "a", None, day(2), False),
+        (1, "b", day(2), day(3), False),
+        (1, "c", day(3), day(5), False),
+    ]
+    for group_rows in (None, 1):
+        found = rows(scd2_apply(history, changes, ["k"], ["v"], "ts", group_rows))
+        assert sorted(found, key=lambda r: (r[0] is not None, r[1])) == expected
+
+
+def test_scd2_reads_the_history_twice(spark, tmp_path):
+    path = str(tmp_path / "history")
+    spark.createDataFrame([(i % 7, "a", day(i), None, True) for i in range(70)], HISTORY).write.parquet(path)
+    changes = spark.createDataFrame([(1, "b", day(200))], CHANGES)
+    found = scd2_apply(spark.read.parquet(path), changes, ["k"], ["v"], "ts", None)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 2
+
+
 def test_scd2_clash_raises(spark):
     history = spark.createDataFrame([(1, "a", day(0), None, True)], HISTORY)
     changes = spark.createDataFrame([(1, "b", day(0))], CHANGES)

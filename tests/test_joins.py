@@ -55,6 +55,23 @@ def test_asof_tolerance(trades, quotes):
     assert rows(found, "t", "q")[1:4] == [(2, 1), (3, 1), (4, None)]
 
 
+def test_asof_many_rows_without_time_or_key(spark):
+    """They go round the window: no task of the cut join gets more of them than of others."""
+    left = [(k, None, i) for i in range(300) for k in (1, None)] + [(1, T0, -1)] * 2
+    right = [(1, T0 - timedelta(minutes=1), 7), (1, None, 8), (None, T0, 9)]
+    for direction, want in (("backward", 7), ("forward", None)):
+        found = j.asof_join(
+            table(spark, left, "k INT, lt TIMESTAMP, l INT"),
+            table(spark, right, "k INT, rt TIMESTAMP, r INT"),
+            ["k"], "lt", "rt", direction=direction, group_rows=50,
+        )
+        assert found.columns == ["k", "lt", "l", "rt", "r"]
+        assert rows(found.where("l >= 0").select("k", "lt", "l", "r")) == rows(
+            table(spark, [(k, t, i, None) for k, t, i in left[:-2]], "k INT, lt TIMESTAMP, l INT, r INT")
+        )
+        assert [r["r"] for r in found.where("l < 0").collect()] == [want] * 2
+
+
 def test_asof_empty_right(trades, quotes):
     found = j.asof_join(trades, quotes.limit(0), ["k"], "tt", "qt")
     assert found.count() == 8 and found.where("q IS NOT NULL").isEmpty()
