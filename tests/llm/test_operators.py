@@ -13,12 +13,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import html_extract, neighbours, quality, toxicity
+from millrace.llm.common import stored
 from millrace.llm.decontaminate import leaks, normalised, without_leaks
 from millrace.llm.mixing import fill_budget, mix_sources, mixed_documents
 from millrace.llm.pii import find_pii, pii_digest
 from millrace.llm.repeats import without_repeats
-from millrace.llm.sharding import shard_documents
+from millrace.llm.sharding import read_map, shard_documents
 from millrace.llm.similarity import one_per_group, similar_components
+from millrace.session import scratch_path
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -256,6 +258,75 @@ def test_shards_are_even_and_numbered_without_gaps(spark):
     assert Counter(map(str, got)) == Counter(str(r.asDict()) for r in again.collect())
 
 
+def test_a_stored_slot_map_is_edited_version_by_version(spark):
+    rows = some_documents(seed=6, n=400)
+    docs, path = documents(spark, rows), scratch_path(spark, "map")
+    assert read_map(spark, path) is None
+    shard_of = []
+    for shards in (4, 5, 5, 3):
+        got = shard_documents(docs, shards, 256, path)
+        kept = {r.virtual_slot: r for r in read_map(spark, path).collect()}
+        assert len(kept) == 256 and {r.version for r in kept.values()} == {len(shard_of) + 2}
+        shard_of.append({s: r.shard for s, r in kept.items()})
+        if len(shard_of) > 1:
+            assert {s: r.previous_shard for s, r in kept.items()} == shard_of[-2]
+        for r in got.collect():
+            assert kept[r.virtual_slot].shard == r.shard and r.map_version == len(shard_of) + 1
+        assert sum(r.rows for r in kept.values()) == len(rows)
+    first, grown, again, shrunk = shard_of
+    moved = [s for s in first if first[s] != grown[s]]
+    assert moved and all(grown[s] == 4 for s in moved) and again == grown
+    assert set(shrunk.values()) == {0, 1, 2}
+    old = {r.virtual_slot: r.shard for r in read_map(spark, path, 2).collect()}
+    assert old == first
+    with pytest.raises(ValueError, match="256 slots"):
+        shard_documents(docs, 4, 128, path)
+    with pytest.raises(ValueError, match="no version 9"):
+        read_map(spark, path, 9)
+
+
+# Pipeline
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty texts, copies, a leak and a clashing column, from stage to stage."""
+    import corpus_pipeline
+
+    rng = random.Random(20)
+    words = ["alpha", "beta", "gamma", "delta", "river", "stone", "window", "garden"]
+    good = [" ".join(rng.choice(words) + str(rng.randrange(30)) for _ in range(60)) for _ in range(40)]
+    junk = ["$$$ click !!! " * 20 + str(i) for i in range(20)]
+    item = " ".join(rng.choice(words) + str(rng.randrange(30)) for _ in range(20))
+    rows = [(i, t, "a" if i % 3 else "b") for i, t in enumerate(good)]
+    rows += [(100 + i, t, "a") for i, t in enumerate(junk)]
+    rows += [(200 + i, good[0], "c") for i in range(5)] + [(300, good[1] + " tail", None)]
+    rows += [(400, " ".join(good[2].split()[:40]) + " " + item, "b"), (500, None, "a"), (501, "", None)]
+    rows += [(None, good[5], "b"), (7, good[7], "b")]
+    docs = documents(spark, rows)
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(40)] + [(100 + i, 0, 0) for i in range(20)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+    left, seen = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stored(stage(spark, left, folder), name)
+        assert left.columns[: len(DOCS.split(","))] == [c.split()[0] for c in DOCS.split(",")]
+        seen[name] = Counter(r.doc_id for r in left.collect())
+    assert set(range(40)) <= set(seen["quality"]) and not set(range(100, 120)) & set(seen["quality"])
+    unique = seen["near_duplicates"]
+    assert not set(range(201, 205)) & set(unique) and 300 not in unique and unique[7] <= 1
+    assert set(range(40)) - {0, 1, 5, 7} <= set(unique)
+    assert 400 in unique and 400 not in seen["decontamination"]
+    assert set(seen["decontamination"]) == set(unique) - {400}
+    assert set(seen["mixing"]) <= set(seen["decontamination"])
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert Counter(r.doc_id for r in got) == seen["mixing"]
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 # Mixing
 
 

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import random
 import re
-from itertools import product
+from itertools import pairwise, product
 
 import numpy as np
+import pytest
 
 from millrace.llm.decontaminate import Matcher, least_distance, masks, normalised, pieces
-from millrace.llm.html_extract import fit_field, leaf_blocks, main_text, training_pages
+from millrace.llm.html_extract import FEATURES, Field, fit_field, leaf_blocks, main_text, training_pages
 from millrace.llm.mixing import fill_budget
 from millrace.llm.neighbours import fit_router, nearest
 from millrace.llm.quality import pool_adjacent, text_stats
 from millrace.llm.repeats import find_anchors, maximal_repeats, prefix_intervals
-from millrace.llm.sharding import assign_slots, rebalance
+from millrace.llm.sharding import first_map, rebalance
 from millrace.llm.toxicity import fit_chain, logistic
 from millrace.llm.words import hash_words, shingle_sets
 
@@ -164,7 +165,7 @@ def test_equal_passages_have_equal_anchors():
 def test_growing_a_slot_map_moves_slots_only_into_the_new_shard():
     rng = random.Random(8)
     loads = {s: rng.randint(1, 100) for s in range(512)}
-    before = assign_slots(loads, 8)
+    before = rebalance(first_map(512, 8), loads, 8)
     after = rebalance(before, loads, 9)
     moved = [s for s in loads if before[s] != after[s]]
     assert moved and all(after[s] == 8 for s in moved)
@@ -172,6 +173,45 @@ def test_growing_a_slot_map_moves_slots_only_into_the_new_shard():
     assert max(totals) - min(totals) <= 100
 
 
+def test_slots_over_an_even_share_get_a_shard_of_their_own():
+    loads = {s: 10 for s in range(64)} | {1: 5000, 2: 3000}
+    placed = rebalance(first_map(64, 4), loads, 4)
+    totals = [sum(loads[s] for s in loads if placed[s] == i) for i in range(4)]
+    assert placed[1] != placed[2] and sorted(totals) == [310, 310, 3000, 5000]
+    fewer = rebalance(placed, loads, 3)
+    assert set(fewer.values()) == {0, 1, 2} and fewer[1] != fewer[2]
+    assert sorted(sum(loads[s] for s in loads if fewer[s] == i) for i in range(3)) == [620, 3000, 5000]
+    assert rebalance(fewer, loads, 3) == fewer
+    assert rebalance(first_map(4, 2), {}, 2) == first_map(4, 2)
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><p title='x>hello</p></article>", "hello"),
+        ('<article><p title="a>b">hello</p></article>', "hello"),
+        ("<article><p class=it's>one</p><p>it's</p></article>", "one\n\nit's"),
+        ("<article><p>one</p><p title='", "one"),
+    ],
+)
+def test_quotes_that_are_not_closed_are_no_text(page, text):
+    assert "\n\n".join(b.text for b in leaf_blocks(page)) == text
+
+
+def test_viterbi_finds_the_best_of_all_labellings():
+    rng = np.random.default_rng(12)
+    for n in range(1, 9):
+        field = Field(rng.normal(size=len(FEATURES)), rng.normal(size=(2, 2)) * 2)
+        features = [rng.choice(len(FEATURES), 3, replace=False).tolist() for _ in range(n)]
+
+        def value(labels, field=field, features=features):
+            own = sum(field.weights[f].sum() for f, y in zip(features, labels, strict=True) if y)
+            return own + sum(field.pairs[a, b] for a, b in pairwise(labels))
+
+        best = max(product((0, 1), repeat=n), key=value)
+        assert tuple(field.decode(features)) == best
+
+
 def test_chain_feeds_earlier_categories_to_later_ones():
     rng = np.random.default_rng(9)
     x = rng.integers(0, 2, (600, 4)).astype(float)
