@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.session import checkpointed
-from millrace.skew import PIECE, divide, plan_split, same_keys, small
+from millrace.skew import PIECE, Parts, divide, plan_split, same_keys, small
 
 PANDAS_ROWS = 500_000
 
@@ -110,14 +110,17 @@ def attach_cogrouped(
     """Add ``ratio`` = ``many.value`` / ``one.base`` by cogrouping on ``on``.
 
     ``one`` has a row per key. It is copied to the pieces of a cut key, so each
-    pandas call sees one piece and one row.
+    pandas call sees one piece and one row. A null key has no ratio.
     """
-    pieces = divide(many, [on], group_rows)
-    used = pieces.select(on, F.col(PIECE).alias("_copy")).distinct()
-    copies = one.select(on, base).join(used, on)
+    parts = Parts(many, [on], group_rows)
+    pieces = parts.divide(many)
+    wanted = one.select(on, base).join(many.select(on).distinct(), on, "left_semi")
+    copies = parts.copy(wanted, "_copy")
     schema = T.StructType([*many.schema, T.StructField("ratio", T.DoubleType())])
 
     def attach(rows: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):  # a piece that no row was spread to
+            return pd.DataFrame(columns=schema.names)
         rows = rows.drop(columns=PIECE)
         divisor = row[base].iloc[0] if len(row) else None
         rows["ratio"] = rows[value] / divisor if divisor else None

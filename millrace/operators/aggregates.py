@@ -203,9 +203,11 @@ def histogram(df: DataFrame, col: str, lo: float, hi: float, n: int) -> DataFram
     """Counts in ``n`` equal bins of ``[lo, hi)``, with empty bins kept.
 
     Bin 0 counts values below ``lo``, bin ``n + 1`` those at or above ``hi``,
-    and bin -1 the nulls.
+    NaN among them, since it sorts above all numbers, and bin -1 the nulls.
     """
-    bins = F.coalesce(F.width_bucket(F.col(col), F.lit(lo), F.lit(hi), F.lit(n)), F.lit(-1))
+    nan = F.when(F.isnan(F.col(col).cast("double")), F.lit(n + 1))
+    inside = F.width_bucket(F.col(col), F.lit(lo), F.lit(hi), F.lit(n))
+    bins = F.coalesce(nan, inside, F.lit(-1))
     counts = df.groupBy(bins.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
     step = (hi - lo) / n
     spine = df.sparkSession.range(-1, n + 2).withColumnRenamed("id", "bin")

@@ -8,13 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cast_quarantine(df: DataFrame, casts: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+def cast_quarantine(
+    df: DataFrame, casts: Mapping[str, str], failed: str = "failed"
+) -> tuple[DataFrame, DataFrame]:
     """Cast columns, as ``(good, bad)``.
 
     ``bad`` keeps the rows as they came, with the names of the columns that do
-    not cast in ``failed``. A null is not a failure.
+    not cast in the column ``failed``, which ``df`` may not have. A null is not a failure.
     """
-    failed = F.array_compact(
+    if failed in df.columns:
+        raise ValueError(f"cast_quarantine: the table has a column {failed!r}, name another")
+    names = F.array_compact(
         F.array(
             *(
                 F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), F.lit(c))
@@ -22,10 +26,10 @@ def cast_quarantine(df: DataFrame, casts: Mapping[str, str]) -> tuple[DataFrame,
             )
         )
     )
-    flagged = df.withColumn("failed", failed)
-    good = flagged.where(F.size("failed") == 0).drop("failed")
+    flagged = df.withColumn(failed, names)
+    good = flagged.where(F.size(failed) == 0).drop(failed)
     good = good.withColumns({c: F.col(c).try_cast(t) for c, t in casts.items()})
-    return good, flagged.where(F.size("failed") > 0)
+    return good, flagged.where(F.size(failed) > 0)
 
 
 def clean_key(col: Column | str) -> Column:

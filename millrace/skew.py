@@ -269,21 +269,49 @@ def spread(df: DataFrame, parts: int) -> Column:
     return F.pmod(content + F.spark_partition_id(), F.lit(parts)).cast("int")
 
 
+class Parts:
+    """Into how many pieces the groups of ``by`` over ``group_rows`` rows are cut, in no order."""
+
+    def __init__(self, df: DataFrame, by: Sequence[str], group_rows: int = GROUP_ROWS):
+        self.by = list(by)
+        hot = hot_groups(df, by, group_rows)
+        schema = T.StructType(
+            [_renamed(df.schema[n], "_hot_" + n) for n in by]
+            + [T.StructField("_parts", T.IntegerType(), False)]
+        )
+        rows = [(*(r[n] for n in by), -(-r["_n"] // group_rows)) for r in hot]
+        self.count = len(rows)
+        self.keys = df.sparkSession.createDataFrame(rows, schema) if rows else None
+
+    def _counted(self, df: DataFrame) -> DataFrame:
+        match = same_keys(df, self.keys, self.by, "_hot_")
+        joined = df.join(small(self.keys, self.count), match, "left")
+        return joined.drop(*("_hot_" + n for n in self.by))
+
+    def divide(self, df: DataFrame) -> DataFrame:
+        """Add the number of the piece that a row belongs to."""
+        if self.keys is None:
+            return df.withColumn(PIECE, F.lit(0))
+        rows = self._counted(df.withColumn("_spread", spread(df, 1 << 30)))
+        piece = F.coalesce(F.col("_spread") % F.col("_parts"), F.lit(0))
+        return rows.withColumn(PIECE, piece).drop("_spread", "_parts")
+
+    def copy(self, df: DataFrame, name: str) -> DataFrame:
+        """A row of ``df`` for every piece of its group, with the piece's number in ``name``.
+
+        The numbers come from the plan, not from the divided rows, so none is missing
+        should these be read twice and differ.
+        """
+        if self.keys is None:
+            return df.withColumn(name, F.lit(0))
+        last = F.coalesce(F.col("_parts"), F.lit(1)) - 1
+        rows = self._counted(df).withColumn(name, F.explode(F.sequence(F.lit(0), last)))
+        return rows.drop("_parts")
+
+
 def divide(df: DataFrame, by: Sequence[str], group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add a piece number that cuts groups over ``group_rows`` rows, in no order.
 
     For work that can be done on parts of a group and combined afterwards.
     """
-    hot = hot_groups(df, by, group_rows)
-    if not hot:
-        return df.withColumn(PIECE, F.lit(0))
-    schema = T.StructType(
-        [_renamed(df.schema[n], "_hot_" + n) for n in by]
-        + [T.StructField("_parts", T.IntegerType(), False)]
-    )
-    rows = [(*(r[n] for n in by), -(-r["_n"] // group_rows)) for r in hot]
-    keys = df.sparkSession.createDataFrame(rows, schema)
-    numbered = df.withColumn("_spread", spread(df, 1 << 30))
-    joined = numbered.join(small(keys, len(hot)), same_keys(numbered, keys, by, "_hot_"), "left")
-    piece = F.coalesce(F.col("_spread") % F.col("_parts"), F.lit(0))
-    return joined.withColumn(PIECE, piece).drop("_spread", "_parts", *("_hot_" + n for n in by))
+    return Parts(df, by, group_rows).divide(df)

@@ -103,3 +103,14 @@ def test_smoothing_in_pieces_equals_one_pass(events, by):
         for i, (big, s) in want.items():
             assert got[i][0] == big
             assert got[i][1] == (None if s is None else pytest.approx(s, rel=1e-9))
+
+
+def test_cogroup_gives_every_piece_its_row(spark):
+    many = spark.createDataFrame(
+        [(None if i % 5 == 0 else 1 if i % 2 else i % 40, float(i)) for i in range(2000)], "k INT, v DOUBLE"
+    )
+    one = spark.createDataFrame([(k, float(k + 1)) for k in range(60)] + [(None, 7.0)], "k INT, base DOUBLE")
+    plain = many.join(one, "k", "left").select("k", "v", (F.col("v") / F.col("base")).alias("ratio"))
+    for group_rows in (50, 100_000):
+        found = p.attach_cogrouped(many, one, "k", "v", "base", group_rows)
+        assert rows(found) == rows(plain)

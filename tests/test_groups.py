@@ -102,8 +102,9 @@ def test_merged_sketches_equal_one_pass(spark):
 
 def test_histogram_counts_every_row(spark):
     df = spark.createDataFrame([(-1.0,), (0.0,), (4.9,), (5.0,), (10.0,), (None,)], "v DOUBLE")
+    df = df.unionByName(df.sparkSession.sql("SELECT double(v) AS v FROM VALUES 'NaN', 'Infinity' t(v)"))
     found = a.histogram(df, "v", 0.0, 10.0, 2)
-    assert rows(found, "bin", "rows") == [(-1, 1), (0, 1), (1, 2), (2, 1), (3, 1)]
+    assert rows(found, "bin", "rows") == [(-1, 1), (0, 1), (1, 2), (2, 1), (3, 3)]
 
 
 def test_pareto_classes(spark):

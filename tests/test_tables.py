@@ -117,6 +117,11 @@ def test_cast_quarantine(spark):
     assert dict(good.dtypes) == {"a": "int", "d": "date"}
     assert rows(good.withColumn("d", F.col("d").cast("string"))) == [(None, None), (1, "2024-01-02")]
     assert [tuple(r) for r in bad.collect()] == [("x", "nope", ["a", "d"])]
+    own = df.withColumn("failed", F.lit("mine"))
+    with pytest.raises(ValueError, match="name another"):
+        cast_quarantine(own, {"a": "int"})
+    good, bad = cast_quarantine(own, {"a": "int"}, "why")
+    assert good.columns == ["a", "d", "failed"] and rows(bad, "failed", "a") == [("mine", "x")]
 
 
 def test_clean_keys(spark):
