@@ -48,7 +48,9 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = FREQUENT) -> np.ndarr
 
     The counts are estimates: a task gathers the sets of its texts, counts those of some
     ``GATHERED`` shingles at a time, forgets what it met only once among them and keeps
-    a few times ``most``. A shingle taken for rare by mistake costs work, no result.
+    a few times ``most``. What tasks met is added up before any is left out as rare, so
+    a shingle that is spread thinly over many tasks is known too. A shingle taken for
+    rare by mistake costs work, no result.
     """
 
     def counted(parts):
@@ -72,21 +74,28 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = FREQUENT) -> np.ndarr
                     held, size = [], 0
         seen, times = merged()
         top = np.argsort(-times, kind="stable")[:most]
-        top = top[times[top] > 7]
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen[top].view(np.int64)), pa.array(times[top])], ["shingle", "n"]
         )
 
-    rows = (
+    known = stored(
         docs.select("text")
         .mapInArrow(counted, "shingle long, n long")
         .groupBy("shingle")
         .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "shingle")
-        .limit(most)
-        .collect()
+        .where(F.col("n") > 7),
+        "frequent",
     )
-    return np.array([r[0] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
+    # The least count that leaves at most ``most``: only those go to the driver.
+    band = F.least("n", F.lit(1 << 20)).alias("n")
+    least, held = (1 << 20) + 1, 0
+    for n, c in sorted(map(tuple, known.groupBy(band).count().collect()), reverse=True):
+        held += c
+        if held > most:
+            break
+        least = n
+    rows = known.where(F.col("n") >= least).orderBy("n", F.desc("shingle")).collect()
+    return np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
 
 
 def _set_id(shingles: np.ndarray) -> int:
@@ -359,6 +368,30 @@ def connected(pairs: DataFrame, near: DataFrame, whole: DataFrame, num: int, den
         count *= 8
 
 
+def _sized(n: str, m: str, num: int, den: int) -> Column:
+    return F.col(n) * den >= F.col(m) * num
+
+
+def meetings(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that meet in ``lists`` (key, set_id, n,
+    place, short, before, last, component) and can share enough.
+
+    ``last`` is the key before this one among a set's own. Where it is the same for both,
+    they have met there already, so pairs come once for each run of lists that both
+    share, not once a list. The first list that both share is never left out.
+    """
+    other = lists.select("key", *[F.col(c).alias(f"{c}_2") for c in lists.columns if c != "key"])
+    return (
+        lists.where("short")
+        .join(other, "key")
+        .where(_follows("n", "set_id", "n_2", "set_id_2") & _sized("n", "n_2", num, den))
+        .where("component <> component_2")
+        .where(_room(num, den))
+        .where(F.coalesce(F.col("last") != F.col("last_2"), F.lit(True)))
+        .select(F.least("set_id", "set_id_2").alias("a"), F.greatest("set_id", "set_id_2").alias("b"))
+    )
+
+
 def _row() -> Column:
     """A row's place among its like: by id, null last, then by text."""
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
@@ -385,10 +418,6 @@ def grouped_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         "distinct-sets",
     )
     slim = sets.select("set_id", "n", "first")
-
-    def sized(n: str, m: str) -> Column:
-        return F.col(n) * den >= F.col(m) * num
-
     posts = postings(slim, boundary(slim, num, den), num, den)
     short = F.when(F.col("meta").bitwiseAND(2) != 0, F.col("meta"))
     heads = stored(
@@ -402,18 +431,16 @@ def grouped_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         .drop("c"),
         "list-heads",
     )
-    earlier = Window.partitionBy("set_id", "single").orderBy("place")
+    earlier = Window.partitionBy("set_id", "single").orderBy("place", "key")
     before = F.when(F.col("single"), F.row_number().over(earlier) - 1).otherwise(F.col("place"))
     # Most keys are in one set only: a bitmap keeps most of them from a second shuffle.
     several = marked_rows(posts, heads.select("key"), ["key"]).join(heads, "key")
-    lists = stored(_told(several).withColumn("before", before), "lists")
-
-    def pair(i: str, j: str) -> list[Column]:
-        return [F.least(i, j).alias("a"), F.greatest(i, j).alias("b")]
-
+    lists = stored(
+        _told(several).withColumns({"before": before, "last": F.lag("key").over(earlier)}), "lists"
+    )
     star = stored(
-        lists.where((F.col("head") != F.col("set_id")) & sized("head_n", "n"))
-        .select(*pair("head", "set_id"))
+        lists.where((F.col("head") != F.col("set_id")) & _sized("head_n", "n", num, den))
+        .select(F.least("head", "set_id").alias("a"), F.greatest("head", "set_id").alias("b"))
         .distinct(),
         "star-pairs",
     )
@@ -422,9 +449,9 @@ def grouped_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     near = stored(components(links), "near")
 
     marked = stored(
-        _marked(lists.select("key", "set_id", "n", "place", "short", "before"), ["set_id"], near).withColumnRenamed(
-            "set_id_part", "component"
-        ),
+        _marked(
+            lists.select("key", "set_id", "n", "place", "short", "before", "last"), ["set_id"], near
+        ).withColumnRenamed("set_id_part", "component"),
         "marked",
     )
     open_keys = (
@@ -434,16 +461,7 @@ def grouped_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         .select("key")
     )
     still = stored(marked.join(open_keys, "key", "left_semi"), "open-lists")
-    other = still.select("key", *[F.col(c).alias(f"{c}_2") for c in still.columns if c != "key"])
-    across = (
-        still.where("short")
-        .join(other, "key")
-        .where(_follows("n", "set_id", "n_2", "set_id_2") & sized("n", "n_2"))
-        .where("component <> component_2")
-        .where(_room(num, den))
-        .select(*pair("set_id", "set_id_2"))
-        .distinct()
-    )
+    across = meetings(still, num, den).distinct()
     across = stored(across.join(star, ["a", "b"], "left_anti"), "cross-pairs")
     likely = stored(plausible(across, sets, num, den).select("a", "b", "apart"), "plausible")
     final = connected(likely, near, whole_sets(likely, sets, texts, k), num, den)

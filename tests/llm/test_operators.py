@@ -19,7 +19,8 @@ from millrace.llm.mixing import fill_budget, mix_sources, mixed_documents
 from millrace.llm.pii import find_pii, pii_digest
 from millrace.llm.repeats import without_repeats
 from millrace.llm.sharding import read_map, shard_documents
-from millrace.llm.similarity import one_per_group, similar_components
+from millrace.llm.similarity import frequent_shingles, meetings, one_per_group, similar_components
+from millrace.llm.words import shingle_sets
 from millrace.session import scratch_path
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -175,6 +176,38 @@ def test_similar_components(spark, k, num):
     assert collected(got, "doc_id", "n_shingles", "component_id") == want
 
 
+def test_shingles_spread_thinly_over_tasks_are_known_as_frequent(spark):
+    texts = [f"common words here own{i} more{i} last{i}" for i in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    assert max(r[0] for r in docs.groupBy(F.spark_partition_id()).count().select("count").collect()) < 8
+    shared = shingle_sets([b"common words here"], 3)[0]
+    assert frequent_shingles(docs, 3).tolist() == shared.tolist()
+
+
+def test_no_more_than_the_most_frequent_are_known(spark):
+    words = [f"a{j} b{j} c{j}" for j in range(5)]
+    texts = [w for j, w in enumerate(words) for _ in range(10 + j // 2)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    known = [shingle_sets([w.encode()], 3)[0][0] for w in words]  # 10, 10, 11, 11, 12 times
+    for most in (1, 2, 4):
+        got = frequent_shingles(docs, 3, most)
+        assert len(got) <= most and got[-1] == known[4]
+    assert set(frequent_shingles(docs, 3, 9).tolist()) == set(known)
+
+
+def test_sets_that_share_a_run_of_lists_meet_once(spark):
+    rows = []
+    for i in (1, 2):
+        last = None
+        for place in range(10):
+            key = 100 * i if place == 5 else place  # a list of its own parts two runs
+            rows.append((key, i, 200, place, True, place, last, i))
+            last = key
+    kind = "key long, set_id long, n long, place long, short boolean, before long, last long, component long"
+    lists = spark.createDataFrame(rows, kind)
+    assert [tuple(r) for r in meetings(lists, 90, 100).collect()] == [(1, 2)] * 2
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = some_documents(seed=4, n=100)
     sets = _sets(rows, 5)
