@@ -208,6 +208,28 @@ def test_sets_that_share_a_run_of_lists_meet_once(spark):
     assert [tuple(r) for r in meetings(lists, 90, 100).collect()] == [(1, 2)] * 2
 
 
+def test_links_between_texts_that_share_runs_of_lists_are_found(spark):
+    rng = random.Random(11)
+    rows = []
+    for family in range(6):
+        base = [f"w{family}x{j}" for j in range(150)]
+        for _ in range(12):
+            words = list(base)
+            for _ in range(rng.randint(1, 5)):  # each edit costs three of 148 shingles
+                words[rng.randrange(150)] = f"own{rng.randrange(40)}"
+            rows.append((len(rows), " ".join(words), "a"))
+    sets = _sets(rows, 3)
+    groups = _groups(sets, 90, 100)
+    assert 6 < len(set(groups)) < len(rows)
+    least = {}
+    for (i, *_), g in zip(rows, groups, strict=True):
+        least[g] = min(least.get(g, i), i)
+    want = [(i, len(s), least[g]) for (i, *_), s, g in zip(rows, sets, groups, strict=True)]
+    docs = documents(spark, rows).repartition(5)
+    got = similar_components(docs, 3, 90, 100).select("doc_id", "n_shingles", "component_id")
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = some_documents(seed=4, n=100)
     sets = _sets(rows, 5)
