@@ -338,11 +338,10 @@ def neighbour(
     split = split or plan_split(df, by, order, group_rows)
     rows = df.withColumn("_own", F.struct(value.alias("v")))
     nearest = F.min_by if following else F.max_by
-    pick = F.first if following else F.last
     rows = split.carry(
         rows,
         {"edge": nearest("_own", _struct(columns))},
-        {"_edge": lambda others, whole: pick("_p_edge", ignorenulls=True).over(others)},
+        {"_edge": lambda others, whole: F.last("_p_edge", ignorenulls=True).over(others)},
         following,
     )
     inside = (F.lead if following else F.lag)("_own").over(split.window())

@@ -8,8 +8,12 @@ hand every piece what it must know about the pieces before it (its carry).
 Every group over ``group_rows`` rows is split, into pieces of about that size.
 There are at most as many large groups as the table has ``group_rows`` rows, and
 about as many pieces, so what the driver holds is one cut per ``group_rows`` rows
-of data. Tables of cuts and carries are broadcast up to ``BROADCAST_ROWS`` rows
-and joined as any other table beyond.
+of data, in Arrow. Carries are broadcast up to ``BROADCAST_ROWS`` rows, cuts up to
+``BROADCAST_CUTS``, and joined as any other table beyond.
+
+A row finds its piece by descending a tree of cuts with a join on a node's number for each
+level, so its cost grows with the logarithm of the number of pieces, and no row is copied
+together with all cuts of its group.
 
 Both the large groups and the cuts are found by sampling. Sampling only decides
 how the work is divided; every row is used and no result depends on it.
@@ -25,12 +29,19 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.internal import InternalFunction
 
 GROUP_ROWS = 10_000_000
 BROADCAST_ROWS = 65_536
+#: Cuts lie in arrays and take a few tens of bytes each.
+BROADCAST_CUTS = 2_097_152
+#: Cuts to a node: Spark's search makes an array of objects of each node it looks into.
+FAN = 16
 SAMPLES_PER_PIECE = 16
 SAMPLES_PER_GROUP = 200
 
@@ -58,6 +69,38 @@ def order_by(order: Sequence[str], backwards: bool = False) -> list[Column]:
     ]
 
 
+def _rising(col: Column, desc: bool, kind: T.DataType) -> list[Column] | None:
+    """Columns whose ascending order is that of ``col`` in :func:`order_by`, if there are some."""
+    if not desc:
+        return [col]
+    if isinstance(kind, T.IntegralType):
+        turned = [F.bitwise_not(col)]
+    elif isinstance(kind, T.FractionalType):
+        turned = [-col] if isinstance(kind, T.DecimalType) else [~F.isnan(col), -col]
+    elif isinstance(kind, T.BooleanType):
+        turned = [~col]
+    elif isinstance(kind, T.DateType):
+        turned = [-F.unix_date(col)]
+    elif isinstance(kind, T.TimestampType):
+        turned = [-F.unix_micros(col)]
+    elif isinstance(kind, T.TimestampNTZType):
+        turned = [F.lit("1970-01-01").cast(kind) - col]
+    elif kind in (T.StringType(), T.BinaryType()):
+        # The last sign is above all digits: what begins like another and goes on comes before it.
+        turned = [F.concat(F.translate(F.hex(col), "0123456789ABCDEF", "fedcba9876543210"), F.lit("g"))]
+    else:
+        return None
+    return [col.isNull(), *turned]
+
+
+def _sort_key(df: DataFrame, order: Sequence[str]) -> Column | None:
+    """A struct that sorts ascending as ``order`` does, if its types allow one."""
+    found = [_rising(F.col(n), desc, df.schema[n].dataType) for n, desc in parse_order(order)]
+    if None in found:
+        return None
+    return F.struct(*(c.alias(f"_k{i}") for i, c in enumerate(c for part in found for c in part)))
+
+
 def at_or_after(order: Sequence[str], mark: Column) -> Column:
     """True where the row sorts at or after the struct ``mark``."""
     result = F.lit(True)
@@ -112,21 +155,31 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 class Split:
-    """How the groups of ``by``, sorted by ``order``, are cut into pieces."""
+    """How the groups of ``by``, sorted by ``order``, are cut into pieces.
+
+    The cuts of a group lie in a tree, ``FAN`` to a node. ``cuts`` has a row for each group that
+    is split: its keys, its number, how many pieces the groups before it have, and the root of
+    its tree (``_heads``). ``levels`` has a table of nodes for each level below, with its number
+    of rows. Pieces are numbered over all groups, so that a number tells the group as well.
+    """
+
+    fan = FAN
 
     def __init__(
         self,
         by: Sequence[str],
         order: Sequence[str],
         cuts: DataFrame | None = None,
-        fan: int = 1,
+        levels: Sequence[tuple[DataFrame, int]] = (),
         pieces: int = 0,
+        groups: int = 0,
     ):
-        self.pieces = pieces
         self.by = list(by)
         self.order = list(order)
         self.cuts = cuts
-        self.fan = fan
+        self.levels = levels
+        self.pieces = pieces
+        self.groups = groups
 
     @property
     def keys(self) -> list[str]:
@@ -139,30 +192,41 @@ class Split:
     def tag(self, df: DataFrame, how: str = "left") -> DataFrame:
         """Add the piece number; null marks a group that is not split.
 
-        ``how="inner"`` keeps only the groups that are split.
+        ``how="inner"`` keeps only the groups that are split. Piece numbers rise along the
+        order of a group.
         """
         if self.cuts is None:
             return df
+        key = _sort_key(df, self.order)
+
+        def reached(rows: DataFrame, cuts: Column) -> DataFrame:
+            """How many of a node's cuts are not above the row, in ``_reached``."""
+            if key is None:
+                return rows.withColumn("_reached", F.size(F.filter(cuts, lambda c: at_or_after(self.order, c))))
+            rows = rows.withColumn("_place", InternalFunction.array_binary_search(cuts, key))
+            return rows.withColumn("_reached", F.greatest(F.col("_place") + 1, -F.col("_place") - 1)).drop("_place")
+
         if self.by:
             match = same_keys(df, self.cuts, self.by, "_cut_")
-            rows = df.join(small(self.cuts, self.pieces), match, how)
+            rows = reached(df.join(small(self.cuts, self.groups), match, how), F.col("_heads"))
         else:
-            rows = df.withColumn("_cuts", self.cuts.select("_cuts").scalar())
-
-        def reached(blocks: str | Column, head: Callable[[Column], Column]) -> Column:
-            return F.size(F.filter(blocks, lambda b: at_or_after(self.order, head(b))))
-
-        # The cuts lie three levels deep, so a row is compared with about three
-        # times the cube root of their number.
-        rows = rows.withColumn("_i", reached("_cuts", lambda b: b[0][0]))
-        rows = rows.withColumn("_outer", F.get("_cuts", F.col("_i") - 1))
-        rows = rows.withColumn("_j", reached("_outer", lambda b: b[0]))
-        rows = rows.withColumn("_inner", F.get("_outer", F.col("_j") - 1))
-        last = reached("_inner", lambda c: c)
-        place = ((F.col("_i") - 1) * self.fan + F.col("_j") - 1) * self.fan + last
-        piece = F.when(F.col("_cuts").isNull(), None).when(F.col("_i") == 0, 0).otherwise(place)
+            # The heads stay in the expression: as a column they would be copied with each row.
+            rows = reached(df, self.cuts.select("_heads").scalar())
+            rows = rows.withColumns({"_group": F.lit(0), "_before": F.lit(0), "_first": F.lit(0)})
+        rows = rows.withColumn("_node", F.when(F.col("_reached") > 0, F.col("_first") + F.col("_reached") - 1))
+        for nodes, count in self.levels:
+            rows = rows.drop("_reached", "_first", "_heads")
+            if count * FAN > BROADCAST_CUTS:
+                # Rows that no node belongs to are spread, as a join of large tables shuffles them too.
+                rows = rows.withColumn("_node", F.coalesce("_node", -1 - spread(df, 1 << 20)))
+            else:
+                nodes = F.broadcast(nodes)
+            rows = reached(rows.join(nodes, rows["_node"] == nodes["_number"], "left"), F.col("_heads"))
+            rows = rows.withColumn("_node", F.col("_first") + F.col("_reached") - 1).drop("_number")
+        # The last cut that is not above the row; a row before all cuts has none.
+        piece = F.coalesce(F.col("_node") + F.col("_group") + 1, F.col("_before"))
         rows = rows.withColumn(PIECE, piece.cast("int"))
-        return rows.drop("_cuts", "_i", "_outer", "_j", "_inner", *("_cut_" + n for n in self.by))
+        return rows.drop("_heads", "_group", "_before", "_first", "_reached", "_node", *("_cut_" + n for n in self.by))
 
     def carry(
         self,
@@ -174,29 +238,36 @@ class Split:
         """Tag ``df`` and add, per piece, ``fold`` of the ``partial`` values of other pieces.
 
         ``fold`` maps an output name to a function of a window over the pieces
-        before this one (after it, when ``following``) and of the whole group's
-        window. Outputs are null where a group is not split.
+        before this one (after it and backwards, when ``following``) and of the whole
+        group's window. Outputs are null where a group is not split.
         """
         if self.cuts is None:
             schema = self._fold(df.withColumn(PIECE, F.lit(0)), partial, fold, following).schema
             return df.withColumns({n: F.lit(None).cast(schema[n].dataType) for n in fold})
         folded = self._fold(self.tag(df, "inner"), partial, fold, following)
-        tagged = self.tag(df)
-        names = [*self.by, PIECE]
-        match = same_keys(tagged, folded, names, "_carry_")
-        return tagged.join(small(folded, self.pieces), match, "left").drop(*("_carry_" + n for n in names))
+        return self.attach(self.tag(df), folded)
+
+    def attach(self, tagged: DataFrame, folded: DataFrame) -> DataFrame:
+        """Join a tagged table with ``folded``, which has one row for each piece (``_carry_``)."""
+        if self.pieces <= BROADCAST_ROWS:
+            folded = F.broadcast(folded)
+        else:
+            # The window that follows finds the rows where this join has put them. Groups that
+            # are not split have no piece and get numbers that none has, so as not to meet in one task.
+            folded = folded.hint("shuffle_hash")
+            if self.by:
+                lone = -1 - F.pmod(F.xxhash64(*self.by), F.lit(1 << 30)).cast("int")
+                tagged = tagged.withColumn(PIECE, F.coalesce(PIECE, lone))
+        return tagged.join(folded, tagged[PIECE] == folded["_carry_"], "left").drop("_carry_")
 
     def _fold(self, hot, partial, fold, following):
         sums = hot.groupBy(*self.by, PIECE).agg(*(c.alias("_p_" + n) for n, c in partial.items()))
-        pieces = Window.partitionBy(*self.by).orderBy(PIECE)
-        if following:
-            others = pieces.rowsBetween(1, Window.unboundedFollowing)
-        else:
-            others = pieces.rowsBetween(Window.unboundedPreceding, -1)
+        # A frame that reaches to the end is computed anew for each row, one that comes from the start is not.
+        pieces = Window.partitionBy(*self.by).orderBy(F.desc(PIECE) if following else F.col(PIECE))
+        others = pieces.rowsBetween(Window.unboundedPreceding, -1)
         whole = pieces.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return sums.select(
-            *(F.col(n).alias("_carry_" + n) for n in [*self.by, PIECE]),
-            *(make(others, whole).alias(n) for n, make in fold.items()),
+            F.col(PIECE).alias("_carry_"), *(make(others, whole).alias(n) for n, make in fold.items())
         )
 
 
@@ -222,31 +293,40 @@ def plan_split(
     else:
         numbered = slim.withColumn("_hot_", F.lit(0))
     sample = numbered.sample(min(1.0, SAMPLES_PER_PIECE / group_rows))
-    rank = F.row_number().over(Window.partitionBy("_hot_").orderBy(*order_by(order)))
-    picked = sample.withColumn("_rank", rank).where(F.col("_rank") % SAMPLES_PER_PIECE == 0)
-
-    cuts: list[list] = [[] for _ in hot]
-    for row in sorted(picked.select("_hot_", "_rank", *names).collect(), key=lambda r: r["_rank"]):
-        found = cuts[row["_hot_"]]
-        cut = tuple(row[n] for n in names)
-        if not found or found[-1] != cut:
-            found.append(cut)
-
-    fan = max(1, math.ceil(max(map(len, cuts)) ** (1 / 3)))
-
-    def blocks(found: list) -> list:
-        return [found[i : i + fan] for i in range(0, len(found), fan)]
+    w = Window.partitionBy("_hot_").orderBy(*order_by(order))
+    picked = sample.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") % SAMPLES_PER_PIECE == 0)
+    key = _sort_key(slim, order)
+    picked = picked.withColumn("_cut", F.struct(*names) if key is None else key)
+    fresh = picked.withColumn("_last", F.lag("_cut").over(w)).where(~F.col("_cut").eqNullSafe(F.col("_last")))
+    found = fresh.select("_hot_", "_cut", (F.row_number().over(w) - 1).alias("_rank"))
+    kind = found.schema["_cut"].dataType
+
+    table = found.toArrow().sort_by([("_hot_", "ascending"), ("_rank", "ascending")])
+    group, rank = (table.column(c).to_numpy().astype(np.int64) for c in ("_hot_", "_rank"))
+    cuts = table.column("_cut").combine_chunks()
+    starts = np.searchsorted(group, np.arange(len(hot)))
+
+    def literal(numbers: dict, offsets: np.ndarray) -> DataFrame:
+        heads = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cuts)
+        schema = T.StructType([T.StructField(n, T.IntegerType()) for n in numbers])
+        columns = {n: pa.array(v, pa.int32()) for n, v in numbers.items()}
+        return df.sparkSession.createDataFrame(
+            pa.table({**columns, "_heads": heads}), schema.add("_heads", T.ArrayType(kind))
+        )
 
-    struct = T.StructType([_renamed(slim.schema[n], n) for n in names])
-    schema = T.StructType(
-        [_renamed(slim.schema[n], "_cut_" + n) for n in by]
-        + [T.StructField("_cuts", T.ArrayType(T.ArrayType(T.ArrayType(struct))), False)]
-    )
-    rows = [
-        (*(r[n] for n in by), blocks(blocks(found))) for r, found in zip(hot, cuts, strict=True)
-    ]
-    pieces = sum(map(len, cuts)) + len(cuts)
-    return Split(by, order, df.sparkSession.createDataFrame(rows, schema), fan, pieces)
+    levels, pieces = [], len(cuts) + len(hot)
+    while len(rank) and rank.max() >= FAN:
+        first = np.flatnonzero(rank % FAN == 0)
+        nodes = literal({"_number": np.arange(len(first)), "_first": first}, np.append(first, len(cuts)))
+        levels.insert(0, (nodes, len(first)))
+        cuts, group, rank = cuts.take(pa.array(first)), group[first], rank[first] // FAN
+    first = np.searchsorted(group, np.arange(len(hot) + 1))
+    numbers = np.arange(len(hot))
+    roots = literal({"_group": numbers, "_before": starts + numbers, "_first": first[:-1]}, first)
+    if by:
+        keys = key_table(slim, by, hot, "_cut_")
+        roots = keys.join(F.broadcast(roots), keys["_cut_"] == roots["_group"]).drop("_cut_")
+    return Split(by, order, roots, levels, pieces, len(hot))
 
 
 def _hashable(kind: T.DataType) -> bool:

@@ -217,3 +217,31 @@ def test_rank_rows_divides_rows_of_one_value(spark):
     ).first()
     assert tuple(numbers) == (20_000, 1, 20_000, 10_000)
     assert sorted(r["count"] for r in ranked.groupBy("ntile").count().collect()) == [6666, 6667, 6667]
+
+
+@pytest.mark.parametrize("by", [["user_id"], []])
+def test_tables_of_cuts_and_carries_too_big_to_broadcast(events, monkeypatch, by):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(skew, "BROADCAST_CUTS", 5)
+    aggs = {"s": ("sum", "value"), "n": ("count", "value"), "t": ("total", "value")}
+    args = (by, ["ts"], F.col("value"), "near", True)
+    found = w.running(events, by, ["ts"], aggs, 40)
+    same(w.running(events, by, ["ts"], aggs, None), found)
+    same(w.neighbour(events, *args, None), w.neighbour(events, *args, 40))
+    same(w.fill_forward(events, by, ["ts"], ["value"], None), w.fill_forward(events, by, ["ts"], ["value"], 40))
+    # The window finds its rows where the join with the carries has put them.
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("ShuffledHashJoin [_piece") == 1 and "NestedLoop" not in text
+
+
+def test_very_many_pieces_take_time_in_proportion_to_rows(spark):
+    """A row meets a few nodes of a tree of cuts, not all cuts of its group."""
+    df = spark.range(640_000, numPartitions=8).select("id", (F.col("id") % 2).cast("string").alias("k"))
+    start = time.perf_counter()
+    for by in ([], ["k"]):
+        split = skew.plan_split(df, by, ["id"], 4)
+        assert split.pieces > 30_000
+        found = w.running(df, by, ["id"], {"n": ("count", "id")}, split=split)
+        number = (F.floor(F.col("id") / 2) if by else F.col("id")) + 1
+        assert found.agg(F.count_if(F.col("n") == number)).first()[0] == 640_000
+    assert time.perf_counter() - start < 100
