@@ -219,6 +219,32 @@ def test_rank_rows_divides_rows_of_one_value(spark):
     assert sorted(r["count"] for r in ranked.groupBy("ntile").count().collect()) == [6666, 6667, 6667]
 
 
+def test_orders_of_all_types_are_cut_alike(spark):
+    """Mixed directions over columns with nulls, ties, NaN and texts that begin like others."""
+    i = F.col("id")
+    some = F.when(i % 7 != 0, i * 37 % 60)
+    df = spark.range(300).select(
+        "id",
+        F.lit("x").alias("k"),
+        (some > 20).alias("flag"),
+        some.cast("int").alias("whole"),
+        F.when(i % 11 == 0, F.lit(float("nan"))).otherwise((some - 20) / 4).alias("real"),
+        (some - 20).cast("decimal(9,3)").alias("exact"),
+        F.date_add(F.lit("1970-01-20").cast("date"), -some.cast("int")).alias("day"),
+        F.timestamp_micros(some - 30).alias("at"),
+        F.timestamp_micros(some - 30).cast("timestamp_ntz").alias("plain"),
+        F.substring(F.repeat(F.lit("aé\u0001"), 40), 1, some.cast("int")).alias("word"),
+        F.array(some).alias("list"),
+    )
+    for n, c in enumerate(df.columns[2:]):
+        by = [["k"], []][n % 2]
+        cut, order = df.select(*by, "id", c), [f"{c} desc", "id"]
+        split = skew.plan_split(cut, by, order, 10)
+        assert split.pieces > 5
+        found = w.number_rows(cut, by, order, "n", split=split).select("id", "n")
+        same(w.number_rows(cut, by, order, "n", None).select("id", "n"), found)
+
+
 @pytest.mark.parametrize("by", [["user_id"], []])
 def test_tables_of_cuts_and_carries_too_big_to_broadcast(events, monkeypatch, by):
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 5)
