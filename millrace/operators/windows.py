@@ -12,8 +12,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.session import checkpointed
 from millrace.skew import (
     GROUP_ROWS,
     PIECE,
@@ -248,7 +248,8 @@ def frame_range(
     one block and the beginning of the next, which two running aggregates give, one
     from either side: the work grows with the rows, not with rows times frame, and a
     key with very many rows is dealt out by block. A block over ``group_rows`` rows is cut
-    into pieces, and either running aggregate carries what lies in the pieces before.
+    into pieces, and either running aggregate carries what lies in the pieces before. Both
+    run over the same pieces, to which data and questions are shuffled once.
     Rows of one key and time share a frame and are aggregated first. Rows without a
     time share theirs.
     """
@@ -265,40 +266,52 @@ def frame_range(
     rows = df.withColumn("_us", us)
     points = rows.groupBy(*by, "_us").agg(*(_PARTIAL[k](F.col(c)).alias(n) for n, (k, c) in parts.items()))
     if width:
-        # Each point is data in its own block, and asks at either edge of its frame. Data
-        # sorts before the questions at its own time, from either side.
+        # Each point is data in its own block, and asks at either edge of its frame. Seen from
+        # either side, data comes before the questions at its own time that it answers.
         own, low, high = (
-            F.struct((F.col("_us") + shift).alias("at"), F.lit(asks).alias("asks"), F.lit(abs(asks)).alias("tie"))
+            F.struct((F.col("_us") + shift).alias("at"), F.lit(asks).alias("asks"))
             for shift, asks in ((0, 0), (-back, -1), (ahead, 1))
         )
         copies = F.when(F.col("_us").isNull(), F.array(own)).otherwise(F.array(own, low, high))
-        placed = {
-            "_block": F.floor(F.col("_e.at") / width),
-            "_at": F.col("_e.at"),
-            "_tie": F.col("_e.tie"),
-        }
-        keys, upwards, downwards = [*by, "_block"], ["_at", "_tie"], ["_at desc", "_tie"]
+        keys, order = [*by, "_block"], ["_at", "_asks"]
+
+        def placed(df: DataFrame, e: Column, values: Mapping[str, Column]) -> DataFrame:
+            place = {"_block": F.floor(e["at"] / width), "_at": e["at"], "_asks": e["asks"]}
+            return df.select(*by, "_us", *(c.alias(n) for n, c in {**place, **values}.items()))
+
         # Planned on the rows, of which the sample is drawn before anything is shuffled.
-        slim = rows.select(*by, F.explode(copies).alias("_e")).withColumns(placed).drop("_e")
-        rising = plan_split(slim, keys, upwards, group_rows)
-        falling = Split(keys, downwards)
-        if rising.cuts is not None:
-            falling = plan_split(slim, keys, downwards, group_rows)
-            points = checkpointed(points)  # read for the carries and for the answers
-        is_data = F.col("_e.asks") == 0
-        events = points.withColumn("_e", F.explode(copies)).withColumns(
-            {**placed, **{"_d" + n: F.when(is_data, F.col(n)) for n in parts}}
-        )
+        slim = rows.select(*by, "_us", F.explode(copies).alias("_e"))
+        split = plan_split(placed(slim, F.col("_e"), {}), keys, order, group_rows)
+        is_data = F.col("_asks") == 0
         again = {n: "sum" if k == "count" else k for n, (k, _) in parts.items()}
-        for side, split in (("_up", rising), ("_down", falling)):
-            aggregates = {side + n: (k, "_d" + n) for n, k in again.items()}
-            events = running(events, keys, split.order, aggregates, split=split)
-        seen = {
-            "_v" + n: F.when(F.col("_e.asks") == 1, F.col("_up" + n))
-            .when(F.col("_e.asks") == -1, F.col("_down" + n))
-            .when(F.col("_us").isNull(), F.col(n))
-            for n in parts
-        }
+        events = placed(
+            points.withColumn("_e", F.explode(copies)),
+            F.col("_e"),
+            {"_d" + n: F.when(F.col("_e.asks") == 0, F.col(n)) for n in parts},
+        )
+        kinds = {n: points.schema[n].dataType for n in parts}
+        for n, kind in kinds.items():
+            if isinstance(kind, T.DecimalType) and again[n] == "sum":
+                kinds[n] = T.DecimalType(min(38, kind.precision + 20), kind.scale)
+        if split.cuts is None:
+            events = events.withColumns({s + n: F.lit(None).cast(k) for s in ("_b", "_a") for n, k in kinds.items()})
+        else:
+            # What lies in the other pieces of a block comes from the rows, all in one aggregate.
+            data = placed(rows.where(F.col("_us").isNotNull()), own, {"_x" + n: F.col(c) for n, (_, c) in parts.items()})
+            partial = {n: _PARTIAL[k](F.col("_x" + n)) for n, (k, _) in parts.items()}
+            folds = [
+                {side + n: lambda others, whole, n=n: fold[n]("_p_" + n).over(others).cast(kinds[n]) for n in parts}
+                for side in ("_b", "_a")
+            ]
+            events = split.attach(split.tag(events), split.fold(data, partial, *folds))
+        start = Window.unboundedPreceding
+        seen = {}
+        for n, k in again.items():
+            up, down = (
+                _COMBINE[k](F.col(side + n), _PARTIAL[k]("_d" + n).over(split.window(backwards).rowsBetween(start, 0)))
+                for side, backwards in (("_b", False), ("_a", True))
+            )
+            seen["_v" + n] = F.when(F.col("_asks") == 1, up).when(F.col("_asks") == -1, down).otherwise(F.col("_d" + n))
         answers = events.withColumns(seen).where((~is_data) | F.col("_us").isNull())
         points = answers.groupBy(*by, "_us").agg(*(fold[n]("_v" + n).alias(n) for n in parts))
     outputs = {}

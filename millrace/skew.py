@@ -158,9 +158,9 @@ class Split:
     """How the groups of ``by``, sorted by ``order``, are cut into pieces.
 
     The cuts of a group lie in a tree, ``FAN`` to a node. ``cuts`` has a row for each group that
-    is split: its keys, its number, how many pieces the groups before it have, and the root of
-    its tree (``_heads``). ``levels`` has a table of nodes for each level below, with its number
-    of rows. Pieces are numbered over all groups, so that a number tells the group as well.
+    is split: its keys, its number, its first and last piece, and the root of its tree
+    (``_heads``). ``levels`` has a table of nodes for each level below, with its number of rows.
+    Pieces are numbered over all groups, so that a number tells the group as well.
     """
 
     fan = FAN
@@ -226,7 +226,8 @@ class Split:
         # The last cut that is not above the row; a row before all cuts has none.
         piece = F.coalesce(F.col("_node") + F.col("_group") + 1, F.col("_before"))
         rows = rows.withColumn(PIECE, piece.cast("int"))
-        return rows.drop("_heads", "_group", "_before", "_first", "_reached", "_node", *("_cut_" + n for n in self.by))
+        spent = ["_heads", "_group", "_before", "_last", "_first", "_reached", "_node"]
+        return rows.drop(*spent, *("_cut_" + n for n in self.by))
 
     def carry(
         self,
@@ -247,6 +248,28 @@ class Split:
         folded = self._fold(self.tag(df, "inner"), partial, fold, following)
         return self.attach(self.tag(df), folded)
 
+    def fold(
+        self,
+        df: DataFrame,
+        partial: dict[str, Column],
+        before: dict[str, Callable],
+        after: dict[str, Callable],
+    ) -> DataFrame:
+        """The ``before`` and ``after`` of every piece for :meth:`attach`, from the rows ``df``.
+
+        As in :meth:`carry`, but from either side, and also for pieces without a row in ``df``.
+        """
+        sums = self.tag(df, "inner").groupBy(PIECE).agg(*(c.alias("_p_" + n) for n, c in partial.items()))
+        every = self.cuts.select("_group", F.explode(F.sequence("_before", "_last")).alias("_carry_"))
+        sums = every.join(sums, every["_carry_"] == sums[PIECE], "left")
+        found = [F.col("_carry_")]
+        for fold, place in ((before, F.col("_carry_")), (after, F.desc("_carry_"))):
+            pieces = Window.partitionBy("_group").orderBy(place)
+            others = pieces.rowsBetween(Window.unboundedPreceding, -1)
+            whole = pieces.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            found += [make(others, whole).alias(n) for n, make in fold.items()]
+        return sums.select(*found)
+
     def attach(self, tagged: DataFrame, folded: DataFrame) -> DataFrame:
         """Join a tagged table with ``folded``, which has one row for each piece (``_carry_``)."""
         if self.pieces <= BROADCAST_ROWS:
@@ -256,8 +279,10 @@ class Split:
             # are not split have no piece and get numbers that none has, so as not to meet in one task.
             folded = folded.hint("shuffle_hash")
             if self.by:
-                lone = -1 - F.pmod(F.xxhash64(*self.by), F.lit(1 << 30)).cast("int")
-                tagged = tagged.withColumn(PIECE, F.coalesce(PIECE, lone))
+                # Texts that a collation takes for equal have hashes of their own.
+                plain = [n for n in self.by if "collate" not in tagged.schema[n].dataType.simpleString()]
+                lone = F.pmod(F.xxhash64(*plain), F.lit(1 << 30)) if plain else F.lit(0)
+                tagged = tagged.withColumn(PIECE, F.coalesce(PIECE, -1 - lone.cast("int")))
         return tagged.join(folded, tagged[PIECE] == folded["_carry_"], "left").drop("_carry_")
 
     def _fold(self, hot, partial, fold, following):
@@ -304,7 +329,7 @@ def plan_split(
     table = found.toArrow().sort_by([("_hot_", "ascending"), ("_rank", "ascending")])
     group, rank = (table.column(c).to_numpy().astype(np.int64) for c in ("_hot_", "_rank"))
     cuts = table.column("_cut").combine_chunks()
-    starts = np.searchsorted(group, np.arange(len(hot)))
+    starts, stops = (np.searchsorted(group, np.arange(len(hot)), side) for side in ("left", "right"))
 
     def literal(numbers: dict, offsets: np.ndarray) -> DataFrame:
         heads = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cuts)
@@ -322,7 +347,8 @@ def plan_split(
         cuts, group, rank = cuts.take(pa.array(first)), group[first], rank[first] // FAN
     first = np.searchsorted(group, np.arange(len(hot) + 1))
     numbers = np.arange(len(hot))
-    roots = literal({"_group": numbers, "_before": starts + numbers, "_first": first[:-1]}, first)
+    ends = {"_before": starts + numbers, "_last": stops + numbers}
+    roots = literal({"_group": numbers, **ends, "_first": first[:-1]}, first)
     if by:
         keys = key_table(slim, by, hot, "_cut_")
         roots = keys.join(F.broadcast(roots), keys["_cut_"] == roots["_group"]).drop("_cut_")

@@ -271,3 +271,33 @@ def test_very_many_pieces_take_time_in_proportion_to_rows(spark):
         number = (F.floor(F.col("id") / 2) if by else F.col("id")) + 1
         assert found.agg(F.count_if(F.col("n") == number)).first()[0] == 640_000
     assert time.perf_counter() - start < 100
+
+
+@pytest.mark.parametrize("broadcast", [skew.BROADCAST_ROWS, 5])
+def test_frames_that_begin_and_end_where_no_rows_are(spark, monkeypatch, broadcast):
+    """Bursts of rows whose frames' edges lie between them, in pieces that hold questions alone."""
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", broadcast)
+    us = (F.col("id") % 3) * 40_000_000 + (F.col("id") / 3).cast("long") * 1000
+    df = spark.range(1500, numPartitions=4).select(
+        "id",
+        F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("k"),
+        F.when(F.col("id") % 50 > 0, F.timestamp_micros(us)).alias("ts"),
+        F.when(F.col("id") % 4 > 0, (F.col("id") * 7 % 100).cast("decimal(5,2)")).alias("v"),
+    )
+    aggs = {"low": ("min", "v"), "n": ("count", "v"), "total": ("sum", "v"), "mean": ("avg", "v")}
+    functions = {"min": F.min, "count": F.count, "sum": F.sum, "avg": F.avg}
+    frame = Window.partitionBy("k").orderBy(F.unix_micros("ts")).rangeBetween(-61_000_000, 20_200_000)
+    plain = df.withColumns({o: functions[f](c).over(frame) for o, (f, c) in aggs.items()})
+    plain = plain.withColumns({"mean": F.col("mean").cast("double"), "total": F.col("total").cast("decimal(38,2)")})
+    found = w.frame_range(df, ["k"], "ts", aggs, 61, 20.2, 40)
+    assert found.schema["total"].dataType.simpleString() == "decimal(38,2)"
+    mean = F.round("mean", 4)  # Spark's own is a decimal of some places
+    same(plain.withColumn("mean", mean), found.withColumn("mean", mean))
+
+
+def test_range_frames_shuffle_their_copies_once(spark):
+    """Both running aggregates run over the same pieces: rows are copied once, not for each carry too."""
+    df = spark.range(3000, numPartitions=4).select(F.lit(1).alias("k"), F.timestamp_seconds("id").alias("ts"), "id")
+    found = w.frame_range(df, ["k"], "ts", {"m": ("max", "id")}, 500, 100, 100)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Generate explode") == 2  # the copies, and the numbers of all pieces
