@@ -159,7 +159,7 @@ class Split:
 
     The cuts of a group lie in a tree, ``FAN`` to a node. ``cuts`` has a row for each group that
     is split: its keys, its number, its first and last piece, and the root of its tree
-    (``_heads``). ``levels`` has a table of nodes for each level below, with its number of rows.
+    (``_tree_heads``). ``levels`` has a table of nodes for each level below, with its number of rows.
     Pieces are numbered over all groups, so that a number tells the group as well.
     """
 
@@ -200,33 +200,33 @@ class Split:
         key = _sort_key(df, self.order)
 
         def reached(rows: DataFrame, cuts: Column) -> DataFrame:
-            """How many of a node's cuts are not above the row, in ``_reached``."""
+            """How many of a node's cuts are not above the row, in ``_tree_reached``."""
             if key is None:
-                return rows.withColumn("_reached", F.size(F.filter(cuts, lambda c: at_or_after(self.order, c))))
-            rows = rows.withColumn("_place", InternalFunction.array_binary_search(cuts, key))
-            return rows.withColumn("_reached", F.greatest(F.col("_place") + 1, -F.col("_place") - 1)).drop("_place")
+                return rows.withColumn("_tree_reached", F.size(F.filter(cuts, lambda c: at_or_after(self.order, c))))
+            rows = rows.withColumn("_tree_place", InternalFunction.array_binary_search(cuts, key))
+            return rows.withColumn("_tree_reached", F.greatest(F.col("_tree_place") + 1, -F.col("_tree_place") - 1)).drop("_tree_place")
 
         if self.by:
             match = same_keys(df, self.cuts, self.by, "_cut_")
-            rows = reached(df.join(small(self.cuts, self.groups), match, how), F.col("_heads"))
+            rows = reached(df.join(small(self.cuts, self.groups), match, how), F.col("_tree_heads"))
         else:
             # The heads stay in the expression: as a column they would be copied with each row.
-            rows = reached(df, self.cuts.select("_heads").scalar())
-            rows = rows.withColumns({"_group": F.lit(0), "_before": F.lit(0), "_first": F.lit(0)})
-        rows = rows.withColumn("_node", F.when(F.col("_reached") > 0, F.col("_first") + F.col("_reached") - 1))
+            rows = reached(df, self.cuts.select("_tree_heads").scalar())
+            rows = rows.withColumns({"_tree_group": F.lit(0), "_tree_before": F.lit(0), "_tree_first": F.lit(0)})
+        rows = rows.withColumn("_tree_node", F.when(F.col("_tree_reached") > 0, F.col("_tree_first") + F.col("_tree_reached") - 1))
         for nodes, count in self.levels:
-            rows = rows.drop("_reached", "_first", "_heads")
+            rows = rows.drop("_tree_reached", "_tree_first", "_tree_heads")
             if count * FAN > BROADCAST_CUTS:
                 # Rows that no node belongs to are spread, as a join of large tables shuffles them too.
-                rows = rows.withColumn("_node", F.coalesce("_node", -1 - spread(df, 1 << 20)))
+                rows = rows.withColumn("_tree_node", F.coalesce("_tree_node", -1 - spread(df, 1 << 20)))
             else:
                 nodes = F.broadcast(nodes)
-            rows = reached(rows.join(nodes, rows["_node"] == nodes["_number"], "left"), F.col("_heads"))
-            rows = rows.withColumn("_node", F.col("_first") + F.col("_reached") - 1).drop("_number")
+            rows = reached(rows.join(nodes, rows["_tree_node"] == nodes["_tree_number"], "left"), F.col("_tree_heads"))
+            rows = rows.withColumn("_tree_node", F.col("_tree_first") + F.col("_tree_reached") - 1).drop("_tree_number")
         # The last cut that is not above the row; a row before all cuts has none.
-        piece = F.coalesce(F.col("_node") + F.col("_group") + 1, F.col("_before"))
+        piece = F.coalesce(F.col("_tree_node") + F.col("_tree_group") + 1, F.col("_tree_before"))
         rows = rows.withColumn(PIECE, piece.cast("int"))
-        spent = ["_heads", "_group", "_before", "_last", "_first", "_reached", "_node"]
+        spent = ["_tree_heads", "_tree_group", "_tree_before", "_tree_last", "_tree_first", "_tree_reached", "_tree_node"]
         return rows.drop(*spent, *("_cut_" + n for n in self.by))
 
     def carry(
@@ -260,11 +260,11 @@ class Split:
         As in :meth:`carry`, but from either side, and also for pieces without a row in ``df``.
         """
         sums = self.tag(df, "inner").groupBy(PIECE).agg(*(c.alias("_p_" + n) for n, c in partial.items()))
-        every = self.cuts.select("_group", F.explode(F.sequence("_before", "_last")).alias("_carry_"))
+        every = self.cuts.select("_tree_group", F.explode(F.sequence("_tree_before", "_tree_last")).alias("_carry_"))
         sums = every.join(sums, every["_carry_"] == sums[PIECE], "left")
         found = [F.col("_carry_")]
         for fold, place in ((before, F.col("_carry_")), (after, F.desc("_carry_"))):
-            pieces = Window.partitionBy("_group").orderBy(place)
+            pieces = Window.partitionBy("_tree_group").orderBy(place)
             others = pieces.rowsBetween(Window.unboundedPreceding, -1)
             whole = pieces.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             found += [make(others, whole).alias(n) for n, make in fold.items()]
@@ -321,14 +321,14 @@ def plan_split(
     w = Window.partitionBy("_hot_").orderBy(*order_by(order))
     picked = sample.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") % SAMPLES_PER_PIECE == 0)
     key = _sort_key(slim, order)
-    picked = picked.withColumn("_cut", F.struct(*names) if key is None else key)
-    fresh = picked.withColumn("_last", F.lag("_cut").over(w)).where(~F.col("_cut").eqNullSafe(F.col("_last")))
-    found = fresh.select("_hot_", "_cut", (F.row_number().over(w) - 1).alias("_rank"))
-    kind = found.schema["_cut"].dataType
+    picked = picked.withColumn("_tree_cut", F.struct(*names) if key is None else key)
+    fresh = picked.withColumn("_tree_last", F.lag("_tree_cut").over(w)).where(~F.col("_tree_cut").eqNullSafe(F.col("_tree_last")))
+    found = fresh.select("_hot_", "_tree_cut", (F.row_number().over(w) - 1).alias("_rank"))
+    kind = found.schema["_tree_cut"].dataType
 
     table = found.toArrow().sort_by([("_hot_", "ascending"), ("_rank", "ascending")])
     group, rank = (table.column(c).to_numpy().astype(np.int64) for c in ("_hot_", "_rank"))
-    cuts = table.column("_cut").combine_chunks()
+    cuts = table.column("_tree_cut").combine_chunks()
     starts, stops = (np.searchsorted(group, np.arange(len(hot)), side) for side in ("left", "right"))
 
     def literal(numbers: dict, offsets: np.ndarray) -> DataFrame:
@@ -336,22 +336,22 @@ def plan_split(
         schema = T.StructType([T.StructField(n, T.IntegerType()) for n in numbers])
         columns = {n: pa.array(v, pa.int32()) for n, v in numbers.items()}
         return df.sparkSession.createDataFrame(
-            pa.table({**columns, "_heads": heads}), schema.add("_heads", T.ArrayType(kind))
+            pa.table({**columns, "_tree_heads": heads}), schema.add("_tree_heads", T.ArrayType(kind))
         )
 
     levels, pieces = [], len(cuts) + len(hot)
     while len(rank) and rank.max() >= FAN:
         first = np.flatnonzero(rank % FAN == 0)
-        nodes = literal({"_number": np.arange(len(first)), "_first": first}, np.append(first, len(cuts)))
+        nodes = literal({"_tree_number": np.arange(len(first)), "_tree_first": first}, np.append(first, len(cuts)))
         levels.insert(0, (nodes, len(first)))
         cuts, group, rank = cuts.take(pa.array(first)), group[first], rank[first] // FAN
     first = np.searchsorted(group, np.arange(len(hot) + 1))
     numbers = np.arange(len(hot))
-    ends = {"_before": starts + numbers, "_last": stops + numbers}
-    roots = literal({"_group": numbers, **ends, "_first": first[:-1]}, first)
+    ends = {"_tree_before": starts + numbers, "_tree_last": stops + numbers}
+    roots = literal({"_tree_group": numbers, **ends, "_tree_first": first[:-1]}, first)
     if by:
         keys = key_table(slim, by, hot, "_cut_")
-        roots = keys.join(F.broadcast(roots), keys["_cut_"] == roots["_group"]).drop("_cut_")
+        roots = keys.join(F.broadcast(roots), keys["_cut_"] == roots["_tree_group"]).drop("_cut_")
     return Split(by, order, roots, levels, pieces, len(hot))
 
 
